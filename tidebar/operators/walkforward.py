@@ -115,43 +115,56 @@ def pending_trials(trials: DataFrame, done: DataFrame) -> DataFrame:
     return trials.join(done.select("trial").distinct(), "trial", "left_anti")
 
 
-def sweep_trend(bars: DataFrame, folds: DataFrame, grid: list[dict], costs: Costs = Costs(), axis: Axis = DAILY) -> DataFrame:
+def sweep_trend(bars: DataFrame, folds: DataFrame, grid: list[dict], costs: Costs | None = None, axis: Axis = DAILY) -> DataFrame:
     """Trend-following returns of every trial in *grid* over every fold's test window.
 
     *grid* holds ``fast, slow, vol_target, vol_lookback`` per trial. A position set
     at a close earns the next bar of the same symbol, so a bar's row already holds
-    everything a trial needs: the current and the previous indicators, the next
-    return and whether the symbol ends here.
+    everything a trial needs: the current and the previous indicators and the next
+    return. Costs are charged on the change of target weight at the close.
     """
     spans = sorted({p["fast"] for p in grid} | {p["slow"] for p in grid})
     vols = sorted({p["vol_lookback"] for p in grid})
     names = bars.agg(F.count_distinct("symbol").alias("n")).scalar()
-    horizon = bars.agg(F.max(axis.order).alias("h")).scalar()
+    columns = [f"ma{n}" for n in spans] + [f"rv{n}" for n in vols]
 
     def indicators(df, w):
         df = df.withColumn("__r", pct_change("close", w))
-        ma = {f"__ma{n}": _rolling(F.avg, "close", w, n) for n in spans}
-        rv = {f"__rv{n}": _rolling(F.stddev_samp, "__r", w, n) * ANNUAL for n in vols}
+        ma = {f"ma{n}": _rolling(F.avg, "close", w, n) for n in spans}
+        rv = {f"rv{n}": _rolling(F.stddev_samp, "__r", w, n) * ANNUAL for n in vols}
         ahead = {"__next_ret": F.lead("close").over(w) / F.col("close") - 1, "__next_ts": F.lead(axis.order).over(w)}
-        return df.withColumns({**ma, **rv, **ahead})
+        df = df.withColumns({**ma, **rv, **ahead})
+        if costs is not None:
+            df = df.withColumns({f"was_{c}": F.lag(c).over(w) for c in columns})
+        return df
 
-    reach = max(max(spans), max(vols) + 1)
+    def table(prefix: str, ns: list[int]) -> Column:
+        return F.create_map(*[x for n in ns for x in (F.lit(n), F.col(f"{prefix}{n}"))])
+
+    reach = max(max(spans), max(vols) + 1) + 1
     rows = over_rows(bars.select(*axis.keys, axis.order, "close"), axis, indicators, before=reach, after=1)
-    table = lambda prefix, ns: F.create_map(*[x for n in ns for x in (F.lit(n), F.col(f"{prefix}{n}"))])
-    rows = rows.where("__next_ts IS NOT NULL").select(
-        *axis.keys, F.col("__next_ts").alias("ts"), F.col("__next_ret").alias("r"),
-        table("__ma", spans).alias("ma"), table("__rv", vols).alias("rv"),
-    )
+    kept = [table("ma", spans).alias("ma"), table("rv", vols).alias("rv")]
+    if costs is not None:
+        kept += [table("was_ma", spans).alias("was_ma"), table("was_rv", vols).alias("was_rv")]
+        kept.append(costs.unit(F.col("close"), F.lit(1.0), F.lit(0.01)).alias("unit"))
+    rows = rows.where("__next_ts IS NOT NULL").select(F.col("__next_ts").alias("ts"), F.col("__next_ret").alias("r"), *kept)
     rows = fold_windows(rows, folds, "ts")
-    rows = rows.where(F.col("ts") <= horizon)
     trials = F.array(
         *[F.struct(F.lit(i).cast("long").alias("trial"), F.lit(p["fast"]).alias("fast"), F.lit(p["slow"]).alias("slow"),
                    F.lit(float(p["vol_target"])).alias("vt"), F.lit(p["vol_lookback"]).alias("vl")) for i, p in enumerate(grid)]
     )
     each = rows.withColumn("p", F.explode(trials))
-    gap = F.signum(F.element_at("ma", F.col("p.fast")) - F.element_at("ma", F.col("p.slow")))
-    size = F.least(F.col("p.vt") / F.greatest(F.element_at("rv", F.col("p.vl")), F.lit(1e-6)), F.lit(5.0))
-    each = each.withColumn("earned", F.coalesce(gap * size, F.lit(0.0)) * F.col("r") / names)
+
+    def target(ma: str, rv: str) -> Column:
+        gap = F.signum(F.element_at(ma, F.col("p.fast")) - F.element_at(ma, F.col("p.slow")))
+        vol = F.element_at(rv, F.col("p.vl"))
+        size = F.when(vol.isNotNull(), F.least(F.col("p.vt") / F.greatest(vol, F.lit(1e-6)), F.lit(5.0)))
+        return F.coalesce(gap * size, F.lit(0.0))
+
+    earned = target("ma", "rv") * F.col("r")
+    if costs is not None:
+        earned = earned - F.abs(target("ma", "rv") - target("was_ma", "was_rv")) * F.col("unit")
+    each = each.withColumn("earned", earned / names)
     return each.groupBy(F.col("p.trial").alias("trial"), "fold", "ts").agg(F.sum("earned").alias("ret"))
 
 

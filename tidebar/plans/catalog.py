@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import features, signals  # noqa: F401
+from . import evaluation, features, signals  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

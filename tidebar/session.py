@@ -47,3 +47,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR")))
     return context.getCheckpointDir()
+
+
+def store_once(df):
+    """Write an intermediate result that several later steps read, and cut its lineage.
+
+    Goes to the reliable checkpoint folder, so it outlives lost executors.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
