@@ -28,8 +28,8 @@ def monthly_resample(daily: DataFrame) -> DataFrame:
 
 def fill_months(monthly: DataFrame) -> DataFrame:
     """Insert empty months inside each symbol's life, so that lags count calendar months."""
-    nxt = F.lead("m").over(MONTHS.window())
-    gaps = monthly.withColumn("__m", F.explode(F.sequence("m", F.coalesce(nxt - 1, "m"))))
+    placed = over_rows(monthly, MONTHS, lambda df, w: df.withColumn("__next", F.lead("m").over(w)), after=1)
+    gaps = placed.withColumn("__m", F.explode(F.sequence("m", F.coalesce(F.col("__next") - 1, "m"))))
     real = F.col("__m") == F.col("m")
     shift = F.add_months(F.to_date("month"), F.col("__m") - F.col("m")).cast("timestamp")
     return gaps.select(

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import curves, evaluation, features, signals  # noqa: F401
+from . import curves, evaluation, features, ingest, research, signals  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
