@@ -18,8 +18,11 @@ def _vol(n: int, col: str = "ret") -> str:
     return f"({_roll(f'stddev_samp({col})', n, col)} * sqrt(252))"
 
 
-@query(T, BRAND + _RET + f""", m AS (SELECT *, {_roll('avg(close)', 20, 'close')} - {_roll('avg(close)', 60, 'close')} AS gap, {_vol(20)} AS rv FROM r)
-SELECT symbol, ts_init, coalesce(sign(gap) * CASE WHEN rv IS NOT NULL THEN least(0.1 / greatest(rv, 1e-6), 5) END, 0) AS target FROM m""")
+QUERY_TREND = BRAND + _RET + f""", m AS (SELECT *, {_roll('avg(close)', 20, 'close')} - {_roll('avg(close)', 60, 'close')} AS gap, {_vol(20)} AS rv FROM r)
+SELECT symbol, ts_init, coalesce(sign(gap) * CASE WHEN rv IS NOT NULL THEN least(0.1 / greatest(rv, 1e-6), 5) END, 0) AS target FROM m"""
+
+
+@query(T, QUERY_TREND)
 def trend_following(spark, sf):
     return strategies.trend_following(src.brand_bars(spark, sf))
 
