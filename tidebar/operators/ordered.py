@@ -64,7 +64,7 @@ DAILY = Axis()
 def row_index(df: DataFrame, axis: Axis, name: str = "row_idx") -> DataFrame:
     """Zero-based position of each row within its key."""
     if axis.bounded:
-        return df.withColumn(name, F.row_number().over(axis.window()) - 1)
+        return df.withColumn(name, F.row_number().over(axis.window()).cast("long") - 1)
     keys = [*axis.keys, "__chunk"]
     df = df.withColumn("__chunk", axis.chunk())
     before = Window.partitionBy(*axis.keys).orderBy("__chunk").rowsBetween(
@@ -79,7 +79,7 @@ def row_index(df: DataFrame, axis: Axis, name: str = "row_idx") -> DataFrame:
     return (
         df.withColumn("__local", local)
         .join(base, keys)
-        .withColumn(name, F.col("__base") + F.col("__local"))
+        .withColumn(name, (F.col("__base") + F.col("__local")).cast("long"))
         .drop("__chunk", "__local", "__base")
     )
 
