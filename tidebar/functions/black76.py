@@ -5,36 +5,42 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .normal import cdf_array, cdf_sql, pdf_sql
+from .normal import cdf, cdf_array, pdf
 
 
 def _staged(df: DataFrame) -> DataFrame:
-    """Add d1, d2 and the discount factor from ``forward, strike, t, rate, sigma``."""
+    """Add the sign of the payoff, d1, the two probabilities and the discount factor.
+
+    From ``forward, strike, t, rate, sigma, right``. Each is its own projection, so
+    that what is used several times is computed once.
+    """
     root = F.col("sigma") * F.sqrt("t")
     d1 = (F.log(F.col("forward") / F.col("strike")) + 0.5 * F.col("sigma") * F.col("sigma") * F.col("t")) / root
-    return df.withColumns({"__d1": d1, "__df": F.exp(-F.col("rate") * F.col("t"))}).withColumn("__d2", F.col("__d1") - root)
+    sign = F.when(F.col("right") == "C", F.lit(1.0)).otherwise(F.lit(-1.0))
+    df = df.withColumns({"__d1": d1, "__s": sign, "__df": F.exp(-F.col("rate") * F.col("t"))})
+    df = df.withColumns({"__x1": F.col("__s") * F.col("__d1"), "__x2": F.col("__s") * (F.col("__d1") - root)})
+    return df.withColumns({"__n1": cdf("__x1"), "__n2": cdf("__x2")})
+
+
+_TEMPS = ("__d1", "__s", "__df", "__x1", "__x2", "__n1", "__n2")
+_VALUE = "__s * __df * (forward * __n1 - strike * __n2)"
 
 
 def price(df: DataFrame, out: str = "price") -> DataFrame:
     """Call (``right = 'C'``) or put price."""
-    df = _staged(df)
-    call = f"__df * (forward * {cdf_sql('__d1')} - strike * {cdf_sql('__d2')})"
-    put = f"__df * (strike * {cdf_sql('(-__d2)')} - forward * {cdf_sql('(-__d1)')})"
-    return df.withColumn(out, F.expr(f"CASE WHEN right = 'C' THEN {call} ELSE {put} END")).drop("__d1", "__d2", "__df")
+    return _staged(df).withColumn(out, F.expr(_VALUE)).drop(*_TEMPS)
 
 
 def greeks(df: DataFrame) -> DataFrame:
     """Delta, gamma, vega per 1.00 of volatility and theta per year, in closed form."""
-    df = _staged(price(df, "__price"))
-    density = pdf_sql("__d1")
-    root = "sqrt(t)"
+    df = _staged(df).withColumn("__pdf", pdf("__d1"))
     out = {
-        "delta": f"__df * (CASE WHEN right = 'C' THEN {cdf_sql('__d1')} ELSE {cdf_sql('__d1')} - 1e0 END)",
-        "gamma": f"__df * {density} / (forward * sigma * {root})",
-        "vega": f"__df * forward * {density} * {root}",
-        "theta": f"rate * __price - __df * forward * {density} * sigma / (2e0 * {root})",
+        "delta": "__s * __df * __n1",
+        "gamma": "__df * __pdf / (forward * sigma * sqrt(t))",
+        "vega": "__df * forward * __pdf * sqrt(t)",
+        "theta": f"rate * {_VALUE} - __df * forward * __pdf * sigma / (2e0 * sqrt(t))",
     }
-    return df.withColumns({k: F.expr(v) for k, v in out.items()}).drop("__d1", "__d2", "__df", "__price")
+    return df.withColumns({k: F.expr(v) for k, v in out.items()}).drop(*_TEMPS, "__pdf")
 
 
 def implied_vol(df: DataFrame, premium: str = "premium", low: float = 1e-4, high: float = 5.0, steps: int = 60) -> DataFrame:

@@ -48,7 +48,8 @@ def cdf_sql(x: str) -> str:
         f"(CASE WHEN {a} > 37e0 THEN 0e0 WHEN {a} < 7.07106781186547e0 THEN {near} "
         f"ELSE {e} / ({tail} * 2.506628274631e0) END)"
     )
-    return f"(CASE WHEN ({x}) > 0e0 THEN 1e0 - {low} ELSE {low} END)"
+    # One copy of the tail, flipped by sign, keeps the generated code small.
+    return f"(CASE WHEN ({x}) > 0e0 THEN 1e0 ELSE 0e0 END + CASE WHEN ({x}) > 0e0 THEN -1e0 ELSE 1e0 END * {low})"
 
 
 def ppf_sql(p: str) -> str:

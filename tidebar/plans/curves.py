@@ -47,7 +47,7 @@ def spans(front, second, modulus: int = 10):
     quarters = front.select("symbol", "ts_event").unionByName(second.select("symbol", "ts_event")).select(
         "symbol", F.trunc("ts_event", "quarter").alias("d0")
     ).distinct()
-    base = quarters.withColumn("d1", F.add_months("d0", 3))
+    base = store_once(quarters.withColumn("d1", F.add_months("d0", 3)))  # the stored contract mapping
     return (
         base.withColumn("raw_symbol", raw_name(F.col("symbol"), F.col("d0"), modulus)),
         base.withColumn("raw_symbol", raw_name(F.col("symbol"), F.col("d1"), modulus)),
