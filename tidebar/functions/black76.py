@@ -15,7 +15,8 @@ def _staged(df: DataFrame) -> DataFrame:
     that what is used several times is computed once.
     """
     root = F.col("sigma") * F.sqrt("t")
-    d1 = (F.log(F.col("forward") / F.col("strike")) + 0.5 * F.col("sigma") * F.col("sigma") * F.col("t")) / root
+    moneyness = F.log(F.try_divide(F.col("forward"), F.col("strike")))
+    d1 = F.try_divide(moneyness + 0.5 * F.col("sigma") * F.col("sigma") * F.col("t"), root)
     sign = F.when(F.col("right") == "C", F.lit(1.0)).otherwise(F.lit(-1.0))
     df = df.withColumns({"__d1": d1, "__s": sign, "__df": F.exp(-F.col("rate") * F.col("t"))})
     df = df.withColumns({"__x1": F.col("__s") * F.col("__d1"), "__x2": F.col("__s") * (F.col("__d1") - root)})
@@ -36,9 +37,9 @@ def greeks(df: DataFrame) -> DataFrame:
     df = _staged(df).withColumn("__pdf", pdf("__d1"))
     out = {
         "delta": "__s * __df * __n1",
-        "gamma": "__df * __pdf / (forward * sigma * sqrt(t))",
+        "gamma": "try_divide(__df * __pdf, forward * sigma * sqrt(t))",
         "vega": "__df * forward * __pdf * sqrt(t)",
-        "theta": f"rate * {_VALUE} - __df * forward * __pdf * sigma / (2e0 * sqrt(t))",
+        "theta": f"rate * {_VALUE} - try_divide(__df * forward * __pdf * sigma, 2e0 * sqrt(t))",
     }
     return df.withColumns({k: F.expr(v) for k, v in out.items()}).drop(*_TEMPS, "__pdf")
 

@@ -26,8 +26,8 @@ def attribution_series(panel: DataFrame, start=None, benchmark: DataFrame | None
     def build(df, w):
         return df.withColumns(
             {
-                "__r": F.coalesce(F.lead("close").over(w) / F.col("close") - 1, F.lit(0.0)),
-                "__back": F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0)),
+                "__r": F.coalesce(F.try_divide(F.lead("close").over(w), F.col("close")) - 1, F.lit(0.0)),
+                "__back": F.coalesce(F.try_divide(F.col("close"), F.lag("close").over(w)) - 1, F.lit(0.0)),
             }
         )
 
@@ -98,7 +98,7 @@ def contributors(panel: DataFrame, start=None, axis: Axis = DAILY) -> DataFrame:
     rows = over_rows(panel, axis, build, after=1)
     if start is not None:
         rows = rows.where(F.col("__ts") >= start)
-    earned = F.coalesce("target", F.lit(0.0)) / names * (F.col("__c") / F.col("close") - 1)
+    earned = F.coalesce("target", F.lit(0.0)) / names * (F.try_divide(F.col("__c"), F.col("close")) - 1)
     return rows.groupBy("symbol").agg((F.coalesce(F.sum(earned), F.lit(0.0)) * 1e4).alias("contribution_bp")).orderBy(
         "contribution_bp"
     )
@@ -134,7 +134,7 @@ def signal_quality(panel: DataFrame, horizon: int = 21, first: int = 1, axis: Ax
     ics = ranked.where(F.col("__n") >= min_names).groupBy("t").agg(F.corr("__a", "__b").alias("ic")).where(
         "ic IS NOT NULL AND NOT isnan(ic)"
     )
-    t_stat = F.avg("ic") / F.stddev_samp("ic") * F.sqrt(F.count("ic"))
+    t_stat = F.try_divide(F.avg("ic"), F.stddev_samp("ic")) * F.sqrt(F.count("ic"))
     ic = ics.agg(
         F.avg("ic").alias("rank_ic"),
         F.when((F.count("ic") > 2) & (F.stddev_samp("ic") > 0), t_stat).alias("rank_ic_t"),

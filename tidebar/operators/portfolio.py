@@ -28,7 +28,8 @@ class Costs:
 
     def unit(self, close: Column, multiplier: Column, tick: Column) -> Column:
         """Cost per unit of weight traded, as a fraction of equity."""
-        return F.lit(self.rate) + self.per_contract / (close * multiplier) + self.slippage_prob * tick / close
+        per_unit = F.try_divide(F.lit(self.per_contract), close * multiplier) + F.try_divide(self.slippage_prob * tick, close)
+        return F.lit(self.rate) + F.coalesce(per_unit, F.lit(0.0))
 
 
 def weighted_targets(targets: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -80,7 +81,7 @@ def trading_costs(weighted: DataFrame, costs: Costs, axis: Axis = DAILY) -> Data
     multiplier = F.col("multiplier") if "multiplier" in weighted.columns else F.lit(1.0)
     tick = F.col("tick") if "tick" in weighted.columns else F.lit(0.01)
     rows = rows.withColumn("book_ret", F.sum("earned").over(book))
-    drifted = F.col("w_prev") * (1 + F.col("r")) / (1 + F.col("book_ret"))
+    drifted = F.try_divide(F.col("w_prev") * (1 + F.col("r")), 1 + F.col("book_ret"))
     return rows.withColumn("traded", F.col("w") - drifted).withColumn(
         "cost", F.abs("traded") * costs.unit(F.col("close"), multiplier, tick)
     )
@@ -123,7 +124,7 @@ def trades(weighted: DataFrame, costs: Costs = Costs(), axis: Axis = DAILY) -> D
 
 def lots(ledger_rows: DataFrame, increment: float = 1.0) -> DataFrame:
     """Half-even lot view of weights: needs ``w``, ``equity``, ``close``, ``multiplier``."""
-    units = F.col("w") * F.col("equity") / (F.col("close") * F.col("multiplier")) / increment
+    units = F.try_divide(F.col("w") * F.col("equity"), F.col("close") * F.col("multiplier")) / increment
     return ledger_rows.withColumn("lots", F.rint(units) * increment)
 
 
@@ -229,4 +230,4 @@ def calendar_fill(equity: DataFrame, capital: float, keys: tuple[str, ...] = ())
     days = spans.withColumn("ts", F.explode(F.expr("sequence(d, date_sub(nxt, 1))")))
     start = F.when(F.col("ts") == F.col("d"), F.col("base")).otherwise(F.col("e"))
     end = F.when(F.date_add("ts", 1) == F.col("nxt"), F.col("nxt_e")).otherwise(F.col("e"))
-    return days.select(*keys, F.col("ts").cast("timestamp").alias("ts"), (end / start - 1).alias("ret"))
+    return days.select(*keys, F.col("ts").cast("timestamp").alias("ts"), (F.try_divide(end, start) - 1).alias("ret"))

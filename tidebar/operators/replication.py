@@ -41,7 +41,7 @@ def fill_months(monthly: DataFrame) -> DataFrame:
 def tsmom_legs(monthly: DataFrame, k: int, h: int = 1, scale: bool = True) -> DataFrame:
     """Per-instrument returns of the k-month rule held for *h* overlapping months."""
     months = past_return(fill_months(monthly), k, MONTHS)
-    lever = F.lit(TARGET_VOL) / F.col("vol") if scale else F.lit(1.0)
+    lever = F.try_divide(F.lit(TARGET_VOL), F.col("vol")) if scale else F.lit(1.0)
     pos = F.when(F.col("past").isNotNull() & F.col("vol").isNotNull(), F.signum("past") * lever)
 
     def build(df, w):
@@ -59,7 +59,7 @@ def passive_legs(monthly: DataFrame) -> DataFrame:
     """Always-long legs at the same ex-ante risk."""
     months = fill_months(monthly)
     w = MONTHS.window()
-    leg = F.lit(TARGET_VOL) / F.lag("vol").over(w) * F.col("ret")
+    leg = F.try_divide(F.lit(TARGET_VOL), F.lag("vol").over(w)) * F.col("ret")
     return months.withColumn("leg", leg).where("leg IS NOT NULL").select("symbol", "month", "m", "leg")
 
 
@@ -82,7 +82,7 @@ def tsmom_grid(monthly: DataFrame, ks: list[int], hs: list[int]) -> DataFrame:
         for k in ks:
             frame = w.rowsBetween(-(k - 1), 0)
             known = (F.count("__lr").over(frame) == k) & F.col("vol").isNotNull()
-            cols[f"__p{k}"] = F.when(known, F.signum(F.exp(F.sum("__lr").over(frame)) - 1) * TARGET_VOL / F.col("vol"))
+            cols[f"__p{k}"] = F.when(known, F.signum(F.exp(F.sum("__lr").over(frame)) - 1) * F.try_divide(F.lit(TARGET_VOL), F.col("vol")))
         return df.withColumns(cols)
 
     def history(df, w):
@@ -108,7 +108,7 @@ def pooled_sign_regression(monthly: DataFrame, lags: int = 24) -> DataFrame:
     months = fill_months(monthly)
 
     def build(df, w):
-        ys = F.col("ret") / F.lag("vol").over(w)
+        ys = F.try_divide(F.col("ret"), F.lag("vol").over(w))
         past = F.array(*[F.signum(F.lag("ret", h).over(w)) for h in range(1, lags + 1)])
         return df.withColumns({"y": ys, "__past": past})
 
@@ -124,16 +124,16 @@ def pooled_sign_regression(monthly: DataFrame, lags: int = 24) -> DataFrame:
         *[F.sum(c).alias(f"t_{c}") for c in ("n", "sx", "sy", "sxx", "sxy")], F.count(F.lit(1)).alias("g")
     )
     det = F.col("t_n") * F.col("t_sxx") - F.col("t_sx") * F.col("t_sx")
-    b = (F.col("t_n") * F.col("t_sxy") - F.col("t_sx") * F.col("t_sy")) / det
+    b = F.try_divide(F.col("t_n") * F.col("t_sxy") - F.col("t_sx") * F.col("t_sy"), det)
     tot = tot.withColumns({"det": det, "b": b}).withColumn("a", (F.col("t_sy") - F.col("b") * F.col("t_sx")) / F.col("t_n"))
     scored = per.join(tot, "h")
     u = F.col("sy") - F.col("a") * F.col("n") - F.col("b") * F.col("sx")
     v = F.col("sxy") - F.col("a") * F.col("sx") - F.col("b") * F.col("sxx")
     # Second row of the inverse moment matrix times the cluster score.
-    z = (F.col("t_n") * v - F.col("t_sx") * u) / F.col("det")
+    z = F.try_divide(F.col("t_n") * v - F.col("t_sx") * u, F.col("det"))
     return scored.withColumn("z", z).groupBy("h").agg(
         F.max("b").alias("b"),
-        (F.max("b") / F.sqrt(F.sum(F.col("z") * F.col("z")) * F.max("g") / (F.max("g") - 1))).alias("t_stat"),
+        F.try_divide(F.max("b"), F.sqrt(F.try_divide(F.sum(F.col("z") * F.col("z")) * F.max("g"), F.max("g") - 1))).alias("t_stat"),
     )
 
 

@@ -33,16 +33,16 @@ def _text(cell):
 
 def parse_constituents(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """First cell is the symbol, second the name."""
-    return rows.where(F.size("cells") >= 2).select(*(keys or []), F.col("cells")[0].alias("symbol"), F.col("cells")[1].alias("name"))
+    return rows.where(F.size("cells") >= 2).select(*(keys or []), F.get("cells", F.lit(0)).alias("symbol"), F.get("cells", F.lit(1)).alias("name"))
 
 
 def parse_changes(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Membership changes; short rows and rows without a readable date are skipped."""
     out = rows.where(F.size("cells") >= 6).select(
         *(keys or []),
-        F.try_to_timestamp(F.col("cells")[0], F.lit("MMMM d, yyyy")).cast("date").alias("effective_date"),
-        F.nullif(F.col("cells")[1], F.lit("")).alias("added"),
-        F.nullif(F.col("cells")[3], F.lit("")).alias("removed"),
-        F.col("cells")[5].alias("reason"),
+        F.try_to_timestamp(F.get("cells", F.lit(0)), F.lit("MMMM d, yyyy")).cast("date").alias("effective_date"),
+        F.nullif(F.get("cells", F.lit(1)), F.lit("")).alias("added"),
+        F.nullif(F.get("cells", F.lit(3)), F.lit("")).alias("removed"),
+        F.get("cells", F.lit(5)).alias("reason"),
     )
     return out.where("effective_date IS NOT NULL")

@@ -132,7 +132,7 @@ def sweep_trend(bars: DataFrame, folds: DataFrame, grid: list[dict], costs: Cost
         df = df.withColumn("__r", pct_change("close", w))
         ma = {f"ma{n}": _rolling(F.avg, "close", w, n) for n in spans}
         rv = {f"rv{n}": _rolling(F.stddev_samp, "__r", w, n) * ANNUAL for n in vols}
-        ahead = {"__next_ret": F.lead("close").over(w) / F.col("close") - 1, "__next_ts": F.lead(axis.order).over(w)}
+        ahead = {"__next_ret": F.try_divide(F.lead("close").over(w), F.col("close")) - 1, "__next_ts": F.lead(axis.order).over(w)}
         df = df.withColumns({**ma, **rv, **ahead})
         if costs is not None:
             df = df.withColumns({f"was_{c}": F.lag(c).over(w) for c in columns})
@@ -208,7 +208,7 @@ def engine_comparison(screened: DataFrame, validated: DataFrame) -> DataFrame:
     return (
         pick(screened, "screened").join(pick(validated, "validated"), "params")
         .withColumn("diff", F.col("validated") - F.col("screened"))
-        .withColumn("ratio", F.col("validated") / F.col("screened"))
+        .withColumn("ratio", F.try_divide(F.col("validated"), F.col("screened")))
     )
 
 
