@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import TRADING_DAYS
-from .ordered import DAILY, Axis, over_rows, running
+from .ordered import DAILY, Axis, asof_backward, over_rows, running
 from .walkforward import sharpe
 
 COMPONENTS = ["total", "long_leg", "short_leg", "market_timing", "selection", "beta_hedged"]
@@ -57,6 +57,19 @@ def attribution_series(panel: DataFrame, start=None, benchmark: DataFrame | None
     return series.select("ts", "total", "long_leg", "short_leg", "market_timing", "selection", "net", "gross", "bench")
 
 
+def benchmark_align(panel: DataFrame, benchmark: DataFrame, axis: Axis = DAILY) -> DataFrame:
+    """Benchmark bar returns on the panel's calendar, its last close carried over gaps."""
+    days = panel.select(axis.order).distinct().withColumn("__k", F.lit(0))
+    line = replace(axis, keys=("__k",), ties=())
+    carried = asof_backward(days, benchmark.select(axis.order, "close").withColumn("__k", F.lit(0)), line, ["close"])
+    out = over_rows(
+        carried, line,
+        lambda df, w: df.withColumn("bench", F.coalesce(F.try_divide(F.col("close"), F.lag("close").over(w)) - 1, F.lit(0.0))),
+        before=1,
+    )
+    return out.select(axis.order, "bench")
+
+
 def hedged(series: DataFrame) -> DataFrame:
     """Add the beta to the benchmark and the beta-hedged return."""
     var = F.var_samp("bench")

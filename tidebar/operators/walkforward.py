@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..schema import TRADING_DAYS
 from .ordered import DAILY, Axis, over_rows
 from .panel import calendar
-from .portfolio import Costs
+from .portfolio import Costs, calendar_fill, ledger, ledger_exact, weighted_targets
 from .volatility import _rolling, pct_change
 
 ANNUAL = TRADING_DAYS**0.5
@@ -115,57 +115,118 @@ def pending_trials(trials: DataFrame, done: DataFrame) -> DataFrame:
     return trials.join(done.select("trial").distinct(), "trial", "left_anti")
 
 
-def sweep_trend(bars: DataFrame, folds: DataFrame, grid: list[dict], costs: Costs | None = None, axis: Axis = DAILY) -> DataFrame:
-    """Trend-following returns of every trial in *grid* over every fold's test window.
-
-    *grid* holds ``fast, slow, vol_target, vol_lookback`` per trial. A position set
-    at a close earns the next bar of the same symbol, so a bar's row already holds
-    everything a trial needs: the current and the previous indicators and the next
-    return. Costs are charged on the change of target weight at the close.
-    """
+def _indicators(bars: DataFrame, grid: list[dict], axis: Axis, lagged: bool) -> DataFrame:
+    """Every (indicator, window) the grid needs, once per bar, as window-keyed maps."""
     spans = sorted({p["fast"] for p in grid} | {p["slow"] for p in grid})
     vols = sorted({p["vol_lookback"] for p in grid})
-    names = bars.agg(F.count_distinct("symbol").alias("n")).scalar()
     columns = [f"ma{n}" for n in spans] + [f"rv{n}" for n in vols]
 
-    def indicators(df, w):
+    def build(df, w):
         df = df.withColumn("__r", pct_change("close", w))
         ma = {f"ma{n}": _rolling(F.avg, "close", w, n) for n in spans}
         rv = {f"rv{n}": _rolling(F.stddev_samp, "__r", w, n) * ANNUAL for n in vols}
         ahead = {"__next_ret": F.try_divide(F.lead("close").over(w), F.col("close")) - 1, "__next_ts": F.lead(axis.order).over(w)}
         df = df.withColumns({**ma, **rv, **ahead})
-        if costs is not None:
-            df = df.withColumns({f"was_{c}": F.lag(c).over(w) for c in columns})
-        return df
+        return df.withColumns({f"was_{c}": F.lag(c).over(w) for c in columns}) if lagged else df
 
     def table(prefix: str, ns: list[int]) -> Column:
         return F.create_map(*[x for n in ns for x in (F.lit(n), F.col(f"{prefix}{n}"))])
 
     reach = max(max(spans), max(vols) + 1) + 1
-    rows = over_rows(bars.select(*axis.keys, axis.order, "close"), axis, indicators, before=reach, after=1)
-    kept = [table("ma", spans).alias("ma"), table("rv", vols).alias("rv")]
-    if costs is not None:
-        kept += [table("was_ma", spans).alias("was_ma"), table("was_rv", vols).alias("was_rv")]
-        kept.append(costs.unit(F.col("close"), F.lit(1.0), F.lit(0.01)).alias("unit"))
-    rows = rows.where("__next_ts IS NOT NULL").select(F.col("__next_ts").alias("ts"), F.col("__next_ret").alias("r"), *kept)
-    rows = fold_windows(rows, folds, "ts")
-    trials = F.array(
-        *[F.struct(F.lit(i).cast("long").alias("trial"), F.lit(p["fast"]).alias("fast"), F.lit(p["slow"]).alias("slow"),
-                   F.lit(float(p["vol_target"])).alias("vt"), F.lit(p["vol_lookback"]).alias("vl")) for i, p in enumerate(grid)]
-    )
-    each = rows.withColumn("p", F.explode(trials))
+    rows = over_rows(bars.select(*axis.keys, axis.order, "close"), axis, build, before=reach, after=1)
+    maps = [table("ma", spans).alias("ma"), table("rv", vols).alias("rv")]
+    if lagged:
+        maps += [table("was_ma", spans).alias("was_ma"), table("was_rv", vols).alias("was_rv")]
+    return rows.select(*axis.keys, axis.order, "close", F.col("__next_ts").alias("next_ts"), F.col("__next_ret").alias("next_ret"), *maps)
 
-    def target(ma: str, rv: str) -> Column:
-        gap = F.signum(F.element_at(ma, F.col("p.fast")) - F.element_at(ma, F.col("p.slow")))
-        vol = F.element_at(rv, F.col("p.vl"))
-        size = F.when(vol.isNotNull(), F.least(F.col("p.vt") / F.greatest(vol, F.lit(1e-6)), F.lit(5.0)))
-        return F.coalesce(gap * size, F.lit(0.0))
 
-    earned = target("ma", "rv") * F.col("r")
+def _each_trial(rows: DataFrame, grid: list[dict]) -> DataFrame:
+    """Attach every trial to every row as an exploded constant array (no join)."""
+    trials = [
+        F.struct(F.lit(i).cast("long").alias("trial"), F.lit(p["fast"]).alias("fast"), F.lit(p["slow"]).alias("slow"),
+                 F.lit(float(p["vol_target"])).alias("vt"), F.lit(p["vol_lookback"]).alias("vl"))
+        for i, p in enumerate(grid)
+    ]
+    return rows.withColumn("p", F.explode(F.array(*trials)))
+
+
+def _trial_target(ma: str = "ma", rv: str = "rv") -> Column:
+    gap = F.signum(F.element_at(ma, F.col("p.fast")) - F.element_at(ma, F.col("p.slow")))
+    vol = F.element_at(rv, F.col("p.vl"))
+    size = F.when(vol.isNotNull(), F.least(F.col("p.vt") / F.greatest(vol, F.lit(1e-6)), F.lit(5.0)))
+    return F.coalesce(gap * size, F.lit(0.0))
+
+
+def sweep_trend(bars: DataFrame, folds: DataFrame, grid: list[dict], costs: Costs | None = None, axis: Axis = DAILY) -> DataFrame:
+    """Trend-following returns of every trial in *grid* over every fold's test window.
+
+    *grid* holds ``fast, slow, vol_target, vol_lookback`` per trial. A position set
+    at a close earns the next bar of the same symbol, so a bar's row already holds
+    everything a trial needs: the current and the previous indicators and the next
+    return. Costs are charged on the change of target weight at the close.
+    """
+    names = bars.agg(F.count_distinct("symbol").alias("n")).scalar()
+    rows = _indicators(bars, grid, axis, costs is not None).where("next_ts IS NOT NULL")
+    each = _each_trial(fold_windows(rows, folds, "next_ts"), grid)
+    earned = _trial_target() * F.col("next_ret")
     if costs is not None:
-        earned = earned - F.abs(target("ma", "rv") - target("was_ma", "was_rv")) * F.col("unit")
+        unit = costs.unit(F.col("close"), F.lit(1.0), F.lit(0.01))
+        earned = earned - F.abs(_trial_target() - _trial_target("was_ma", "was_rv")) * unit
     each = each.withColumn("earned", earned / names)
-    return each.groupBy(F.col("p.trial").alias("trial"), "fold", "ts").agg(F.sum("earned").alias("ret"))
+    return each.groupBy(F.col("p.trial").alias("trial"), "fold", F.col("next_ts").alias("ts")).agg(F.sum("earned").alias("ret"))
+
+
+def sweep_targets(bars: DataFrame, grid: list[dict], chosen: DataFrame | None = None, axis: Axis = DAILY) -> DataFrame:
+    """Targets of every trial (or of the *chosen* ones) on every bar."""
+    each = _each_trial(_indicators(bars, grid, axis, False), grid).select(
+        F.col("p.trial").alias("trial"), *axis.keys, axis.order, "close", _trial_target().alias("target")
+    )
+    return each if chosen is None else each.join(F.broadcast(chosen.select("trial")), "trial", "left_semi")  # k rows
+
+
+def validate_top_k(bars: DataFrame, folds: DataFrame, grid: list[dict], screened: DataFrame, k: int, costs: Costs,
+                   axis: Axis = DAILY) -> DataFrame:
+    """Re-score the best *k* screened trials with the unit-holding ledger, per fold.
+
+    Returns ``trial, fold, ts, ret`` on calendar days; deflate them by the whole
+    search by passing the screened returns as ``selection`` to ``summarize_study``.
+    """
+    names = bars.agg(F.count_distinct("symbol").alias("n")).scalar()
+    best = screened.orderBy(F.desc("value"), "trial").limit(k)
+    inside = fold_windows(sweep_targets(bars, grid, best, axis), folds, axis.order)
+    books = ledger_exact(inside.withColumn("w", F.col("target") / names), costs, keys=("trial", "fold"))
+    return calendar_fill(books, 1.0, ("trial", "fold"))
+
+
+def full_backtest(targets: DataFrame, min_train: int = TRADING_DAYS, costs: Costs = Costs(), capital: float = 1.0,
+                  axis: Axis = DAILY) -> DataFrame:
+    """Ledger of one parameter set from the close after the warm-up to the end."""
+    start = calendar(targets, axis).where(F.col("t") == min_train).agg(F.min(axis.order).alias("s")).scalar()
+    return ledger(weighted_targets(targets).where(F.col(axis.order) >= start), costs, capital, axis)
+
+
+def run_all(strategies: dict[str, DataFrame], folds: DataFrame, axis: Axis = DAILY) -> DataFrame:
+    """Out-of-sample Sharpe of every strategy on every symbol, best first.
+
+    *strategies* maps a name to bars with targets; they run as one keyed table.
+    """
+    parts = [df.select(F.lit(name).alias("strategy"), *axis.keys, axis.order, "close", "target") for name, df in strategies.items()]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    keyed = axis.within("strategy")
+    earned = over_rows(
+        rows, keyed, lambda df, w: df.withColumn("ret", F.lag("target").over(w) * pct_change("close", w)), before=1
+    )
+    inside = fold_windows(earned.where("ret IS NOT NULL"), folds, axis.order)
+    out = inside.groupBy("strategy", *axis.keys).agg(sharpe(F.col("ret")).alias("sharpe"), F.count("ret").alias("n"))
+    return out.orderBy(F.desc("sharpe"))
+
+
+def space_table(spark: SparkSession, space: dict) -> DataFrame:
+    """A parameter space as rows: name, kind and choices."""
+    kind = lambda v: "choice" if isinstance(v, list) else "range" if isinstance(v, dict) else "fixed"
+    return spark.createDataFrame([(k, kind(v), json.dumps(v)) for k, v in sorted(space.items())], "name string, kind string, choices string")
 
 
 def fold_scores(returns: DataFrame) -> DataFrame:

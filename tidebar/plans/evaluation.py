@@ -16,7 +16,7 @@ from . import inputs as src
 from .features import _RET, ALIGN, _roll
 from .inputs import BRAND
 from .registry import query
-from .signals import _vol
+from .signals import QUERY_MOMENTUM, QUERY_REVERSION, QUERY_TREND, _vol
 
 COSTS = portfolio.Costs(rate=0.0005)
 
@@ -312,6 +312,40 @@ def param_grid(spark, sf):
     return wf.pending_trials(grid, done).select("trial", *[F.col("params")[n].alias(n) for n in ("fast", "slow", "vol_lookback")])
 
 
+@query("ts_init:t ret:8 fee:8 equity:6", TGT.replace("(PARTITION BY symbol ORDER BY ts_init), 0) AS wp FROM wt)", "(PARTITION BY symbol ORDER BY ts_init), 0) AS wp FROM wt WHERE ts_init >= (SELECT ts_init FROM (SELECT DISTINCT ts_init FROM bars) ORDER BY 1 LIMIT 1 OFFSET 252))") + _LED + " SELECT * FROM led")
+def full_backtest(spark, sf):
+    return wf.full_backtest(targets(spark, sf), 252, COSTS)
+
+
+_ALL = f"""WITH tg AS (SELECT 'trend' AS strategy, * FROM ({QUERY_TREND}) UNION ALL SELECT 'momentum', * FROM ({QUERY_MOMENTUM}) UNION ALL SELECT 'reversion', * FROM ({QUERY_REVERSION})),
+b AS ({BRAND} SELECT * FROM bars), fo AS ({BRAND}{FOLDS} SELECT * FROM folds),
+e AS (SELECT strategy, symbol, ts_init, lag(target) OVER w * (close / lag(close) OVER w - 1) AS ret FROM tg JOIN b USING (symbol, ts_init) WINDOW w AS (PARTITION BY strategy, symbol ORDER BY ts_init))
+SELECT strategy, symbol, count(*) AS n, CASE WHEN count(*) < 2 OR stddev_samp(ret) = 0 THEN 0 ELSE avg(ret) / stddev_samp(ret) * sqrt(252) END AS sharpe FROM e JOIN fo ON ts_init BETWEEN test_start AND test_end WHERE ret IS NOT NULL GROUP BY 1, 2"""
+
+
+@query("strategy:s symbol:s n:i sharpe:6", _ALL)
+def run_all(spark, sf):
+    bars = src.brand_bars(spark, sf)
+    return wf.run_all(
+        {
+            "trend": strategies.trend_following(bars),
+            "momentum": strategies.ts_momentum(bars, 60, 5, vol_lookback=20),
+            "reversion": strategies.mean_reversion(bars),
+        },
+        folds_of(bars),
+    )
+
+
+@query("trial:i fold:i days:i sharpe:6")
+def validate_top_k(spark, sf):
+    """The three best trials re-scored with the unit-holding ledger on calendar days."""
+    bars = src.brand_bars(spark, sf)
+    windows = store_once(folds_of(bars))
+    screened = store_once(wf.trial_scores(wf.fold_scores(wf.sweep_trend(bars, windows, GRID))))
+    returns = wf.validate_top_k(bars, windows, GRID, screened, 3, COSTS)
+    return wf.fold_scores(returns).withColumnRenamed("n", "days")
+
+
 # -- selection bias ----------------------------------------------------------------
 
 
@@ -443,6 +477,18 @@ def attribution_series(spark, sf):
     return attributed(spark, sf)
 
 
+@query("ts_init:t bench:8", BRAND + """, d AS (SELECT DISTINCT ts_init FROM bars), o AS (SELECT o_orderdate + INTERVAL 1 DAY AS ts_init, arg_max(o_totalprice, o_orderkey) AS close FROM orders WHERE o_orderpriority = '2-HIGH' GROUP BY 1),
+a AS (SELECT d.ts_init, o.close FROM d ASOF LEFT JOIN o ON d.ts_init >= o.ts_init) SELECT ts_init, coalesce(close / lag(close) OVER (ORDER BY ts_init) - 1, 0) AS bench FROM a""")
+def benchmark_align(spark, sf):
+    return att.benchmark_align(src.brand_bars(spark, sf), src.order_bars(spark, sf).where("symbol = '2-HIGH'"))
+
+
+@query("trial:s ts:t ret:8", _EARN + ", ix AS (SELECT DISTINCT o_orderdate AS ts FROM orders WHERE o_orderpriority = '2-HIGH') SELECT trial, ts, product(1 + ret) - 1 AS ret FROM sr WHERE ts IN (SELECT ts FROM ix) GROUP BY ALL")
+def within_reference_days(spark, sf):
+    days = src.table(spark, sf, "orders").where("o_orderpriority = '2-HIGH'").select(F.col("o_orderdate").cast("timestamp").alias("ts"))
+    return stats.within(stats.stitch_returns(symbol_returns(spark, sf), ["trial"]), days)
+
+
 @query("component:s ann_return:6 ann_vol:6 sharpe:6", _ATT + "".join(
     (" UNION ALL" if i else "") + f" SELECT '{c}' AS component, avg({c}) * 252 AS ann_return, stddev_samp({c}) * sqrt(252) AS ann_vol, avg({c}) / stddev_samp({c}) * sqrt(252) AS sharpe FROM sh"
     for i, c in enumerate(att.COMPONENTS)))

@@ -108,6 +108,11 @@ def infer_precision(spark, sf):
     return store.infer_price_precision(src.table(spark, sf, "orders").select(key.alias("symbol"), x.cast("double").alias("x")), ["symbol"], ["x"])
 
 
+@query("symbol:s venue:s precision:i increment:6", _STORE + ", g AS (SELECT symbol, venue, p, max(greatest(abs(open * pow(10, p) - round_even(open * pow(10, p), 0)), abs(high * pow(10, p) - round_even(high * pow(10, p), 0)), abs(low * pow(10, p) - round_even(low * pow(10, p), 0)), abs(close * pow(10, p) - round_even(close * pow(10, p), 0)))) AS gap FROM sb, range(10) r(p) GROUP BY ALL) SELECT symbol, venue, coalesce(min(p) FILTER (gap < 1e-6), 9) AS precision, pow(10.0, -coalesce(min(p) FILTER (gap < 1e-6), 9)) AS increment FROM g GROUP BY symbol, venue")
+def equity_instruments(spark, sf):
+    return store.equity_instruments(stored(spark, sf))
+
+
 @query("o_orderkey:i ts_init:t open:s close:s", """SELECT o_orderkey, o_orderdate + INTERVAL 1 HOUR AS ts_init, CAST(CAST(round_even(o_totalprice / 3 * 100, 0) / 100 AS DECIMAL(20, 2)) AS DECIMAL(38, 16))::VARCHAR AS open,
  CAST(CAST(o_totalprice AS DECIMAL(20, 2)) AS DECIMAL(38, 16))::VARCHAR AS close FROM orders""")
 def normalize_bars(spark, sf):

@@ -54,7 +54,10 @@ def _tsm(freq: int) -> str:
  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS target FROM p"""
 
 
-@query(T, _tsm(1))
+QUERY_MOMENTUM = _tsm(1)
+
+
+@query(T, QUERY_MOMENTUM)
 def ts_momentum(spark, sf):
     return strategies.ts_momentum(src.brand_bars(spark, sf), 60, 5, vol_lookback=20)
 
@@ -64,11 +67,14 @@ def ts_momentum_rebal(spark, sf):
     return strategies.ts_momentum(src.brand_bars(spark, sf), 60, 5, vol_lookback=20, rebal_freq=21)
 
 
-@query(T, BRAND + _RET + f""", f AS (SELECT symbol, ts_init, coalesce(ret, 0) AS x FROM r),
+QUERY_REVERSION = BRAND + _RET + f""", f AS (SELECT symbol, ts_init, coalesce(ret, 0) AS x FROM r),
 z AS (SELECT *, (x - {_roll('avg(x)', 20, 'x')}) / greatest({_roll('stddev_samp(x)', 20, 'x')}, 1e-9) AS z,
  coalesce(CASE WHEN {_vol(20, 'x')} IS NOT NULL THEN greatest({_vol(20, 'x')}, 1e-6) END, 1.0) AS v FROM f),
 s AS (SELECT *, CASE WHEN z IS NULL THEN 0.0 WHEN abs(z) > 2 THEN -sign(z) * least(0.1 / v, 3) WHEN abs(z) < 0.5 THEN 0.0 END AS said FROM z)
-SELECT symbol, ts_init, coalesce(last_value(said IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts_init), 0) AS target FROM s""")
+SELECT symbol, ts_init, coalesce(last_value(said IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts_init), 0) AS target FROM s"""
+
+
+@query(T, QUERY_REVERSION)
 def mean_reversion(spark, sf):
     return strategies.mean_reversion(src.brand_bars(spark, sf))
 

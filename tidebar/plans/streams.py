@@ -13,7 +13,7 @@ from . import inputs as src
 from .ingest import _OLD, _STORE, old_part, stored
 from .inputs import _EVENTS, BRAND, _sql_bars
 from .registry import query
-from .signals import QUERY_TREND
+from .signals import QUERY_MOMENTUM, QUERY_TREND
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -88,3 +88,18 @@ def stream_live_targets(spark, sf):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     bars = src.brand_bars(spark, sf).select("symbol", "ts_init", "close")
     return drain(streaming.live_targets(bar_stream(spark, bars)), spark)
+
+
+@query("symbol:s ts_init:t target:6", QUERY_MOMENTUM)
+def stream_tail_targets(spark, sf):
+    """Targets of each micro-batch computed with the stored bars before it."""
+    from ..operators.strategies import ts_momentum
+
+    bars = src.brand_bars(spark, sf).select("symbol", "ts_init", "close")
+    history, out = bars.where("ts_init < TIMESTAMP '1998-01-01'"), fresh(spark)
+    signals = lambda df: ts_momentum(df, 60, 5, vol_lookback=20)
+    write = lambda df: df.select("symbol", "ts_init", "target").write.mode("append").parquet(f"{out}/targets")
+    write(signals(history))
+    late = bar_stream(spark, bars.where("ts_init >= TIMESTAMP '1998-01-01'"))
+    streaming.stream_tail_targets(late, lambda: history, signals, write, f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/targets")

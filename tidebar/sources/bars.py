@@ -231,6 +231,12 @@ def continuous_definitions(continuous: DataFrame, definitions: DataFrame) -> Dat
     return rooted.join(newest, "underlying", "left").withColumn("expiry", F.lit(None).cast("timestamp"))
 
 
+def equity_instruments(bars: DataFrame) -> DataFrame:
+    """Equity definitions from their bars: price precision and the matching increment."""
+    out = infer_price_precision(bars, ["symbol", "venue"])
+    return out.withColumn("increment", F.pow(F.lit(10.0), -F.col("precision")))
+
+
 def append_instruments(new: DataFrame, stored: DataFrame) -> DataFrame:
     return new.join(stored.select("instrument_id"), "instrument_id", "left_anti")
 
