@@ -15,6 +15,11 @@ def calendar(bars: DataFrame, axis: Axis = DAILY, name: str = "t") -> DataFrame:
     return row_index(bars.select(axis.order).distinct(), replace(axis, keys=(), ties=()), name)
 
 
+def small_calendar(days: DataFrame, axis: Axis) -> DataFrame:
+    """Broadcast a table with one row per close where the bar length bounds its size."""
+    return F.broadcast(days) if axis.bounded else days
+
+
 def common_calendar(bars: DataFrame) -> DataFrame:
     """Closes at which every symbol has a bar."""
     symbols = bars.agg(F.count_distinct("symbol").alias("n")).scalar()
@@ -37,7 +42,7 @@ def align_union(bars: DataFrame, axis: Axis = DAILY) -> DataFrame:
     the gaps forward without a calendar-by-symbol product. Adds ``t`` (calendar
     position) and ``real`` (false for a filled row, whose volume is zero).
     """
-    days = calendar(bars, axis)
+    days = small_calendar(calendar(bars, axis), axis)
     placed = bars.join(days, axis.order)
     placed = over_rows(
         placed, axis, lambda df, w: df.withColumn("__next", F.lead("t").over(w)), after=1

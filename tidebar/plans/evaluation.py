@@ -180,7 +180,7 @@ folds AS (SELECT fold, (SELECT min(ts) FROM fc) AS train_start, arg_min(coalesce
 
 
 def folds_of(bars):
-    return wf.make_folds(bars)
+    return store_once(wf.make_folds(bars))
 
 
 @query("fold:i train_start:t train_end:t test_start:t test_end:t test_days:i", BRAND + FOLDS + " SELECT *, datediff('day', test_start, test_end) AS test_days FROM folds")
@@ -340,7 +340,7 @@ def run_all(spark, sf):
 def validate_top_k(spark, sf):
     """The three best trials re-scored with the unit-holding ledger on calendar days."""
     bars = src.brand_bars(spark, sf)
-    windows = store_once(folds_of(bars))
+    windows = folds_of(bars)
     screened = store_once(wf.trial_scores(wf.fold_scores(wf.sweep_trend(bars, windows, GRID))))
     returns = wf.validate_top_k(bars, windows, GRID, screened, 3, COSTS)
     return wf.fold_scores(returns).withColumnRenamed("n", "days")
