@@ -149,8 +149,10 @@ def signal_quality(panel: DataFrame, horizon: int = 21, first: int = 1, axis: Ax
     )
     t_stat = F.try_divide(F.avg("ic"), F.stddev_samp("ic")) * F.sqrt(F.count("ic"))
     ic = ics.agg(
-        F.avg("ic").alias("rank_ic"),
-        F.when((F.count("ic") > 2) & (F.stddev_samp("ic") > 0), t_stat).alias("rank_ic_t"),
-        F.count("ic").alias("ic_dates"),
-    )
-    return hits.join(F.broadcast(ic), F.lit(True))  # one row each
+        F.struct(
+            F.avg("ic").alias("rank_ic"),
+            F.when((F.count("ic") > 2) & (F.stddev_samp("ic") > 0), t_stat).alias("rank_ic_t"),
+            F.count("ic").alias("ic_dates"),
+        ).alias("ic")
+    ).scalar()
+    return hits.withColumn("ic", ic).select(*hits.columns, "ic.*")

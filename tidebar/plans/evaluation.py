@@ -366,8 +366,8 @@ def observed_sharpe(spark, sf):
 
 def deflation_inputs(spark, sf):
     own = store_once(stats.observed_sharpe(symbol_returns(spark, sf), ["symbol"]))
-    spread = own.agg(F.count(F.lit(1)).alias("n_trials"), F.stddev_samp("sharpe").alias("trial_std"))
-    return own.join(F.broadcast(spread), F.lit(True))  # one row
+    spread = own.agg(F.struct(F.count(F.lit(1)).alias("n_trials"), F.stddev_samp("sharpe").alias("trial_std")).alias("s"))
+    return own.withColumn("s", spread.scalar()).select(*own.columns, "s.*")
 
 
 def _ppf(p: str) -> str:

@@ -79,7 +79,7 @@ class TrendTargets(StatefulProcessor):
         self.keep = max(slow, fast, vol_lookback + 1)
 
     def init(self, handle) -> None:
-        schema = T.StructType([T.StructField("closes", T.ArrayType(T.DoubleType())), T.StructField("last", T.TimestampType())])
+        schema = T.StructType([T.StructField("closes", T.ArrayType(T.DoubleType())), T.StructField("last", T.LongType())])
         self.state = handle.getValueState("tail", schema)
 
     def handleInputRows(self, key, rows, timerValues):
@@ -90,10 +90,10 @@ class TrendTargets(StatefulProcessor):
         out = []
         frame = pd.concat(list(rows)).sort_values("ts_init")
         for ts, close in zip(frame["ts_init"], frame["close"]):
-            if last is not None and ts <= pd.Timestamp(last):
+            if last is not None and ts.value <= last:
                 continue  # inside coverage already
             closes = (closes + [float(close)])[-self.keep :]
-            last = ts.to_pydatetime()
+            last = ts.value
             out.append((key[0], ts, self._target(closes)))
         self.state.update((closes, last))
         yield pd.DataFrame(out, columns=["symbol", "ts_init", "target"])
