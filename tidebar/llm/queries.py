@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, token_files
+from . import exact_dedup, language_id, packing, secrets, token_files
 from .common import LOWER, UPPER, ascii_lower, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,36 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of every document as read back from the token files."""
     manifest, folder = token_files.token_files(documents(spark, sf_dir), end_id=2)
     return token_files.read_token_files(spark, manifest, folder)
+
+
+@_query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and offset of every piece."""
+    return packing.best_fit(documents(spark, sf_dir))
+
+
+def _span_text(spans):
+    one = F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string")))
+    return F.array_join(one, ",")
+
+
+@_query
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, base kinds counted and digested, all spans listed."""
+    found = secrets.secret_spans(documents(spark, sf_dir).select("doc_id", "text"))
+    of = lambda *kinds: F.filter("spans", lambda x: x["kind"].isin(*kinds))
+    base = [r.kind for r in secrets.BASE]
+    return found.select(
+        "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(_span_text(of(*base)), 256).alias("base_sha256"), _span_text(F.col("spans")).alias("spans"),
+    )
+
+
+@_query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the held-out quarter."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    docs = docs.withColumn("held_out", held_out)
+    known = language_id.dictionaries(docs.where(~F.col("held_out")))
+    return language_id.identify(docs.drop("lang"), known).select("doc_id", "held_out", "lang_pred", "score", "rejected")
