@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, packing, secrets, token_files
+from . import exact_dedup, language_id, packing, secrets, simhash, token_files, toxicity
 from .common import LOWER, UPPER, ascii_lower, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.withColumn("held_out", held_out)
     known = language_id.dictionaries(docs.where(~F.col("held_out")))
     return language_id.identify(docs.drop("lang"), known).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@_query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned outside the held-out fifth."""
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs.where(~F.col("held_out")), labels.where(~toxicity.held_out(F.col("doc_id"))))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@_query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
