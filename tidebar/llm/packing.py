@@ -32,8 +32,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capa
     cache, end = word_ids(tokenizer), end_id.to_bytes(4, "little")
     for batch in batches:
         row, piece, start, length, crc = [], [], [], [], []
-        for i, text in enumerate(batch.column("text")):
-            ids = cache.encode(text.as_py()) + end
+        for i, ids in enumerate(cache.encode_all(t.as_py() for t in batch.column("text"))):
+            ids += end
             for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at:at + 4 * capacity]
                 row.append(i)

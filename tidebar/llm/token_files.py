@@ -46,8 +46,8 @@ def _write(rows: Iterator[pd.DataFrame], folder: str, tokenizer: str, end_id: in
     ):
         for frame in rows:
             offsets = np.empty(len(frame), "<u8")
-            for i, text in enumerate(frame["text"]):
-                ids = np.frombuffer(cache.encode(text) + end, "<u4")
+            for i, found in enumerate(cache.encode_all(frame["text"])):
+                ids = np.frombuffer(found + end, "<u4")
                 offsets[i] = n_ids
                 n_ids += len(ids)
                 ids_out.write(ids.astype(kind).tobytes())
