@@ -41,3 +41,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def partitions(spark: SparkSession, rows: int, per_partition: int) -> int:
     """Partitions for an explicit ``repartition`` so that each holds about ``per_partition`` rows."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition))
+
+
+def bitmap(hashes: DataFrame, column: str, words: int) -> DataFrame:
+    """One row: an array of ``words`` longs (a power of two) with the bits of all hashes set, a filter of bounded size."""
+    slot = F.shiftrightunsigned(column, 6).bitwiseAND(words - 1)
+    bits = hashes.groupBy(slot.alias("slot")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 as int))")).alias("bits"))
+    full = hashes.sparkSession.range(words).join(bits, F.col("id") == F.col("slot"), "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bitmap"))
+
+
+def in_bitmap(bits: Column, hashed: Column, words: int) -> Column:
+    """False for a hash that is not in the bitmap; seldom true for one that is not."""
+    word = F.element_at(bits, (F.shiftrightunsigned(hashed, 6).bitwiseAND(words - 1) + 1).cast("int"))
+    return F.getbit(word, hashed.bitwiseAND(63).cast("int")) == 1
+
+
+def beside(df: DataFrame, one: DataFrame, always: Column) -> DataFrame:
+    """Add the columns of a one-row table of bounded size to every row: a broadcast hash join on a key that is 0 everywhere.
+
+    Lambdas may not hold subqueries, so what they look up has to be a column. ``always`` is any non-negative column of ``df``.
+    """
+    keyed = one.withColumn("_one", F.lit(0))
+    return df.withColumn("_zero", F.least(always, F.lit(0))).join(F.broadcast(keyed), F.col("_zero") == F.col("_one")).drop("_zero", "_one")
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, evaluated once: the optimizer does not copy it into the lambdas of ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -12,21 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, bitmap, in_bitmap, stored
 
 PREFIX_CHARS = 64
 BITMAP_WORDS = 1 << 15  # 2^21 bits, 256 KB: the bound of what every task gets
 
 
-def _bitmap(pairs: DataFrame, words: int):
-    """One array of ``words`` longs in which the bit of each ``pair`` hash is set, as a scalar."""
-    spark = pairs.sparkSession
-    slot = F.shiftrightunsigned("pair", 6).bitwiseAND(words - 1)
-    bits = pairs.groupBy(slot.alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pair & 63 as int))")).alias("bits"))
-    full = spark.range(words).join(bits, F.col("id") == F.col("slot"), "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bitmap")).scalar()
-
-
 def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", prefix_chars: int = PREFIX_CHARS,
                      bitmap_words: int = BITMAP_WORDS) -> DataFrame:
     """Mark every row with the row of its group that stays.
@@ -54,8 +45,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
     # Level three: the full hash, only where the pair may be shared.
     pair = F.xxhash64("size", "prefix")
-    word = F.element_at(_bitmap(pairs.select("pair"), bitmap_words), (F.shiftrightunsigned(pair, 6).bitwiseAND(bitmap_words - 1) + 1).cast("int"))
-    shared = F.getbit(word, pair.bitwiseAND(63).cast("int")) == 1
+    shared = in_bitmap(bitmap(pairs, "pair", bitmap_words).scalar(), pair, bitmap_words)
     hashed = stored(rows.select("row", "id", "size", "prefix", F.when(shared, F.sha2("whole", 256)).alias("full")), "exact-rows")
     groups = hashed.where("full is not null").groupBy("size", "prefix", "full").agg(F.count("*").alias("group_size"), F.max("id").alias("keep_id"))
     groups = groups.where("group_size > 1").select(F.col("full").alias("group_full"), "group_size", "keep_id")
