@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, packing, secrets, simhash, token_files, toxicity
+from . import decontaminate, exact_dedup, language_id, packing, repeats, secrets, simhash, token_files, toxicity
 from .common import LOWER, UPPER, ascii_lower, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,10 @@ hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc_words d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)"""
+
+
+@_query
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document once passages of 200 bytes that occur elsewhere are gone."""
+    found = repeats.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
