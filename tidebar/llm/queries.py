@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, packing, repeats, secrets, simhash, token_files, toxicity
+from . import decontaminate, exact_dedup, language_id, line_dedup, packing, repeats, secrets, simhash, token_files, toxicity
 from .common import LOWER, UPPER, ascii_lower, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,10 @@ def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document once passages of 200 bytes that occur elsewhere are gone."""
     found = repeats.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document once lines that resemble an earlier one are gone."""
+    found = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
