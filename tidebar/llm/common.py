@@ -69,3 +69,17 @@ def beside(df: DataFrame, one: DataFrame, always: Column) -> DataFrame:
 def let(value: Column, body) -> Column:
     """``body`` of ``value``, evaluated once: the optimizer does not copy it into the lambdas of ``body``."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def named(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Add ``d1`` and ``d2``, 128 bits of hash that tell documents apart by id and text."""
+    return df.withColumns({"d1": F.xxhash64(doc_id, text), "d2": F.xxhash64(F.lit("second"), text, doc_id)})
+
+
+def without(docs: DataFrame, gone: DataFrame, words: int = 1 << 15) -> DataFrame:
+    """Rows of ``docs`` whose name (``d1``, ``d2``) is not in ``gone``; texts that a bitmap of bounded size clears are not shuffled."""
+    gone = stored(gone.select(F.col("d1").alias("g1"), F.col("d2").alias("g2")).distinct(), "gone")
+    rows = named(docs)
+    hit = in_bitmap(bitmap(gone, "g1", words).scalar(), F.col("d1"), words)
+    kept = rows.where(hit).join(gone, (F.col("d1") == F.col("g1")) & (F.col("d2") == F.col("g2")), "left_anti")
+    return rows.where(~hit).unionByName(kept).select(*docs.columns)

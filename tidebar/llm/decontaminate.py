@@ -117,7 +117,7 @@ def shared_windows(docs: DataFrame, items: DataFrame, text: str = "text", item_i
     lengths = sorted(r["n"] for r in short.select("n").distinct().collect())  # under ``window``
 
     carried = [c for c in docs.columns if c not in {text} | added]
-    rows = docs.select(F.struct(F.lit(0).alias("_"), *carried).alias("row"), F.monotonically_increasing_id().alias("row_id"), words_of(F.col(text)).alias("words"))
+    rows = docs.select(F.struct(F.lit(0).alias("__row"), *carried).alias("row"), F.monotonically_increasing_id().alias("row_id"), words_of(F.col(text)).alias("words"))
     rows = beside(rows, bitmap(prints.select("gram"), "gram", bitmap_words).withColumnRenamed("bitmap", "likely"), F.size("words"))
     hashed = F.transform("words", lambda w: F.xxhash64(w))
     columns = {
@@ -142,4 +142,4 @@ def shared_windows(docs: DataFrame, items: DataFrame, text: str = "text", item_i
     return found.join(judged, "row_id", "left").select(
         "row.*", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
-    ).drop("_")
+    ).drop("__row")

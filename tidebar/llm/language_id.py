@@ -109,8 +109,8 @@ def identify(docs: DataFrame, known: dict[str, bytes], text: str = "text", margi
     """
     added = ["lang_pred", "score", "rejected"]
     others = [c for c in docs.columns if c not in added]
-    rows = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("row"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.struct(F.lit(0).alias("__row"), *others).alias("row"), F.col(text).cast("string").alias("text"))
     row, content = rows.schema["row"].dataType.simpleString(), tuple(known.items())
     shared = docs.sparkSession.sparkContext.broadcast(content)  # MAX_LANGUAGES dictionaries at most
     out = rows.mapInArrow(lambda it: _predict(it, shared.value, margin), f"row {row}, lang_pred string, score double, rejected boolean")
-    return out.select("row.*", *added).drop("_")
+    return out.select("row.*", *added).drop("__row")

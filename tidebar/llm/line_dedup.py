@@ -274,7 +274,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **h
     ``n_lines`` and ``n_removed`` are replaced; an empty table gives an empty result.
     """
     carried = [c for c in docs.columns if c not in {text, "n_lines", "n_removed"}]
-    row = F.struct(F.lit(0).alias("_"), *carried)
+    row = F.struct(F.lit(0).alias("__row"), *carried)
     rows = docs.select(row.alias("row"), F.col(text).cast("string").alias("text"), F.col(doc_id).alias("doc_id"))
     rows = rows.withColumns({"d1": F.xxhash64("doc_id", "text"), "d2": F.xxhash64(F.lit("second"), "text", "doc_id")})  # a document's name: 128 bits of hash
     id_type = rows.schema["doc_id"].dataType.simpleString()

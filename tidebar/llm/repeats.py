@@ -318,7 +318,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", span: int = SPAN, k: int
     spark, added = docs.sparkSession, {"n_bytes", "n_removed", "n_spans", "kept", "removed"}
     carried = [c for c in docs.columns if c not in {text} | added]
     whole = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.struct(F.lit(0).alias("_"), *carried).alias("row"), whole.alias("text"))
+    rows = docs.select(F.struct(F.lit(0).alias("__row"), *carried).alias("row"), whole.alias("text"))
     rows = rows.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit("second"), "text")})  # a text's name: 128 bits of hash
     keyed = rows.select("k1", "k2", "text").where(F.octet_length("text") >= span)
 
@@ -352,4 +352,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", span: int = SPAN, k: int
     met = met.unionByName(rows.where(~cut).select("row", "text", F.lit(None).cast(merged.schema["spans"].dataType).alias("spans")))
     row = rows.schema["row"].dataType.simpleString()
     out = met.mapInArrow(_cut_batches, f"row {row}, n_bytes long, n_removed long, n_spans long, kept binary, removed array<array<long>>")
-    return out.select("row.*", *["n_bytes", "n_removed", "n_spans", "kept", "removed"]).drop("_")
+    return out.select("row.*", *["n_bytes", "n_removed", "n_spans", "kept", "removed"]).drop("__row")

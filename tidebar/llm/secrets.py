@@ -207,7 +207,7 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "
     null or repeated ids do no harm; an existing ``spans`` column is replaced; an empty table gives an empty result.
     """
     others = [c for c in docs.columns if c not in {text, "spans"}]
-    rows = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("row"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.struct(F.lit(0).alias("__row"), *others).alias("row"), F.col(text).cast("string").alias("text"))
     row = rows.schema["row"].dataType.simpleString()
     spans = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return rows.mapInArrow(lambda it: _scan(it, rules, shard_chars), f"row {row}, spans {spans}").select("row.*", "spans").drop("_")
+    return rows.mapInArrow(lambda it: _scan(it, rules, shard_chars), f"row {row}, spans {spans}").select("row.*", "spans").drop("__row")

@@ -60,9 +60,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.
 def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
     """All columns but ``text``, and ``fingerprint`` (signed 64-bit)."""
     others = [c for c in docs.columns if c not in {text, "fingerprint"}]
-    rows = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("row"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.struct(F.lit(0).alias("__row"), *others).alias("row"), F.col(text).cast("string").alias("text"))
     row = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(lambda it: _fingerprints(it, words), f"row {row}, fingerprint long").select("row.*", "fingerprint").drop("_")
+    return rows.mapInArrow(lambda it: _fingerprints(it, words), f"row {row}, fingerprint long").select("row.*", "fingerprint").drop("__row")
 
 
 def levels_for(rows: int) -> int:
@@ -198,17 +198,20 @@ def links(distinct: DataFrame, radius: int = RADIUS, levels: int | None = None,
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """All columns but ``text``, with ``fingerprint`` (signed 64-bit) and ``component_id``, one row for each row.
+    """All columns but ``text``, with ``fingerprint`` (signed 64-bit), ``group`` and ``component_id``, one row for each row.
 
-    Fingerprints at ``radius`` or fewer differing bits are linked; ``component_id`` is the least ``doc_id`` that links reach, the
-    row's own included. Texts without a word (null, empty, white space) have fingerprint zero and are linked like any other.
-    Rows without a ``doc_id`` are linked but never name a component (its id is null if none of its rows has one); rows that
-    repeat a ``doc_id`` are separate rows of one component if their texts are near. An empty table gives an empty result.
+    Fingerprints at ``radius`` or fewer differing bits are linked; ``group`` is the least fingerprint that links reach and
+    ``component_id`` the least ``doc_id``, the row's own included. Texts without a word (null, empty, white space) have
+    fingerprint zero and are linked like any other. Rows without a ``doc_id`` are linked but never name a component (its id is
+    null if none of its rows has one); rows that repeat a ``doc_id`` are separate rows, of one component if their texts are
+    near; existing columns of the three names are replaced; an empty table gives an empty result.
     """
-    rows = stored(fingerprints(docs.drop("component_id"), text, words), "fingerprints")
-    distinct = stored(rows.groupBy("fingerprint").agg(F.min(doc_id).alias("least")), "distinct-fingerprints")
+    carried = [c for c in docs.columns if c not in {text, "fingerprint", "group", "component_id"}]
+    rows = docs.select(F.struct(F.lit(0).alias("__row"), *carried).alias("doc"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    rows = stored(fingerprints(rows, "text", words), "fingerprints")
+    distinct = stored(rows.groupBy("fingerprint").agg(F.min("id").alias("least")), "distinct-fingerprints")
     found = components(links(distinct.select("fingerprint"), radius))
     rooted = distinct.join(found, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select(F.col("fingerprint").alias("shared"), "component_id")
-    return rows.join(named, F.col("fingerprint") == F.col("shared")).drop("shared")
+    named = rooted.join(least, "root").select(F.col("fingerprint").alias("shared"), F.col("root").alias("group"), "component_id")
+    return rows.join(named, F.col("fingerprint") == F.col("shared")).select("doc.*", "fingerprint", "group", "component_id").drop("__row")

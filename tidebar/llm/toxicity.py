@@ -190,9 +190,9 @@ def score(docs: DataFrame, model, text: str = "text", bits: int = BITS, threshol
     are independent, so null or repeated ids do no harm; existing columns of the two names are replaced.
     """
     others = [c for c in docs.columns if c not in {"score", "predicted"}]
-    rows = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("row"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.struct(F.lit(0).alias("__row"), *others).alias("row"), F.col(text).cast("string").alias("text"))
     row, shared = rows.schema["row"].dataType.simpleString(), docs.sparkSession.sparkContext.broadcast(model)
-    out = rows.mapInArrow(lambda it: _score(it, shared.value, bits), f"row {row}, score double").select("row.*", "score").drop("_")
+    out = rows.mapInArrow(lambda it: _score(it, shared.value, bits), f"row {row}, score double").select("row.*", "score").drop("__row")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
