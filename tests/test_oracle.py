@@ -16,6 +16,8 @@ DENSE = {
     "log_variance_proxy", "log_variance_proxy_long_axis", "variogram", "hurst", "hurst_nugget", "roughness_gate", "fit_ou",
     "class_rollup", "pooled_sign_tstats",
 }
+NO_SQL = {"validate_top_k"}
+LLM = ("op", "pipeline")  # tested against brute force in tests/llm
 ORACLES = entry.oracle_sql()
 
 
@@ -37,4 +39,5 @@ def test_every_oracle_has_a_query():
 def test_matches_oracle(spark, con, name):
     sf = DENSE_SF if name in DENSE else SF
     status, _, _ = compare(spark, con[sf], sf, name, entry.queries()[name], ORACLES.get(name))
-    assert status in ("ok", "rows-only")
+    # Without SQL only rows can be asked for here; these queries have tests of their own.
+    assert status == ("rows-only" if name in NO_SQL or name not in ORACLES and name.startswith(LLM) else "ok")

@@ -138,3 +138,15 @@ def test_merge_disjoint_rejects_overlap(spark, daily):
     assert merge_disjoint(a, b).count() == 4
     with pytest.raises(PySparkException):
         merge_disjoint(a, a).collect()
+
+
+def test_migration_reads_nanosecond_stamps(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    folder = tmp_path / "old" / "equity" / "AA"
+    folder.mkdir(parents=True)
+    at = pa.array([1_600_000_000_000_000_123, 1_600_000_000_000_000_999, 1_600_000_060_000_000_000], pa.timestamp("ns"))
+    pq.write_table(pa.table({"ts_event": at, "close": [1.0, 2.0, 3.0]}), folder / "ohlcv-1m.parquet", version="2.6")
+    got = sorted((x.symbol, x.type, x.schema, x.ts_event.timestamp(), x.close) for x in store.migrate_bars(spark, str(tmp_path / "old")).collect())
+    assert [x[4] for x in got] == [2.0, 3.0] and got[0][:3] == ("AA", "equity", "ohlcv-1m")

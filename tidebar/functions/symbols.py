@@ -10,13 +10,13 @@ MONTH_CODES = "FGHJKMNQUVXZ"
 
 # Futures roots by asset class.
 CLASS_ROOTS = {
-    "equity": "ES NQ YM RTY NKD EMD Z MME MFS FESX FDAX",
-    "bond": "ZT ZF ZN ZB UB TN R FGBS FGBM FGBL FGBX",
-    "fx": "6A 6B 6C 6E 6J 6S 6N 6M",
-    "energy": "CL HO RB NG BRN G",
-    "metal": "GC SI HG PL PA",
-    "agriculture": "ZC ZS ZW KE ZL ZM LE HE GF C RC W SB KC CC CT",
-    "volatility": "VX",
+    "equity": ("ES", "NQ", "YM", "RTY", "NKD", "EMD", "Z", "MME", "MFS", "FESX", "FDAX"),
+    "bond": ("ZT", "ZF", "ZN", "ZB", "UB", "TN", "R", "FGBS", "FGBM", "FGBL", "FGBX"),
+    "fx": ("6A", "6B", "6C", "6E", "6J", "6S", "6N", "6M"),
+    "energy": ("CL", "HO", "RB", "NG", "BRN", "G"),
+    "metal": ("GC", "SI", "HG", "PL", "PA"),
+    "agriculture": ("ZC", "ZS", "ZW", "KE", "ZL", "ZM", "LE", "HE", "GF", "C", "RC", "W", "SB", "KC", "CC", "CT"),
+    "volatility": ("VX",),
 }
 
 # Frequency aliases of the bar schemas, and the tick schemas.
@@ -36,7 +36,7 @@ def root_of(symbol: Column) -> Column:
 def asset_class(symbol: Column, groups: dict[str, str] | None = None) -> Column:
     """Peer group of a symbol: *groups*, else the class of its root, else the root."""
     root = root_of(symbol)
-    known = {r: c for c, roots in CLASS_ROOTS.items() for r in roots.split()}
+    known = {r: c for c, roots in CLASS_ROOTS.items() for r in roots}
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     fallback = F.coalesce(F.try_element_at(table, root), root)
     if not groups:

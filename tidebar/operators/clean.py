@@ -9,7 +9,7 @@ from .ordered import DAILY, Axis, over_rows
 
 
 def repair_prices(bars: DataFrame) -> DataFrame:
-    """Drop bars without a positive close; pull the other prices back into line with it."""
+    """Keep bars that closed above zero, with open, high and low made consistent with the close."""
     opened = F.when(F.col("open") <= 0, F.col("close")).otherwise(F.col("open"))
     return (
         bars.where(F.col("close") > 0)

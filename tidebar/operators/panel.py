@@ -67,7 +67,7 @@ def last_bars(bars: DataFrame, axis: Axis = DAILY, out: str = "is_last") -> Data
 
 
 def exit_delisted(targets: DataFrame, axis: Axis = DAILY) -> DataFrame:
-    """Flatten a symbol on its last bar when it ends before the universe does."""
+    """Zero targets on the final bar of symbols that stop trading while others go on."""
     ends = targets.groupBy("symbol").agg(F.max(axis.order).alias("e"))
     horizon = ends.agg(F.max("e").alias("h")).scalar()
     several = ends.agg((F.count(F.lit(1)) >= 2).alias("m")).scalar()

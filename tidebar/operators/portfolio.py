@@ -112,9 +112,13 @@ def ledger(weighted: DataFrame, costs: Costs = Costs(), capital: float = 1.0, ax
     )
 
 
-def trades(weighted: DataFrame, costs: Costs = Costs(), axis: Axis = DAILY) -> DataFrame:
-    """One row per weight change: side, size and cost."""
-    rows = trading_costs(weighted, costs, axis).where(F.abs("traded") > 1e-12)
+def trades(weighted: DataFrame, costs: Costs = Costs(), axis: Axis = DAILY, rounding: float = 1e-12) -> DataFrame:
+    """One row per weight change: side, size and cost.
+
+    A weight held through a bar is compared with itself times growth over growth; differences up to *rounding* are that
+    arithmetic and no trades. With 0 only exact zeros are left out.
+    """
+    rows = trading_costs(weighted, costs, axis).where(F.abs("traded") > rounding)
     return rows.select(
         *axis.keys, axis.order,
         F.when(F.col("traded") > 0, F.lit("BUY")).otherwise(F.lit("SELL")).alias("side"),
@@ -128,7 +132,7 @@ def lots(ledger_rows: DataFrame, increment: float = 1.0) -> DataFrame:
     return ledger_rows.withColumn("lots", F.rint(units) * increment)
 
 
-def turnover(traded: DataFrame, keys: list[str], years: float) -> DataFrame:
+def turnover(traded: DataFrame, keys: list[str], years: float | Column) -> DataFrame:
     """Traded weight per year."""
     return traded.groupBy(*keys).agg((F.sum("size") / years).alias("turnover"))
 

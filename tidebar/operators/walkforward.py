@@ -1,16 +1,17 @@
 """Folds, parameter grids and sweeps.
 
-A sweep is one plan: every (indicator, window) a grid needs is computed once per
-bar, trials are attached to each bar as an exploded constant array, and returns are
-summed straight into (trial, fold, close). Nothing is shuffled per trial except the
-partial sums.
+A sweep is one plan with trial and fold as keys: targets of all trials form one table,
+each (trial, fold) is a book, and books are accounted for side by side by the same
+ledger that a single backtest uses.
 """
 
 from __future__ import annotations
 
 import itertools
 import json
+from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ def make_folds(closes: DataFrame, n_splits: int = 5, test_size: float | int = 0.
                axis: Axis = DAILY) -> DataFrame:
     """Contiguous test windows of equal length at the end of the calendar."""
     if n_splits < 1:
-        raise ValueError(f"n_splits must be >= 1, got {n_splits}")
+        raise ValueError(f"{n_splits} folds: nothing to test on")
     # Stored because the length and the first close are read besides the closes.
     days = store_once(calendar(closes, axis).withColumnRenamed(axis.order, "ts"))
     total = days.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -62,16 +63,20 @@ def fold_table(folds: DataFrame) -> DataFrame:
 
 
 def fold_windows(rows: DataFrame, folds: DataFrame, order: str = "ts_init") -> DataFrame:
-    """Rows inside each fold's test window (folds do not overlap, so at most one each)."""
-    span = F.broadcast(folds.select("fold", "test_start", "test_end"))  # one row per fold
-    inside = F.col(order).between(F.col("test_start"), F.col("test_end"))
-    return rows.join(span, inside).drop("test_start", "test_end")
+    """Rows inside each fold's test window (folds do not overlap, so at most one each).
+
+    There are as many folds as splits, so their bounds become a case expression on the row instead of a join.
+    """
+    fold = F.lit(None).cast("int")
+    for f in folds.select("fold", "test_start", "test_end").collect():
+        fold = F.when(F.col(order).between(F.lit(f["test_start"]), F.lit(f["test_end"])), F.lit(f["fold"])).otherwise(fold)
+    return rows.withColumn("fold", fold).where("fold IS NOT NULL")
 
 
 def param_grid(spark: SparkSession, space: dict) -> DataFrame:
     """Every combination of a space of lists and scalars: ``trial, params, params_json``."""
     if any(isinstance(v, dict) for v in space.values()):
-        raise ValueError("grid search needs every searched parameter as a list of values")
+        raise ValueError("a grid takes lists and single values; draw ranges with random_params")
     names = sorted(space)
     choices = [v if isinstance(v, list) else [v] for v in (space[n] for n in names)]
     rows = []
@@ -117,76 +122,66 @@ def pending_trials(trials: DataFrame, done: DataFrame) -> DataFrame:
     return trials.join(done.select("trial").distinct(), "trial", "left_anti")
 
 
-def _indicators(bars: DataFrame, grid: list[dict], axis: Axis, lagged: bool) -> DataFrame:
+def _indicators(bars: DataFrame, grid: list[dict], axis: Axis) -> DataFrame:
     """Every (indicator, window) the grid needs, once per bar, as window-keyed maps."""
     spans = sorted({p["fast"] for p in grid} | {p["slow"] for p in grid})
     vols = sorted({p["vol_lookback"] for p in grid})
-    columns = [f"ma{n}" for n in spans] + [f"rv{n}" for n in vols]
 
     def build(df, w):
         df = df.withColumn("__r", pct_change("close", w))
         ma = {f"ma{n}": _rolling(F.avg, "close", w, n) for n in spans}
-        rv = {f"rv{n}": _rolling(F.stddev_samp, "__r", w, n) * ANNUAL for n in vols}
-        ahead = {"__next_ret": F.try_divide(F.lead("close").over(w), F.col("close")) - 1, "__next_ts": F.lead(axis.order).over(w)}
-        df = df.withColumns({**ma, **rv, **ahead})
-        return df.withColumns({f"was_{c}": F.lag(c).over(w) for c in columns}) if lagged else df
+        return df.withColumns({**ma, **{f"rv{n}": _rolling(F.stddev_samp, "__r", w, n) * ANNUAL for n in vols}})
 
     def table(prefix: str, ns: list[int]) -> Column:
         return F.create_map(*[x for n in ns for x in (F.lit(n), F.col(f"{prefix}{n}"))])
 
-    reach = max(max(spans), max(vols) + 1) + 1
-    rows = over_rows(bars.select(*axis.keys, axis.order, "close"), axis, build, before=reach, after=1)
-    maps = [table("ma", spans).alias("ma"), table("rv", vols).alias("rv")]
-    if lagged:
-        maps += [table("was_ma", spans).alias("was_ma"), table("was_rv", vols).alias("was_rv")]
-    return rows.select(*axis.keys, axis.order, "close", F.col("__next_ts").alias("next_ts"), F.col("__next_ret").alias("next_ret"), *maps)
+    rows = over_rows(bars.select(*axis.keys, axis.order, "close"), axis, build, before=max(max(spans), max(vols) + 1))
+    return rows.select(*axis.keys, axis.order, "close", table("ma", spans).alias("ma"), table("rv", vols).alias("rv"))
 
 
-def _each_trial(rows: DataFrame, grid: list[dict]) -> DataFrame:
-    """Attach every trial to every row as an exploded constant array (no join)."""
+def trend_targets(bars: DataFrame, grid: list[dict], axis: Axis = DAILY) -> DataFrame:
+    """Trend-following targets of every trial: indicators once per bar, trials as an exploded constant array."""
     trials = [
         F.struct(F.lit(i).cast("long").alias("trial"), F.lit(p["fast"]).alias("fast"), F.lit(p["slow"]).alias("slow"),
                  F.lit(float(p["vol_target"])).alias("vt"), F.lit(p["vol_lookback"]).alias("vl"))
         for i, p in enumerate(grid)
     ]
-    return rows.withColumn("p", F.explode(F.array(*trials)))
+    each = _indicators(bars, grid, axis).withColumn("p", F.explode(F.array(*trials)))
+    gap = F.signum(F.element_at("ma", F.col("p.fast")) - F.element_at("ma", F.col("p.slow")))
+    vol = F.element_at("rv", F.col("p.vl"))
+    size = F.when(vol.isNotNull(), F.least(F.col("p.vt") / F.greatest(vol, F.lit(1e-6)), F.lit(5.0)))
+    return each.select(F.col("p.trial").alias("trial"), *axis.keys, axis.order, "close", F.coalesce(gap * size, F.lit(0.0)).alias("target"))
 
 
-def _trial_target(ma: str = "ma", rv: str = "rv") -> Column:
-    gap = F.signum(F.element_at(ma, F.col("p.fast")) - F.element_at(ma, F.col("p.slow")))
-    vol = F.element_at(rv, F.col("p.vl"))
-    size = F.when(vol.isNotNull(), F.least(F.col("p.vt") / F.greatest(vol, F.lit(1e-6)), F.lit(5.0)))
-    return F.coalesce(gap * size, F.lit(0.0))
+def strategy_targets(bars: DataFrame, strategy: Callable[..., DataFrame], grid: list[dict], axis: Axis = DAILY) -> DataFrame:
+    """Targets of any strategy for every trial: one plan per set of parameters, one keyed table.
+
+    *strategy* takes bars and the parameters of a trial, single- or multi-asset alike, and returns bars with ``target``.
+    """
+    parts = [
+        strategy(bars, **params).select(F.lit(i).cast("long").alias("trial"), *axis.keys, axis.order, "target") for i, params in enumerate(grid)
+    ]
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.join(bars.select(*axis.keys, axis.order, "close"), [*axis.keys, axis.order])
 
 
-def sweep_trend(bars: DataFrame, folds: DataFrame, grid: list[dict], costs: Costs | None = None, axis: Axis = DAILY) -> DataFrame:
-    """Trend-following returns of every trial in *grid* over every fold's test window.
+def sweep(bars: DataFrame, targets: DataFrame, folds: DataFrame, costs: Costs = Costs(), axis: Axis = DAILY) -> DataFrame:
+    """Calendar-day returns ``trial, fold, ts, ret`` of every trial's *targets* over every fold's test window.
 
-    *grid* holds ``fast, slow, vol_target, vol_lookback`` per trial. A position set
-    at a close earns the next bar of the same symbol, so a bar's row already holds
-    everything a trial needs: the current and the previous indicators and the next
-    return. Costs are charged on the change of target weight at the close.
+    Each (trial, fold) is a book of its own. It starts in cash at the first close of the window, pays in full for what it
+    buys there, earns from the next close on, and is marked on calendar days like a validated book.
     """
     names = bars.agg(F.count_distinct("symbol").alias("n")).scalar()
-    rows = _indicators(bars, grid, axis, costs is not None).where("next_ts IS NOT NULL")
-    each = _each_trial(fold_windows(rows, folds, "next_ts"), grid)
-    earned = _trial_target() * F.col("next_ret")
-    if costs is not None:
-        unit = costs.unit(F.col("close"), F.lit(1.0), F.lit(0.01))
-        earned = earned - F.abs(_trial_target() - _trial_target("was_ma", "was_rv")) * unit
-    each = each.withColumn("earned", earned / names)
-    return each.groupBy(F.col("p.trial").alias("trial"), "fold", F.col("next_ts").alias("ts")).agg(F.sum("earned").alias("ret"))
-
-
-def sweep_targets(bars: DataFrame, grid: list[dict], chosen: DataFrame | None = None, axis: Axis = DAILY) -> DataFrame:
-    """Targets of every trial (or of the *chosen* ones) on every bar."""
-    each = _each_trial(_indicators(bars, grid, axis, False), grid).select(
-        F.col("p.trial").alias("trial"), *axis.keys, axis.order, "close", _trial_target().alias("target")
-    )
-    return each if chosen is None else each.join(F.broadcast(chosen.select("trial")), "trial", "left_semi")  # k rows
+    inside = fold_windows(targets, folds, axis.order).withColumn("w", F.col("target") / names)
+    return calendar_fill(ledger(inside, costs, axis=axis.within("trial", "fold")), 1.0, ("trial", "fold"))
+
+
+def sweep_trend(bars: DataFrame, folds: DataFrame, grid: list[dict], costs: Costs = Costs(), axis: Axis = DAILY) -> DataFrame:
+    """:func:`sweep` of trend following; *grid* holds ``fast, slow, vol_target, vol_lookback`` per trial."""
+    return sweep(bars, trend_targets(bars, grid, axis), folds, costs, axis)
 
 
-def validate_top_k(bars: DataFrame, folds: DataFrame, grid: list[dict], screened: DataFrame, k: int, costs: Costs,
+def validate_top_k(bars: DataFrame, targets: DataFrame, folds: DataFrame, screened: DataFrame, k: int, costs: Costs,
                    axis: Axis = DAILY) -> DataFrame:
     """Re-score the best *k* screened trials with the unit-holding ledger, per fold.
 
@@ -194,8 +189,9 @@ def validate_top_k(bars: DataFrame, folds: DataFrame, grid: list[dict], screened
     search by passing the screened returns as ``selection`` to ``summarize_study``.
     """
     names = bars.agg(F.count_distinct("symbol").alias("n")).scalar()
-    best = screened.orderBy(F.desc("value"), "trial").limit(k)
-    inside = fold_windows(sweep_targets(bars, grid, best, axis), folds, axis.order)
+    best = screened.orderBy(F.desc("value"), "trial").limit(k).select("trial")
+    chosen = targets.join(F.broadcast(best), "trial", "left_semi")  # k rows
+    inside = fold_windows(chosen, folds, axis.order)
     books = ledger_exact(inside.withColumn("w", F.col("target") / names), costs, keys=("trial", "fold"))
     return calendar_fill(books, 1.0, ("trial", "fold"))
 

@@ -388,7 +388,7 @@ def asset_group(spark, sf):
     return sym.asset_group(parts.withColumn("report", F.concat(F.lit("r"), F.col("p_partkey") % 5)), ["report"])
 
 
-_ROOTS = ", ".join(f"('{r}', '{c}')" for c, rs in sym.CLASS_ROOTS.items() for r in rs.split())
+_ROOTS = ", ".join(f"('{r}', '{c}')" for c, rs in sym.CLASS_ROOTS.items() for r in rs)
 
 
 @query("o_orderkey:i asset_class:s", f"WITH k(root, cls) AS (VALUES {_ROOTS}), o AS (SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN chr((65 + o_orderkey % 26)::INT) ELSE 'Z' || chr((65 + o_orderkey % 26)::INT) END AS root FROM orders) SELECT o_orderkey, coalesce(cls, o.root) AS asset_class FROM o LEFT JOIN k USING (root)")

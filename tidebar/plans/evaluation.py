@@ -16,7 +16,7 @@ from . import inputs as src
 from .features import _RET, ALIGN, _roll
 from .inputs import BRAND
 from .registry import query
-from .signals import QUERY_MOMENTUM, QUERY_REVERSION, QUERY_TREND, _vol
+from .signals import QUERY_MOMENTUM, QUERY_REVERSION, QUERY_TREND, _vol, tsm_sql, xsm_sql
 
 COSTS = portfolio.Costs(rate=0.0005)
 
@@ -79,9 +79,11 @@ def trades(spark, sf):
     return portfolio.trades(weighted(spark, sf), COSTS)
 
 
-@query("symbol:s turnover:6", TGT + _COST + " SELECT symbol, sum(abs(traded)) / 6.5 AS turnover FROM tc WHERE abs(traded) > 1e-12 GROUP BY symbol")
+@query("symbol:s turnover:6", TGT + _COST + " SELECT symbol, sum(abs(traded)) / ((SELECT datediff('day', min(ts_init), max(ts_init)) + 1 FROM tc) / 365.25) AS turnover FROM tc WHERE abs(traded) > 1e-12 GROUP BY symbol")
 def turnover(spark, sf):
-    return portfolio.turnover(portfolio.trades(weighted(spark, sf), COSTS), ["symbol"], 6.5)
+    book = weighted(spark, sf)
+    years = book.agg((F.datediff(F.max("ts_init"), F.min("ts_init")) + 1) / 365.25).scalar()
+    return portfolio.turnover(portfolio.trades(book, COSTS), ["symbol"], years)
 
 
 @query("symbol:s ts_init:t lots:i", TGT + _LED + " SELECT symbol, ts_init, round_even(w * equity * 1e9 / (close * 5) / 10, 0) * 10 AS lots FROM wt JOIN led USING (ts_init)")
@@ -194,41 +196,53 @@ def fold_windows(spark, sf):
     return wf.fold_windows(bars, folds_of(bars))
 
 
+def _book_sql(targets: str, cost: float) -> str:
+    """Fold books of a table of targets (trial, symbol, ts_init, close, target): daily returns, fold scores, trial scores."""
+    book = "PARTITION BY trial, fold"
+    return f""", wi AS (SELECT trial, fold, symbol, ts_init, close, target / (SELECT count(DISTINCT symbol) FROM bars) AS w FROM {targets} JOIN folds ON ts_init BETWEEN test_start AND test_end),
+ bp AS (SELECT *, coalesce(close / lag(close) OVER s - 1, 0) AS r, coalesce(lag(w) OVER s, 0) AS wp FROM wi WINDOW s AS ({book}, symbol ORDER BY ts_init)),
+ bb AS (SELECT *, sum(wp * r) OVER ({book}, ts_init) AS rr FROM bp),
+ bl AS (SELECT trial, fold, ts_init, sum(wp * r) AS ret, sum(abs(w - wp * (1 + r) / (1 + rr)) * {cost}) AS fee FROM bb GROUP BY ALL),
+ bg AS (SELECT *, 1 + ret - coalesce(lag(fee) OVER ({book} ORDER BY ts_init), 0) AS g FROM bl),
+ be AS (SELECT trial, fold, CAST(ts_init AS DATE) AS d, exp(sum(ln(g)) OVER ({book} ORDER BY ts_init)) * (1 - fee) AS e FROM bg),
+ bs AS (SELECT trial, fold, CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS d FROM be GROUP BY trial, fold),
+ bf AS (SELECT trial, fold, d, CASE WHEN row_number() OVER q = 1 THEN 1.0 ELSE last_value(e IGNORE NULLS) OVER q END AS e FROM bs LEFT JOIN be USING (trial, fold, d) WINDOW q AS ({book} ORDER BY d)),
+ fr AS (SELECT * FROM (SELECT trial, fold, CAST(d AS TIMESTAMP) AS ts, lead(e) OVER ({book} ORDER BY d) / e - 1 AS ret FROM bf) WHERE ret IS NOT NULL),
+ fsc AS (SELECT trial, fold, CASE WHEN count(*) < 2 OR stddev_samp(ret) = 0 THEN 0 ELSE avg(ret) / stddev_samp(ret) * sqrt(252) END AS sharpe, count(*) AS n FROM fr GROUP BY ALL),
+ sc AS (SELECT trial, avg(sharpe) AS value, avg((sharpe > 0)::INT) AS positive_folds, count(*) AS folds FROM fsc GROUP BY trial)"""
+
+
 def _sweep_sql(cost: float) -> str:
     ma = {n: _roll("avg(close)", n, "close") for n in (5, 10, 20, 40, 60)}
     rv = {n: f"({_roll('stddev_samp(ret)', n, 'ret')} * sqrt(252))" for n in (20, 63)}
     cols = ", ".join([f"{e} AS ma{n}" for n, e in ma.items()] + [f"{e} AS rv{n}" for n, e in rv.items()])
-    lags = ", ".join(f"lag({c}) OVER s AS was_{c}" for c in [*(f"ma{n}" for n in ma), *(f"rv{n}" for n in rv)])
     grid = ", ".join(f"({i}, {p['fast']}, {p['slow']}, {p['vol_lookback']})" for i, p in enumerate(GRID))
+    pick = lambda key, names: "CASE " + " ".join(f"WHEN {key} = {n} THEN {c}{n}" for c, n in names) + " END"
+    vol = pick("vl", [("rv", 20), ("rv", 63)])
+    gap = f"{pick('fast', [('ma', 5), ('ma', 10), ('ma', 20)])} - {pick('slow', [('ma', 40), ('ma', 60)])}"
+    target = f"coalesce(sign({gap}) * CASE WHEN {vol} IS NOT NULL THEN least(0.1 / greatest({vol}, 1e-6), 5) END, 0)"
+    return BRAND + _RET + FOLDS + f""", ind AS (SELECT symbol, ts_init, close, {cols} FROM r), grid(trial, fast, slow, vl) AS (VALUES {grid}),
+ tg AS (SELECT trial, symbol, ts_init, close, {target} AS target FROM ind CROSS JOIN grid)""" + _book_sql("tg", cost)
 
-    def target(pre: str) -> str:
-        pick = lambda key, names: "CASE " + " ".join(f"WHEN {key} = {n} THEN {pre}{c}{n}" for c, n in names) + " END"
-        vol = pick("vl", [("rv", 20), ("rv", 63)])
-        gap = f"{pick('fast', [('ma', 5), ('ma', 10), ('ma', 20)])} - {pick('slow', [('ma', 40), ('ma', 60)])}"
-        return f"coalesce(sign({gap}) * CASE WHEN {vol} IS NOT NULL THEN least(0.1 / greatest({vol}, 1e-6), 5) END, 0)"
-
-    charge = f" - abs({target('')} - {target('was_')}) * {cost}" if cost else ""
-    return BRAND + _RET + FOLDS + f""", ind AS (SELECT symbol, ts_init, close, {cols} FROM r),
- lagged AS (SELECT *, {lags}, lead(close) OVER s / close - 1 AS nr, lead(ts_init) OVER s AS ts FROM ind WINDOW s AS (PARTITION BY symbol ORDER BY ts_init)),
- grid(trial, fast, slow, vl) AS (VALUES {grid}),
- fr AS (SELECT trial, fold, ts, sum(({target('')} * nr{charge}) / (SELECT count(DISTINCT symbol) FROM bars)) AS ret
-  FROM lagged JOIN folds ON ts BETWEEN test_start AND test_end CROSS JOIN grid GROUP BY ALL),
- fsc AS (SELECT trial, fold, CASE WHEN count(*) < 2 OR stddev_samp(ret) = 0 THEN 0 ELSE avg(ret) / stddev_samp(ret) * sqrt(252) END AS sharpe, count(*) AS n FROM fr GROUP BY ALL),
- sc AS (SELECT trial, avg(sharpe) AS value, avg((sharpe > 0)::INT) AS positive_folds, count(*) AS folds FROM fsc GROUP BY trial)"""
+
+def _sweep_of(trials: list[str], cost: float = 0.0005) -> str:
+    """The same books for targets that strategy queries give, one query a trial."""
+    parts = " UNION ALL ".join(f"SELECT {i} AS trial, symbol, ts_init, target FROM ({q})" for i, q in enumerate(trials))
+    return f"{BRAND}{FOLDS}, tq AS ({parts}), tg AS (SELECT tq.*, close FROM tq JOIN bars USING (symbol, ts_init)){_book_sql('tg', cost)}"
 
 
 SWEEP = _sweep_sql(0.0)
 SWEEP_COST = _sweep_sql(0.0005)
 
 
-def sweep(spark, sf, costs=None, stored=False):
+def sweep(spark, sf, costs=portfolio.Costs(), stored=False):
     """Sweep returns; *stored* writes them once for statistics that read them repeatedly."""
     bars = src.brand_bars(spark, sf)
     returns = wf.sweep_trend(bars, folds_of(bars), GRID, costs)
     return store_once(returns) if stored else returns
 
 
-def scored(spark, sf, costs=None):
+def scored(spark, sf, costs=portfolio.Costs()):
     return wf.trial_scores(wf.fold_scores(sweep(spark, sf, costs)))
 
 
@@ -256,6 +270,34 @@ def sweep_mean_fold_sharpe(spark, sf):
     return scored(spark, sf)
 
 
+def _scores_of(spark, sf, strategy, grid):
+    bars = store_once(src.brand_bars(spark, sf))
+    returns = wf.sweep(bars, wf.strategy_targets(bars, strategy, grid), folds_of(bars), COSTS)
+    return wf.fold_scores(returns)
+
+
+_SCORES = "trial:i fold:i sharpe:6 n:i"
+
+
+@query(_SCORES, _sweep_of([tsm_sql(1), tsm_sql(21)]) + " SELECT * FROM fsc")
+def sweep_ts_momentum(spark, sf):
+    return _scores_of(spark, sf, strategies.ts_momentum, [dict(lookback=60, skip_recent=5, vol_lookback=20, rebal_freq=f) for f in (1, 21)])
+
+
+@query(_SCORES, _sweep_of([QUERY_REVERSION]) + " SELECT * FROM fsc")
+def sweep_mean_reversion(spark, sf):
+    return _scores_of(spark, sf, strategies.mean_reversion, [{}])
+
+
+@query(_SCORES, _sweep_of([xsm_sql(60), xsm_sql(20)]) + " SELECT * FROM fsc")
+def sweep_xs_momentum(spark, sf):
+    """A cross-sectional strategy under the same folds, costs and calendar."""
+    def run(bars, **params):
+        return strategies.compute_targets(bars, strategies.xs_momentum, multi_asset=True, **params)
+
+    return _scores_of(spark, sf, run, [dict(lookback=n, skip_recent=5, vol_lookback=20) for n in (60, 20)])
+
+
 @query("trial:i fold_0:6 fold_1:6 fold_2:6 fold_3:6 fold_4:6", SWEEP + " SELECT trial, " + ", ".join(f"max(sharpe) FILTER (fold = {i}) AS fold_{i}" for i in range(5)) + " FROM fsc GROUP BY trial")
 def trials_frame(spark, sf):
     return wf.trials_frame(wf.fold_scores(sweep(spark, sf)), 5)
@@ -304,11 +346,11 @@ def trial_histogram(spark, sf):
 
 
 @query("trial:i fast:i slow:i vol_lookback:i", "SELECT trial, fast, slow, vol_lookback FROM (SELECT row_number() OVER (ORDER BY f, s, v) - 1 AS trial, f AS fast, s AS slow, v AS vol_lookback "
-       "FROM (SELECT unnest([5, 10, 20]) AS f), (SELECT unnest([40, 60]) AS s), (SELECT unnest([20, 63]) AS v)) WHERE trial < (SELECT count(*) FROM nation)")
+       "FROM (SELECT unnest([5, 10, 20]) AS f), (SELECT unnest([40, 60]) AS s), (SELECT unnest([20, 63]) AS v)) WHERE trial NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 def param_grid(spark, sf):
-    """The grid, cut to as many trials as there are nations already scored (a resumed study)."""
+    """What is left of the grid in a resumed study; the nations of region 1 stand for the trials already scored."""
     grid = wf.param_grid(spark, {"fast": [5, 10, 20], "slow": [40, 60], "vol_lookback": [20, 63]})
-    done = src.table(spark, sf, "nation").select((F.col("n_nationkey") + 25).cast("long").alias("trial"))
+    done = src.table(spark, sf, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").cast("long").alias("trial"))
     return wf.pending_trials(grid, done).select("trial", *[F.col("params")[n].alias(n) for n in ("fast", "slow", "vol_lookback")])
 
 
@@ -340,9 +382,9 @@ def run_all(spark, sf):
 def validate_top_k(spark, sf):
     """The three best trials re-scored with the unit-holding ledger on calendar days."""
     bars = src.brand_bars(spark, sf)
-    windows = folds_of(bars)
-    screened = store_once(wf.trial_scores(wf.fold_scores(wf.sweep_trend(bars, windows, GRID))))
-    returns = wf.validate_top_k(bars, windows, GRID, screened, 3, COSTS)
+    windows, targets = folds_of(bars), wf.trend_targets(bars, GRID)
+    screened = store_once(wf.trial_scores(wf.fold_scores(wf.sweep(bars, targets, windows))))
+    returns = wf.validate_top_k(bars, targets, windows, screened, 3, COSTS)
     return wf.fold_scores(returns).withColumnRenamed("n", "days")
 
 
@@ -450,7 +492,7 @@ def summarize_study(spark, sf):
 @query("study:s check:s value:4 passed:b", _SUM + """ SELECT study, 'deflated_sharpe_at_least_95' AS "check", dsr AS value, dsr >= 0.95 AS passed FROM summary
  UNION ALL SELECT study, 'overfitting_probability_below_half', pbo, pbo < 0.5 FROM summary
  UNION ALL SELECT study, 'folds_positive_at_least_60pct', positive_folds, positive_folds >= 0.6 FROM summary
- UNION ALL SELECT study, 'track_record_long_enough', min_track_record_years, min_track_record_years <= n / 365.25 FROM summary""")
+ UNION ALL SELECT study, 'track_record_long_enough', min_track_record_years, min_track_record_years <= n / periods FROM summary""")
 def checks(spark, sf):
     return stats.checks(study(spark, sf))
 

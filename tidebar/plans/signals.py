@@ -44,7 +44,7 @@ def trend_following_sharpe(spark, sf):
     return earned.groupBy("symbol").agg(F.count("x").alias("n"), sharpe(F.col("x")).alias("sharpe"))
 
 
-def _tsm(freq: int) -> str:
+def tsm_sql(freq: int) -> str:
     base = BRAND + _RET + f""", m AS (SELECT *, lag(close, 5) OVER w / lag(close, 65) OVER w - 1 AS mom, {_vol(20)} AS rv,
  row_number() OVER w - 1 AS i FROM r WINDOW w AS (PARTITION BY symbol ORDER BY ts_init)),
  p AS (SELECT *, sign(mom) * CASE WHEN rv IS NOT NULL THEN least(0.1 / greatest(rv, 1e-6), 2) END AS raw FROM m)"""
@@ -54,7 +54,7 @@ def _tsm(freq: int) -> str:
  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS target FROM p"""
 
 
-QUERY_MOMENTUM = _tsm(1)
+QUERY_MOMENTUM = tsm_sql(1)
 
 
 @query(T, QUERY_MOMENTUM)
@@ -62,7 +62,7 @@ def ts_momentum(spark, sf):
     return strategies.ts_momentum(src.brand_bars(spark, sf), 60, 5, vol_lookback=20)
 
 
-@query(T, _tsm(21))
+@query(T, tsm_sql(21))
 def ts_momentum_rebal(spark, sf):
     return strategies.ts_momentum(src.brand_bars(spark, sf), 60, 5, vol_lookback=20, rebal_freq=21)
 
@@ -82,15 +82,19 @@ def mean_reversion(spark, sf):
 _PRET = ALIGN + ", r AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY t) - 1 AS ret FROM panel)"
 
 
-@query(T, BRAND + _PRET + """, m AS (SELECT *, lag(close, 5) OVER w / lag(close, 65) OVER w - 1 AS mom,
+def xsm_sql(lookback: int) -> str:
+    return BRAND + _PRET + f""", m AS (SELECT *, lag(close, 5) OVER w / lag(close, {lookback + 5}) OVER w - 1 AS mom,
  CASE WHEN t < 20 THEN 0.2 ELSE greatest(stddev_pop(ret) OVER (PARTITION BY symbol ORDER BY t ROWS 19 PRECEDING) * sqrt(252), 1e-6) END AS v
  FROM r WINDOW w AS (PARTITION BY symbol ORDER BY t)),
-cuts AS (SELECT t, quantile_cont(mom, 0.75) AS hi, quantile_cont(mom, 0.25) AS lo FROM m WHERE t >= 65 AND (t - 65) % 21 = 0 GROUP BY t HAVING count(mom) >= 2),
+cuts AS (SELECT t, quantile_cont(mom, 0.75) AS hi, quantile_cont(mom, 0.25) AS lo FROM m WHERE t >= {lookback + 5} AND (t - {lookback + 5}) % 21 = 0 GROUP BY t HAVING count(mom) >= 2),
 j AS (SELECT m.*, CASE WHEN cuts.t IS NULL THEN NULL WHEN mom >= hi THEN least(0.1 / v, 2) WHEN mom <= lo THEN -least(0.1 / v, 2) ELSE 0 END AS fresh
  FROM m LEFT JOIN cuts USING (t)),
 h AS (SELECT symbol, ts_init, real, coalesce(last_value(fresh IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY t), 0) AS x FROM j),
 e AS (SELECT *, lead(ts_init) OVER (PARTITION BY symbol ORDER BY ts_init) IS NULL AS gone FROM h WHERE real)
-SELECT symbol, ts_init, CASE WHEN gone AND ts_init < (SELECT max(ts_init) FROM e) THEN 0 ELSE x END AS target FROM e""")
+SELECT symbol, ts_init, CASE WHEN gone AND ts_init < (SELECT max(ts_init) FROM e) THEN 0 ELSE x END AS target FROM e"""
+
+
+@query(T, xsm_sql(60))
 def xs_momentum(spark, sf):
     return strategies.compute_targets(
         src.brand_bars(spark, sf), strategies.xs_momentum, multi_asset=True, lookback=60, skip_recent=5, vol_lookback=20

@@ -135,24 +135,32 @@ def stored_precision(meta: DataFrame) -> DataFrame:
 
 
 def outside_coverage(new: DataFrame, stored: DataFrame, keys: list[str] = SERIES, order: str = "ts_init") -> DataFrame:
-    """New rows strictly before the first or after the last stored one of their series."""
+    """What a store lacks at either end of each series; rows between its first and last are taken as known."""
     cover = stored.groupBy(*keys).agg(F.min(order).alias("__f"), F.max(order).alias("__l"))
     fresh = F.col("__f").isNull() | (F.col(order) < F.col("__f")) | (F.col(order) > F.col("__l"))
     return new.join(cover, keys, "left").where(fresh).drop("__f", "__l")
 
 
 def append_bars(new: DataFrame, path: str) -> None:
-    """Append the uncovered part of *new* to the store at *path*."""
-    spark = new.sparkSession
-    try:
-        stored = spark.read.schema(BARS).parquet(path)
-        new = outside_coverage(new, stored)
-    except Exception as err:  # the first write creates the store
-        if "PATH_NOT_FOUND" not in str(err):
-            raise
+    """Append the uncovered part of *new* to the store at *path*.
+
+    Only the partitions that the new rows fall into are read for coverage; there are few schemas and venues.
+    """
+    if exists(new.sparkSession, path):
+        parts = new.select("schema", "venue").distinct().collect()
+        inside = F.lit(False)
+        for p in parts:
+            inside |= F.col("schema").eqNullSafe(p["schema"]) & F.col("venue").eqNullSafe(p["venue"])
+        new = outside_coverage(new, new.sparkSession.read.schema(BARS).parquet(path).where(inside))
     write_bars(new, path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a store's folder is there, asked of the file system it lives on."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def write_bars(bars: DataFrame, path: str, mode: str = "append") -> None:
     laid_out = bars.select(*BARS.fieldNames()).repartitionByRange("schema", "venue", "symbol", "ts_init")
     (
@@ -310,15 +318,22 @@ def reconcile_bars(a: DataFrame, b: DataFrame, keys: list[str], precision: int =
 
 
 def migrate_bars(spark: SparkSession, root: str) -> DataFrame:
-    """Legacy ``<type>/<symbol>/<schema>.parquet`` files as one deduplicated table."""
+    """Legacy ``<type>/<symbol>/<schema>.parquet`` files as one deduplicated table.
+
+    Of rows with the same time the one furthest down its file stays. Files that stamp ``ts_event`` in nanoseconds are read as
+    whole numbers and cut to microseconds.
+    """
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
     raw = spark.read.option("recursiveFileLookup", "true").parquet(root)
+    if dict(raw.dtypes)["ts_event"] == "bigint":
+        raw = raw.withColumn("ts_event", F.timestamp_micros(F.expr("ts_event div 1000")))
     pattern = r"([^/]+)/([^/]+)/([^/]+)\.parquet$"
     path = F.col("_metadata.file_path")
     raw = raw.select(
         "*", F.regexp_extract(path, pattern, 1).alias("type"), F.regexp_extract(path, pattern, 2).alias("symbol"),
-        F.regexp_extract(path, pattern, 3).alias("schema"), F.col("_metadata.file_block_start").alias("__block"),
+        F.regexp_extract(path, pattern, 3).alias("schema"), F.col("_metadata.row_index").alias("__row"),
     )
-    return dedup_keep_last(raw, ["type", "symbol", "schema", "ts_event"], ["__block"]).drop("__block")
+    return dedup_keep_last(raw, ["type", "symbol", "schema", "ts_event"], ["__row"]).drop("__row")
 
 
 def dedup_keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
