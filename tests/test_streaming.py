@@ -48,3 +48,16 @@ def test_live_targets_across_batches(spark, daily):
     got = {(r.symbol, r.ts_init): r.target for r in spark.read.parquet(f"{root}/out").collect()}
     want = {(r.symbol, r.ts_init): r.target for r in trend_following(bars, 5, 12, vol_lookback=8).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_tail_targets_see_earlier_batches(spark, daily):
+    from tidebar.operators.strategies import ts_momentum
+    from tidebar.plans.streams import _tail_targets
+    from tidebar.session import store_once
+
+    closes = {s: [100 + 10 * math.sin(i / (15 + k)) + i / 9 for i in range(900)] for k, s in enumerate("abc")}
+    bars = store_once(daily(closes).select("symbol", "ts_init", "close"))
+    signals = lambda df: ts_momentum(df, 30, 3, vol_lookback=10)
+    got = {(r.symbol, r.ts_init): r.target for r in _tail_targets(spark, bars, signals, 60).collect()}
+    want = {(r.symbol, r.ts_init): r.target for r in signals(bars).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, store_once
 from ..sources import bars as store
 from ..streaming import bars as streaming
 from . import inputs as src
@@ -67,7 +67,7 @@ def stream_resample(spark, sf):
 @query("ts_init:t n_bars:i", BRAND + ", c AS (SELECT ts_init, count(*) AS n_bars FROM bars GROUP BY 1) SELECT * FROM c WHERE ts_init + INTERVAL 1 SECOND <= (SELECT max(ts_init) FROM bars)")
 def stream_complete_batches(spark, sf):
     """Closes whose batch of bars is complete."""
-    return drain(streaming.complete_batches(bar_stream(spark, src.brand_bars(spark, sf)), "0 seconds").drop("symbols"), spark)
+    return drain(streaming.complete_batches(bar_stream(spark, src.brand_bars(spark, sf)), "0 seconds"), spark)
 
 
 @query("symbol:s venue:s ts_init:t close:2", _STORE + _OLD + """, c AS (SELECT symbol, min(ts_init) AS f, max(ts_init) AS l FROM old GROUP BY symbol)
@@ -90,16 +90,25 @@ def stream_live_targets(spark, sf):
     return drain(streaming.live_targets(bar_stream(spark, bars)), spark)
 
 
+def _tail_targets(spark, bars, signals, tail_days):
+    """Run *signals* over bars that arrive year after year, one file and one micro-batch each."""
+    root = fresh(spark)
+    years = [r["y"] for r in bars.select(F.year("ts_init").alias("y")).distinct().orderBy("y").collect()]  # one row a year
+    for y in years:
+        bars.where(F.year("ts_init") == y).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    late = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+
+    def write(df, number):
+        df.select("symbol", "ts_init", "target").write.mode("overwrite").parquet(f"{root}/targets/batch={number}")
+
+    streaming.stream_tail_targets(late, f"{root}/bars", signals, write, f"{root}/state", tail_days).awaitTermination()
+    return spark.read.parquet(f"{root}/targets").drop("batch")
+
+
 @query("symbol:s ts_init:t target:6", QUERY_MOMENTUM)
 def stream_tail_targets(spark, sf):
-    """Targets of each micro-batch computed with the stored bars before it."""
+    """Targets of each of several micro-batches, computed with the stored bars before it."""
     from ..operators.strategies import ts_momentum
 
     bars = src.brand_bars(spark, sf).select("symbol", "ts_init", "close")
-    history, out = bars.where("ts_init < TIMESTAMP '1998-01-01'"), fresh(spark)
-    signals = lambda df: ts_momentum(df, 60, 5, vol_lookback=20)
-    write = lambda df: df.select("symbol", "ts_init", "target").write.mode("append").parquet(f"{out}/targets")
-    write(signals(history))
-    late = bar_stream(spark, bars.where("ts_init >= TIMESTAMP '1998-01-01'"))
-    streaming.stream_tail_targets(late, lambda: history, signals, write, f"{out}/state").awaitTermination()
-    return spark.read.parquet(f"{out}/targets")
+    return _tail_targets(spark, store_once(bars), lambda df: ts_momentum(df, 60, 5, vol_lookback=20), 2000)

@@ -43,8 +43,8 @@ def complete_batches(bars: DataFrame, late: str) -> DataFrame:
     """One row per close once no more bars of it can arrive."""
     return (
         bars.withWatermark("ts_init", late).groupBy(F.window("ts_init", "1 second").alias("w"))
-        .agg(F.count(F.lit(1)).alias("n_bars"), F.collect_set("symbol").alias("symbols"))
-        .select(F.col("w.start").alias("ts_init"), "n_bars", "symbols")
+        .agg(F.count(F.lit(1)).alias("n_bars"))
+        .select(F.col("w.start").alias("ts_init"), "n_bars")
     )
 
 
@@ -60,13 +60,24 @@ def stream_append_bars(bars: DataFrame, path: str, checkpoint: str):
     return bars.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_tail_targets(bars: DataFrame, history: Callable[[], DataFrame], strategy: Callable[[DataFrame], DataFrame],
-                        write: Callable[[DataFrame], None], checkpoint: str):
-    """Cross-sectional targets per micro-batch over the tail of the stored bars."""
-    def sink(batch: DataFrame, _: int) -> None:
-        newest = batch.select("symbol", "ts_init")
-        both = history().join(newest, ["symbol", "ts_init"], "left_anti").unionByName(batch, allowMissingColumns=True)
-        write(strategy(both).join(newest, ["symbol", "ts_init"], "left_semi"))
+def stream_tail_targets(bars: DataFrame, path: str, strategy: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None],
+                        checkpoint: str, tail_days: int):
+    """Targets per micro-batch, single- or cross-sectional, over the tail of a store that grows with every batch.
+
+    Each batch is stored under its number first, so the next one sees it; a batch that is replayed after a failure replaces
+    itself. The strategy runs on the stored bars of the last *tail_days* before the batch, which must cover its lookback, and
+    its targets for the batch's own bars go to ``write(targets, batch number)``.
+    """
+    def sink(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.dropDuplicates(["symbol", "ts_init"]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        new = spark.read.schema(bars.schema).parquet(f"{path}/batch={number}")
+        span = new.agg(F.min("ts_init").alias("a"), F.max("ts_init").alias("b")).first()
+        if span["a"] is None:
+            return
+        known = spark.read.schema(bars.schema).parquet(path).select(*bars.columns)
+        tail = known.where(F.col("ts_init").between(F.lit(span["a"]) - F.expr(f"INTERVAL {tail_days} DAYS"), F.lit(span["b"])))
+        write(strategy(tail).join(new.select("symbol", "ts_init"), ["symbol", "ts_init"], "left_semi"), number)
 
     return bars.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
