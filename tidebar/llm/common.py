@@ -58,11 +58,11 @@ def in_bitmap(bits: Column, hashed: Column, words: int) -> Column:
 
 
 def beside(df: DataFrame, one: DataFrame, always: Column) -> DataFrame:
-    """Add the columns of a one-row table of bounded size to every row: a broadcast hash join on a key that is 0 everywhere.
+    """Add the array column of a one-row table of bounded size to every row: a broadcast hash join on a key that is 0 everywhere.
 
     Lambdas may not hold subqueries, so what they look up has to be a column. ``always`` is any non-negative column of ``df``.
     """
-    keyed = one.withColumn("_one", F.lit(0))
+    keyed = one.withColumn("_one", F.least(F.size(one.columns[0]), F.lit(0)))  # no literal: that would be folded to a cross join
     return df.withColumn("_zero", F.least(always, F.lit(0))).join(F.broadcast(keyed), F.col("_zero") == F.col("_one")).drop("_zero", "_one")
 
 
