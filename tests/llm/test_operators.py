@@ -106,7 +106,8 @@ def lines_by_brute_force(texts):
     return out
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("group", [512, 3])
+def test_lines(spark, group):
     r = random.Random(5)
     vocabulary = ["".join(r.choice("abcdefghié") for _ in range(r.randint(2, 8))) for _ in range(300)]
     base = [words(r, r.randint(1, 60), vocabulary) for _ in range(30)]
@@ -118,7 +119,7 @@ def test_lines(spark):
         return " ".join(parts)
 
     texts = [*ODD, "a\na\nA \nb"] + ["\n".join(varied(r.choice(base)) if r.random() < 0.7 else words(r, 20, vocabulary) for _ in range(r.randint(1, 6))) for _ in range(120)]
-    got = {x.doc_id: (x.n_lines, x.n_removed, x.text or "") for x in line_dedup.dedup_lines(table(spark, texts)).collect()}
+    got = {x.doc_id: (x.n_lines, x.n_removed, x.text or "") for x in line_dedup.dedup_lines(table(spark, texts), group_rows=group).collect()}
     assert got == lines_by_brute_force(texts)
 
 

@@ -3,9 +3,9 @@
 Lines are compared by the Jaccard similarity of their character shingles. A signature has one hash a bin (one permutation,
 empty bins borrowed from others), and bands of it make lines meet: at the threshold a pair is missed about
 six times in ten thousand. Lines of a band are first compared with one of them only, the band's hub; once
-components are known, the members that the hub did not bring together are compared with each other, so a large group of
-copies costs one comparison a line and band, and no link between components is lost. Every candidate is verified on the
-texts. Of each component one line stays: the first, by document id and place.
+components are known, bands that still hold several are compared all with all inside tasks, in parts of bounded size, by
+matrix products. So a large group of copies costs one comparison a line and band, no pairs are written out, and no link
+between components is lost. Every candidate is verified on the texts. Of each component one line stays: the first, by document id and place.
 
 Lines are known by a 64-bit hash of their normalised text. Only the texts of candidates leave their documents.
 """
@@ -26,6 +26,8 @@ SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 14, 4
 BITMAP_WORDS = 1 << 18  # 2^24 bits, 2 MB: the bound of what every task gets
 BATCH_CHARS = 1 << 21
+GROUP_ROWS = 512  # lines of one part of a band; a task compares two parts at most at a time
+GROUP_TASK_ROWS = 20_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -57,28 +59,30 @@ def line_keys(lines: list[str]) -> np.ndarray:
     return np.array([xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines], np.uint64)
 
 
-def signatures(lines: list[str], bins: int, k: int = SHINGLE) -> np.ndarray:
-    """One row of ``bins`` least hashes for each normalised, non-blank line."""
+def _shingle_hashes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Line number and hash of every shingle of normalised, non-blank lines, repeats included."""
     length = np.array([len(x) for x in lines])
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     start = np.cumsum(length) - length
-    # Shingle hashes at every place; a line shorter than a shingle is padded to one.
     codes = np.concatenate([codes, np.zeros(k, np.uint64)])
     h = np.zeros(len(codes) - k, np.uint64)
     for i in range(k):
         h = h * _MIX + codes[i:i + len(h)] + np.uint64(1)
     count = np.maximum(length - k + 1, 1)
     line = np.repeat(np.arange(len(lines)), count)
-    at = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    h = h[at]
-    for i in np.flatnonzero(length < k):
+    h = h[np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+    for i in np.flatnonzero(length < k):  # a line shorter than a shingle is padded to one
         short = np.concatenate([codes[start[i]:start[i] + length[i]], np.zeros(k - length[i], np.uint64)])
-        value = np.uint64(0)
-        with np.errstate(over="ignore"):
-            for c in short:
-                value = value * _MIX + c + np.uint64(1)
-        h[np.searchsorted(line, i)] = value
-    h = _mixed(h)
+        value = np.zeros(1, np.uint64)
+        for c in short:
+            value = value * _MIX + c + np.uint64(1)
+        h[np.searchsorted(line, i)] = value[0]
+    return line, _mixed(h)
+
+
+def signatures(lines: list[str], bins: int, k: int = SHINGLE) -> np.ndarray:
+    """One row of ``bins`` least hashes for each normalised, non-blank line."""
+    line, h = _shingle_hashes(lines, k)
     out = np.full(len(lines) * bins, _NONE)
     np.minimum.at(out, line * bins + ((h >> np.uint64(33)) % np.uint64(bins)).astype(np.int64), h)
     out = out.reshape(len(lines), bins)
@@ -89,7 +93,6 @@ def signatures(lines: list[str], bins: int, k: int = SHINGLE) -> np.ndarray:
         other = (_mixed(empty_bin.astype(np.uint64) * np.uint64(1009) + np.uint64(attempt)) % np.uint64(bins)).astype(np.int64)
         found = full[empty_row, other]
         hit = found != _NONE
-        # A borrowed value is told apart from the bin it comes from.
         out[empty_row[hit], empty_bin[hit]] = found[hit]
         empty_row, empty_bin = empty_row[~hit], empty_bin[~hit]
     return out
@@ -210,8 +213,68 @@ def _pairs_verified(pairs: DataFrame, texts: DataFrame, threshold: float, k: int
     return both.mapInArrow(lambda it: _verified(it, threshold, k), "a long, b long")
 
 
+def _similar(lines: list[str], k: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (first before second) whose shingles are similar enough, by a product of the shingle table with itself."""
+    line, h = _shingle_hashes(lines, k)
+    order = np.lexsort((h, line))
+    line, h = line[order], h[order]
+    once = np.concatenate([[True], (line[1:] != line[:-1]) | (h[1:] != h[:-1])])
+    line, h = line[once], h[once]
+    size = np.bincount(line, minlength=len(lines)).astype(np.float32)
+    _, column, met = np.unique(h, return_inverse=True, return_counts=True)
+    shared = met[column] > 1  # others are in no intersection
+    line, column = line[shared], np.unique(column[shared], return_inverse=True)[1]
+    both, width = np.zeros((len(lines), len(lines)), np.float32), 2048
+    by = np.argsort(column, kind="stable")
+    line, column = line[by], column[by]
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [lo, lo + width])
+        part = np.zeros((len(lines), width), np.float32)
+        part[line[a:b], column[a:b] - lo] = 1
+        both += part @ part.T
+    near = both >= np.float32(threshold) * (size[:, None] + size[None, :] - both) - np.float32(1e-3)
+    return np.nonzero(np.triu(near, 1))
+
+
+def _crossed(group: list[tuple[int, int, str]], k: int, threshold: float) -> list[tuple[int, int]]:
+    """One link for each pair of components that lines of a group unite; candidates are verified on their texts."""
+    out, seen = [], set()
+    rows, cols = _similar([x[2] for x in group], k, threshold)
+    for i, j in zip(rows.tolist(), cols.tolist()):
+        (a, ra, x), (b, rb, y) = group[i], group[j]
+        pair = (min(ra, rb), max(ra, rb))
+        if ra != rb and pair not in seen and jaccard(shingles(x, k), shingles(y, k)) >= threshold:
+            seen.add(pair)
+            out.append((a, b))
+    return out
+
+
+def _crossed_batches(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links between components within each (band, i, j); rows come sorted by these."""
+    key, group = None, []
+
+    def close() -> list[tuple[int, int]]:
+        return _crossed(group, k, threshold) if len({x[1] for x in group}) > 1 else []
+
+    for batch in batches:
+        out = []
+        for band, i, j, line, root, content in zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j", "line", "root", "content"))):
+            if (band, i, j) != key:
+                out += close()
+                key, group = (band, i, j), []
+            group.append((line, root, content))
+        if out:
+            yield _link_batch(out)
+    if out := close():
+        yield _link_batch(out)
+
+
+def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"])
+
+
 def similar_lines(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
-                  bitmap_words: int = BITMAP_WORDS) -> DataFrame:
+                  bitmap_words: int = BITMAP_WORDS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``node`` and ``root`` of every distinct line that is linked to another one."""
     spark, only = docs.sparkSession, docs.select(F.col(text).cast("string").alias("text")).where(F.length("text") > 0)
     made = only.mapInArrow(lambda it: _band_batches(it, bands, rows, k), "band long, line long")
@@ -236,16 +299,17 @@ def similar_lines(docs: DataFrame, text: str = "text", threshold: float = THRESH
     links = stored(_pairs_verified(pairs.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), texts, threshold, k), "line-links")
     found = components(links)
 
-    # Then, in bands that still hold several components, the lines outside the hub's with the lines of other components.
-    rooted = shared.join(found, F.col("line") == F.col("node"), "left").select("band", "line", F.coalesce("root", "line").alias("root"))
-    rooted = stored(rooted, "rooted-bands")
-    main = rooted.groupBy("band").agg(F.min(mixed)["line"].alias("hub"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
-    split = rooted.join(main.select("band", "hub"), "band")
-    hub_root = split.where("line = hub").select("band", F.col("root").alias("hub_root"))
-    outside = split.join(hub_root, "band").where("root != hub_root").select("band", F.col("line").alias("a"), F.col("root").alias("ra"))
-    others = split.select("band", F.col("line").alias("b"), F.col("root").alias("rb"), "hub")
-    crossed = outside.join(others, "band").where("ra != rb and b != hub").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stored(_pairs_verified(crossed, texts, threshold, k), "line-links")
+    # Then bands that still hold several components: their lines meet in a task, in parts of bounded size if there are many,
+    # and are compared all with all there. Only links leave the task.
+    rooted = stored(shared.join(found, F.col("line") == F.col("node"), "left").select("band", "line", F.coalesce("root", "line").alias("root")), "rooted-bands")
+    split = rooted.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
+    split = split.select("band", F.ceil(F.col("n") / group_rows).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("line"), "parts").cast("int")
+    met = rooted.join(split, "band").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = stored(met.select("band", F.least(part, "other").alias("i"), F.greatest(part, "other").alias("j"), "line", "root"), "split-bands")
+    n = partitions(spark, met.count(), GROUP_TASK_ROWS)
+    dealt = met.join(texts, "line").repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    more = stored(dealt.mapInArrow(lambda it: _crossed_batches(it, k, threshold), "a long, b long"), "line-links")
     if more.isEmpty():
         return found
     return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
