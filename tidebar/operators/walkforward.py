@@ -20,8 +20,8 @@ from ..schema import TRADING_DAYS
 from ..session import store_once
 from .ordered import DAILY, Axis, over_rows
 from .panel import calendar
-from .portfolio import Costs, calendar_fill, ledger, ledger_exact, weighted_targets
-from .volatility import _rolling, pct_change
+from .portfolio import Costs, calendar_fill, ledger, ledger_exact, trades, weighted_targets
+from .volatility import _rolling, drawdown, pct_change
 
 ANNUAL = TRADING_DAYS**0.5
 
@@ -232,6 +232,20 @@ def fold_scores(returns: DataFrame) -> DataFrame:
     return returns.groupBy("trial", "fold").agg(sharpe(F.col("ret")).alias("sharpe"), F.count(F.lit(1)).alias("n"))
 
 
+def fold_summary(bars: DataFrame, targets: DataFrame, folds: DataFrame, costs: Costs = Costs(), axis: Axis = DAILY) -> DataFrame:
+    """One row per trial and fold: Sharpe ratio, total return, worst drawdown and number of orders."""
+    names = bars.agg(F.count_distinct("symbol").alias("n")).scalar()
+    inside = store_once(fold_windows(targets, folds, axis.order).withColumn("w", F.col("target") / names))
+    books = axis.within("trial", "fold")
+    orders = trades(inside, costs, books).groupBy("trial", "fold").agg(F.count(F.lit(1)).alias("orders"))
+    returns = calendar_fill(ledger(inside, costs, axis=books), 1.0, ("trial", "fold"))
+    grown = drawdown(returns, Axis(keys=("trial", "fold"), order="ts")).groupBy("trial", "fold").agg(
+        (F.max_by("equity", "ts") - 1).alias("total_return"), F.min("drawdown").alias("max_drawdown")
+    )
+    out = fold_scores(returns).withColumnRenamed("n", "days").join(grown, ["trial", "fold"]).join(orders, ["trial", "fold"], "left")
+    return out.withColumn("orders", F.coalesce("orders", F.lit(0)))
+
+
 def sharpe(ret: Column, periods: float = TRADING_DAYS) -> Column:
     dev = F.stddev_samp(ret)
     return F.when((F.count(ret) < 2) | (F.coalesce(dev, F.lit(0.0)) == 0), F.lit(0.0)).otherwise(
@@ -268,6 +282,7 @@ def engine_comparison(screened: DataFrame, validated: DataFrame) -> DataFrame:
         pick(screened, "screened").join(pick(validated, "validated"), "params")
         .withColumn("diff", F.col("validated") - F.col("screened"))
         .withColumn("ratio", F.try_divide(F.col("validated"), F.col("screened")))
+        .orderBy(F.desc(F.abs("diff")), "params")
     )
 
 

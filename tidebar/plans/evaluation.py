@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,8 @@ from ..operators import attribution as att
 from ..operators import panel, portfolio, stats, strategies
 from ..operators import walkforward as wf
 from ..operators.ordered import Axis
-from ..session import store_once
+from ..session import checkpoint_dir, store_once
+from ..sources import bars as store
 from . import inputs as src
 from .features import _RET, ALIGN, _roll
 from .inputs import BRAND
@@ -64,6 +66,13 @@ def trading_costs(spark, sf):
     return portfolio.trading_costs(weighted(spark, sf), COSTS)
 
 
+@query("symbol:s ts_init:t cost:10", TGT + _COST + " SELECT symbol, ts_init, abs(traded) * (2.5 / (close * 5) + 0.5 * 0.25 / close) AS cost FROM tc")
+def trading_costs_contract(spark, sf):
+    """Fees per contract and expected slippage of half a tick, on contracts with a multiplier."""
+    book = weighted(spark, sf).withColumns({"multiplier": F.lit(5.0), "tick": F.lit(0.25)})
+    return portfolio.trading_costs(book, portfolio.Costs(per_contract=2.5, slippage_prob=0.5))
+
+
 _LED = _COST + """, lc AS (SELECT ts_init, sum(wp * r) AS ret, sum(cost) AS fee, sum(abs(traded)) AS turnover FROM tc GROUP BY ts_init),
 lg AS (SELECT *, 1 + ret - coalesce(lag(fee) OVER (ORDER BY ts_init), 0) AS g FROM lc),
 led AS (SELECT *, exp(sum(ln(g)) OVER (ORDER BY ts_init)) AS equity FROM lg)"""
@@ -270,6 +279,28 @@ def sweep_mean_fold_sharpe(spark, sf):
     return scored(spark, sf)
 
 
+_FOLD_SUM = SWEEP_COST + """, fo AS (SELECT trial, fold, count_if(abs(w - wp * (1 + r) / (1 + rr)) > 1e-12) AS orders FROM bb GROUP BY ALL),
+fq AS (SELECT trial, fold, ts, exp(sum(ln(1 + ret)) OVER (PARTITION BY trial, fold ORDER BY ts)) AS eq FROM fr),
+fd AS (SELECT *, eq / max(eq) OVER (PARTITION BY trial, fold ORDER BY ts) - 1 AS dr FROM fq),
+fg AS (SELECT trial, fold, arg_max(eq, ts) - 1 AS total_return, min(dr) AS max_drawdown FROM fd GROUP BY ALL)"""
+
+
+@query("trial:i fold:i sharpe:6 days:i total_return:8 max_drawdown:8 orders:i params:s", f"""{_FOLD_SUM}{_PARAMS}
+ SELECT *, n AS days FROM fsc JOIN fg USING (trial, fold) JOIN fo USING (trial, fold) JOIN pm USING (trial)""")
+def fold_summary(spark, sf):
+    """Every fold of every trial with its parameters."""
+    bars = src.brand_bars(spark, sf)
+    return with_params(spark, wf.fold_summary(bars, wf.trend_targets(bars, GRID), folds_of(bars), COSTS))
+
+
+@query("study:s trial:i fold:i ts:t ret:9", SWEEP + " SELECT 'trend' AS study, * FROM fr WHERE trial = 3")
+def stored_returns(spark, sf):
+    """Sweep returns written to a study store and one trial read back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/returns-{uuid.uuid4().hex}"
+    store.write_returns(sweep(spark, sf).withColumn("study", F.lit("trend")), path)
+    return store.read_returns(spark, path).where("study = 'trend' AND trial = 3")
+
+
 def _scores_of(spark, sf, strategy, grid):
     bars = store_once(src.brand_bars(spark, sf))
     returns = wf.sweep(bars, wf.strategy_targets(bars, strategy, grid), folds_of(bars), COSTS)
@@ -489,6 +520,30 @@ def summarize_study(spark, sf):
     return study(spark, sf)
 
 
+@query("study:s trial:i value:6 n_trials:i trial_std:6 dsr:6 pbo:6", _SUM + " SELECT * FROM summary")
+def summarize_selected(spark, sf):
+    """The best three trials, judged by the whole search that they were chosen from."""
+    everything = sweep(spark, sf, stored=True).withColumn("study", F.lit("trend"))
+    best = wf.trial_scores(wf.fold_scores(everything)).orderBy(F.desc("value"), "trial").limit(3).select("trial")
+    chosen = everything.join(F.broadcast(best), "trial", "left_semi")  # three rows
+    rows = wf.fold_scores(chosen).withColumn("study", F.lit("trend"))
+    keys = ["study", "trial"]
+    return stats.summarize_study(stats.stitch_returns(chosen, keys), rows, stats.stitch_returns(everything, keys))
+
+
+_DIFF = f"""(SELECT max(abs(b.value - a.value)) FROM ({SWEEP} SELECT * FROM sc) a JOIN ({SWEEP_COST} SELECT * FROM sc) b USING (trial))"""
+
+
+@query("study:s check:s value:4 passed:b", _SUM + f""" SELECT study, 'beats_benchmark' AS "check", sharpe AS value, sharpe > (SELECT avg(value) FROM sc) AS passed FROM summary
+ UNION ALL SELECT study, 'methods_agree_within_5pct_sharpe', {_DIFF}, {_DIFF} <= 0.05 FROM summary""")
+def checks_against(spark, sf):
+    """The study against the mean trial, and its scores against those of another method (here: with costs)."""
+    free = store_once(with_params(spark, scored(spark, sf)))
+    worst = wf.engine_comparison(free, with_params(spark, scored(spark, sf, COSTS))).agg(F.max(F.abs("diff"))).scalar()
+    found = stats.checks(study(spark, sf), free.agg(F.avg("value")).scalar(), worst)
+    return found.where("check IN ('beats_benchmark', 'methods_agree_within_5pct_sharpe')")
+
+
 @query("study:s check:s value:4 passed:b", _SUM + """ SELECT study, 'deflated_sharpe_at_least_95' AS "check", dsr AS value, dsr >= 0.95 AS passed FROM summary
  UNION ALL SELECT study, 'overfitting_probability_below_half', pbo, pbo < 0.5 FROM summary
  UNION ALL SELECT study, 'folds_positive_at_least_60pct', positive_folds, positive_folds >= 0.6 FROM summary

@@ -8,7 +8,7 @@ from ..operators import clean, panel, resample
 from ..operators import volatility as vol
 from ..operators.ordered import Axis, over_rows, row_index
 from . import inputs as src
-from .inputs import BRAND, EVENTS, EVENTS_15M, EVENTS_1M, HOURLY, ORDERS
+from .inputs import BRAND, REGION, EVENTS, EVENTS_15M, EVENTS_1M, HOURLY, ORDERS
 from .registry import query
 
 OHLCV = "symbol:s ts_event:t ts_init:t open:4 high:4 low:4 close:4 volume:2"
@@ -218,9 +218,9 @@ def exit_delisted(spark, sf):
     return panel.exit_delisted(src.brand_bars(spark, sf).withColumn("target", F.col("close")))
 
 
-@query("ts_init:t n_symbols:i", BRAND + " SELECT ts_init, count(DISTINCT symbol) AS n_symbols FROM bars GROUP BY 1 HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM bars)")
+@query("ts_init:t n_symbols:i", REGION + " SELECT ts_init, count(DISTINCT symbol) AS n_symbols FROM bars GROUP BY 1 HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM bars)")
 def common_calendar(spark, sf):
-    return panel.common_calendar(src.brand_bars(spark, sf))
+    return panel.common_calendar(src.region_bars(spark, sf))
 
 
 @query("ts_init:t n_bars:i", BRAND + " SELECT ts_init, count(*) AS n_bars FROM bars GROUP BY 1")

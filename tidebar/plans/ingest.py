@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir, store_once
 from ..sources import bars as store
 from . import inputs as src
 from .inputs import BRAND, ORDERS
@@ -201,6 +204,37 @@ def merge_manifest(spark, sf):
     return store.merge_manifest(old, new)
 
 
+@query("symbol:s", """WITH b AS (SELECT o_custkey::VARCHAR AS symbol, count(*) AS n FROM orders WHERE o_orderkey % 9 = 0 GROUP BY 1) SELECT symbol FROM b WHERE n % 4 = 0
+ UNION ALL SELECT c_custkey::VARCHAR FROM customer WHERE c_custkey::VARCHAR NOT IN (SELECT symbol FROM b)""")
+def retry_list(spark, sf):
+    """What a manifest says to fetch again."""
+    return store.retry_list(merge_manifest(spark, sf))
+
+
+@query(_OHLCV, _STORE + " SELECT * FROM sb")
+def compact_bars(spark, sf):
+    """A store written in many small appends, rewritten with few files; the bars are the same."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    price = {c: F.col(c).cast(store.PRICE) for c in [*store.OHLC, "volume"]}
+    bars = store_once(stored(spark, sf).withColumns(price))
+    for part in range(3):
+        store.write_bars(bars.where(F.pmod(F.hash("symbol", "ts_init"), F.lit(3)) == part), f"{root}/small")
+    store.compact_bars(spark, f"{root}/small", f"{root}/few")
+    return store.read_bars(spark, f"{root}/few", schema="ohlcv-1d")
+
+
+@query("symbol:s d0:d d1:d raw_symbol:s", "SELECT p_brand AS symbol, min(l_shipdate)::DATE AS d0, max(l_shipdate)::DATE AS d1, p_type AS raw_symbol FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand, p_type")
+def spans_round_trip(spark, sf):
+    """Contract spans of every series, written and read back."""
+    line, part = src.table(spark, sf, "lineitem"), src.table(spark, sf, "part")
+    spans = line.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("symbol"), F.col("p_type").alias("raw_symbol")).agg(
+        F.min("l_shipdate").cast("date").alias("d0"), F.max("l_shipdate").cast("date").alias("d1")
+    )
+    path = f"{checkpoint_dir(spark).rstrip('/')}/spans-{uuid.uuid4().hex}"
+    store.write_spans(spans, path)
+    return store.read_spans(spark, path)
+
+
 _FRESH = ORDERS + ", fresh AS (SELECT symbol, ts_event, ts_init, CASE WHEN symbol = '2-HIGH' THEN close * 1.5 ELSE close END AS close FROM bars WHERE symbol <> '3-MEDIUM' OR ts_init < TIMESTAMP '1997-01-01')"
 
 
@@ -260,7 +294,8 @@ def migrate_ticks(spark, sf):
     return store.migrate_ticks(ticks, ticks.where("event_id % 2 = 0 AND ts < TIMESTAMP '2024-01-15' AND symbol <> 'error'"))
 
 
-@query("symbol:s day:d", "SELECT DISTINCT event_type AS symbol, CAST(ts AS DATE) AS day FROM events EXCEPT SELECT event_type, CAST(ts AS DATE) FROM events WHERE value > 40")
+@query("symbol:s day:d", "SELECT DISTINCT event_type AS symbol, CAST(ts AS DATE) AS day FROM events EXCEPT SELECT event_type, CAST(ts AS DATE) FROM events WHERE value > (SELECT quantile_cont(value, 0.98) FROM events)")
 def missing_tick_days(spark, sf):
     ticks = src.event_ticks(spark, sf).withColumn("day", F.to_date("ts"))
-    return store.missing_tick_days(ticks, ticks.where("price > 40"))
+    high = ticks.agg(F.percentile("price", 0.98)).scalar()
+    return store.missing_tick_days(ticks, ticks.where(F.col("price") > high))
