@@ -43,8 +43,3 @@ def tidy_options(raw: DataFrame) -> DataFrame:
     out = out.withColumn("days_to_expiry", F.datediff("expiry", "date"))
     columns = ["date", "symbol", "underlying", "right", "strike", "expiry", "days_to_expiry", "open", "high", "low", "close", "volume"]
     return out.select(*columns)
-
-
-def chain_order(df: DataFrame) -> DataFrame:
-    """Order of a stored chain; partition and sort at the sink rather than here."""
-    return df.orderBy("date", "expiry", "strike", "right")

@@ -113,8 +113,9 @@ def random_params(spark: SparkSession, space: dict, n: int, seed: int) -> DataFr
     return out.withColumn("params_json", F.to_json("params"))
 
 
-def fingerprint(config: Column) -> Column:
-    return F.sha2(F.to_json(config), 256)
+def fingerprint(params: Column) -> Column:
+    """Name of a map of parameters, whatever the order of its entries, that survives renumbering of trials."""
+    return F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(params)))), 256)
 
 
 def pending_trials(trials: DataFrame, done: DataFrame) -> DataFrame:
@@ -221,12 +222,6 @@ def run_all(strategies: dict[str, DataFrame], folds: DataFrame, axis: Axis = DAI
     return out.orderBy(F.desc("sharpe"))
 
 
-def space_table(spark: SparkSession, space: dict) -> DataFrame:
-    """A parameter space as rows: name, kind and choices."""
-    kind = lambda v: "choice" if isinstance(v, list) else "range" if isinstance(v, dict) else "fixed"
-    return spark.createDataFrame([(k, kind(v), json.dumps(v)) for k, v in sorted(space.items())], "name string, kind string, choices string")
-
-
 def fold_scores(returns: DataFrame) -> DataFrame:
     """Annualised Sharpe ratio per trial and fold."""
     return returns.groupBy("trial", "fold").agg(sharpe(F.col("ret")).alias("sharpe"), F.count(F.lit(1)).alias("n"))

@@ -411,6 +411,22 @@ def rehome(spark, sf):
     )
 
 
+@query("o_orderkey:i venue:s", "SELECT o_orderkey, 'X' || substr(o_orderpriority, 3) AS venue FROM orders")
+def default_venue(spark, sf):
+    """Venue that a vendor's dataset name begins with."""
+    dataset = F.concat(F.lit("X"), F.expr("substring(o_orderpriority, 3)"), F.lit(".A.B"))
+    return src.table(spark, sf, "orders").select("o_orderkey", sym.default_venue(dataset).alias("venue"))
+
+
+@query("symbol:s instrument_id:s ts:t at:5", REGION + """, x AS (SELECT symbol, symbol || (year(ts_init) % 2) AS instrument_id, ts_init, close FROM bars),
+m AS (SELECT DISTINCT symbol, instrument_id, ts_init + INTERVAL 36 HOUR AS ts FROM x WHERE day(ts_init) % 9 = 0) SELECT m.*, x.close AS at FROM m ASOF JOIN x ON m.symbol = x.symbol AND m.instrument_id = x.instrument_id AND m.ts >= x.ts_init""")
+def close_at(spark, sf):
+    """Last close of a contract at or before a moment between two bars."""
+    bars = src.region_bars(spark, sf).withColumn("instrument_id", F.concat("symbol", (F.year("ts_init") % 2).cast("string")))
+    moments = bars.where(F.day("ts_init") % 9 == 0).select("symbol", "instrument_id", (F.col("ts_init") + F.expr("INTERVAL 36 HOURS")).alias("ts"))
+    return curve.close_at(bars, moments.distinct(), "at")
+
+
 # -- currency ------------------------------------------------------------------------------------
 
 _FX = """, fx AS (SELECT CAST(o_orderdate AS DATE) - 20 AS d, 1.1 + (avg(o_totalprice) / 250000 - 1) / 100000 AS rate FROM orders WHERE day(o_orderdate) % 3 <> 0 GROUP BY 1)"""

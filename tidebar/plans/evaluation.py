@@ -376,13 +376,15 @@ def trial_histogram(spark, sf):
     return wf.histogram(store_once(scored(spark, sf)), "value", 4)
 
 
-@query("trial:i fast:i slow:i vol_lookback:i", "SELECT trial, fast, slow, vol_lookback FROM (SELECT row_number() OVER (ORDER BY f, s, v) - 1 AS trial, f AS fast, s AS slow, v AS vol_lookback "
+@query("trial:i fast:i slow:i vol_lookback:i fingerprint:s", "SELECT *, sha256('{\"fast\":' || fast || '.0,\"slow\":' || slow || '.0,\"vol_lookback\":' || vol_lookback || '.0}') AS fingerprint FROM (SELECT row_number() OVER (ORDER BY f, s, v) - 1 AS trial, f AS fast, s AS slow, v AS vol_lookback "
        "FROM (SELECT unnest([5, 10, 20]) AS f), (SELECT unnest([40, 60]) AS s), (SELECT unnest([20, 63]) AS v)) WHERE trial NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 def param_grid(spark, sf):
     """What is left of the grid in a resumed study; the nations of region 1 stand for the trials already scored."""
     grid = wf.param_grid(spark, {"fast": [5, 10, 20], "slow": [40, 60], "vol_lookback": [20, 63]})
     done = src.table(spark, sf, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").cast("long").alias("trial"))
-    return wf.pending_trials(grid, done).select("trial", *[F.col("params")[n].alias(n) for n in ("fast", "slow", "vol_lookback")])
+    return wf.pending_trials(grid, done).select(
+        "trial", *[F.col("params")[n].alias(n) for n in ("fast", "slow", "vol_lookback")], wf.fingerprint(F.col("params")).alias("fingerprint")
+    )
 
 
 @query("ts_init:t ret:8 fee:8 equity:6", TGT.replace("(PARTITION BY symbol ORDER BY ts_init), 0) AS wp FROM wt)", "(PARTITION BY symbol ORDER BY ts_init), 0) AS wp FROM wt WHERE ts_init >= (SELECT ts_init FROM (SELECT DISTINCT ts_init FROM bars) ORDER BY 1 LIMIT 1 OFFSET 252))") + _LED + " SELECT * FROM led")
