@@ -2,7 +2,7 @@
 
 Lines are compared by the Jaccard similarity of their character shingles. A signature has one hash a bin (one permutation,
 empty bins borrowed from others), and bands of it make lines meet: at the threshold a pair is missed about
-six times in ten thousand. Lines of a band are first compared with one of them only, the band's hub; once
+twice in a thousand. Lines of a band are first compared with one of them only, the band's hub; once
 components are known, bands that still hold several are compared all with all inside tasks, in parts of bounded size, by
 matrix products. So a large group of copies costs one comparison a line and band, no pairs are written out, and no link
 between components is lost. Every candidate is verified on the texts. Of each component one line stays: the first, by document id and place.
@@ -13,6 +13,7 @@ Lines are known by a 64-bit hash of their normalised text. Only the texts of can
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from .common import bitmap, in_bitmap, partitions, stored
 from .components import components
 
 SHINGLE, THRESHOLD = 8, 0.8
-BANDS, ROWS = 14, 4
+BANDS, ROWS = 12, 4
 BITMAP_WORDS = 1 << 18  # 2^24 bits, 2 MB: the bound of what every task gets
 BATCH_CHARS = 1 << 21
 GROUP_ROWS = 512  # lines of one part of a band; a task compares two parts at most at a time
@@ -62,29 +63,27 @@ def line_keys(lines: list[str]) -> np.ndarray:
 def _shingle_hashes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Line number and hash of every shingle of normalised, non-blank lines, repeats included."""
     length = np.array([len(x) for x in lines])
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    start = np.cumsum(length) - length
-    codes = np.concatenate([codes, np.zeros(k, np.uint64)])
-    h = np.zeros(len(codes) - k, np.uint64)
-    for i in range(k):
-        h = h * _MIX + codes[i:i + len(h)] + np.uint64(1)
-    count = np.maximum(length - k + 1, 1)
-    line = np.repeat(np.arange(len(lines)), count)
-    h = h[np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-    for i in np.flatnonzero(length < k):  # a line shorter than a shingle is padded to one
-        short = np.concatenate([codes[start[i]:start[i] + length[i]], np.zeros(k - length[i], np.uint64)])
-        value = np.zeros(1, np.uint64)
-        for c in short:
-            value = value * _MIX + c + np.uint64(1)
-        h[np.searchsorted(line, i)] = value[0]
-    return line, _mixed(h)
+    # A line shorter than a shingle is padded to one.
+    codes = np.frombuffer("".join([x if len(x) >= k else x.ljust(k, "\0") for x in lines]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    length = np.maximum(length, k)
+    h, width, odd = _mixed(codes.astype(np.uint64) + np.uint64(1)), 1, np.uint64(0x9E3779B97F4A7C15)
+    while 2 * width <= k:
+        h = h[:-width] * odd + h[width:]
+        odd, width = odd * odd, 2 * width
+    if width < k:
+        h = h[:-(k - width)] * odd + h[k - width:]
+    inside = np.ones(len(h), bool)
+    ends = np.cumsum(length)[:-1]
+    for i in range(1, k):
+        inside[ends - i] = False  # shingles that would reach into the next line
+    return np.repeat(np.arange(len(lines)), length - k + 1), _mixed(h[inside])
 
 
 def signatures(lines: list[str], bins: int, k: int = SHINGLE) -> np.ndarray:
     """One row of ``bins`` least hashes for each normalised, non-blank line."""
     line, h = _shingle_hashes(lines, k)
     out = np.full(len(lines) * bins, _NONE)
-    np.minimum.at(out, line * bins + ((h >> np.uint64(33)) % np.uint64(bins)).astype(np.int64), h)
+    np.minimum.at(out, line * bins + (((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64), h)
     out = out.reshape(len(lines), bins)
     empty_row, empty_bin = np.nonzero(out == _NONE)
     full, attempt = out.copy(), 0
@@ -238,12 +237,20 @@ def _similar(lines: list[str], k: int, threshold: float) -> tuple[np.ndarray, np
 
 def _crossed(group: list[tuple[int, int, str]], k: int, threshold: float) -> list[tuple[int, int]]:
     """One link for each pair of components that lines of a group unite; candidates are verified on their texts."""
-    out, seen = [], set()
-    rows, cols = _similar([x[2] for x in group], k, threshold)
-    for i, j in zip(rows.tolist(), cols.tolist()):
+    out, seen, sets = [], set(), {}
+    if len(group) <= 12:
+        pairs = combinations(range(len(group)), 2)
+    else:
+        pairs = zip(*(x.tolist() for x in _similar([x[2] for x in group], k, threshold)))
+    for i, j in pairs:
         (a, ra, x), (b, rb, y) = group[i], group[j]
         pair = (min(ra, rb), max(ra, rb))
-        if ra != rb and pair not in seen and jaccard(shingles(x, k), shingles(y, k)) >= threshold:
+        if ra == rb or pair in seen:
+            continue
+        for n, content in ((i, x), (j, y)):
+            if n not in sets:
+                sets[n] = shingles(content, k)
+        if jaccard(sets[i], sets[j]) >= threshold:
             seen.add(pair)
             out.append((a, b))
     return out
@@ -346,20 +353,22 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **h
     lines = stored(lines.dropDuplicates(["d1", "d2", "place"]) if docs.select(doc_id).distinct().count() < docs.count() else lines, "lines")
 
     found = similar_lines(docs, text, **how)
+    # Only lines that are not alone are put in order: those met more than once, and those with a link.
+    twice = lines.groupBy("line").count().where("count > 1").select("line", F.lit(None).cast("long").alias("root"))
+    grouped = twice.unionByName(found.select(F.col("node").alias("line"), "root")).groupBy("line").agg(F.coalesce(F.max("root"), "line").alias("root"))
+    grouped = stored(lines.join(grouped, "line").drop("line"), "grouped-lines")
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), "d1", "d2", "place")
-    each = lines.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    rooted = each.join(found, F.col("line") == F.col("node"), "left").select("line", F.coalesce("root", "line").alias("root"), "first", "n")
-    groups = rooted.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    repeated = rooted.join(groups, "root").select("line", F.col("stays.d1").alias("s1"), F.col("stays.d2").alias("s2"), F.col("stays.place").alias("sp"))
-    gone = lines.join(repeated, "line").where("not (d1 = s1 and d2 = s2 and place = sp)")
+    stays = grouped.groupBy("root").agg(F.min(place).alias("s")).select("root", F.col("s.d1").alias("s1"), F.col("s.d2").alias("s2"), F.col("s.place").alias("sp"))
+    gone = grouped.join(stays, "root").where("not (d1 = s1 and d2 = s2 and place = sp)")
     drop = stored(gone.groupBy("d1", "d2").agg(F.collect_list("place").alias("drop")), "dropped-lines")
 
     # Documents that surely lose no line are not shuffled to meet what they lose.
     hit = in_bitmap(bitmap(drop, "d1", 1 << 15).scalar(), F.col("d1"), 1 << 15)
     named = drop.select(F.col("d1").alias("x1"), F.col("d2").alias("x2"), "drop")
     met = rows.where(hit).join(named, (F.col("d1") == F.col("x1")) & (F.col("d2") == F.col("x2")), "left").select("row", "text", "drop")
-    met = met.unionByName(rows.where(~hit).select("row", "text", F.lit(None).cast("array<int>").alias("drop")))
     kind = rows.schema["row"].dataType.simpleString()
     out = met.mapInArrow(_cut, f"row {kind}, kept_text string, n_lines long, n_removed long")
+    whole = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
+    out = out.unionByName(rows.where(~hit).select("row", F.col("text").alias("kept_text"), whole.alias("n_lines"), F.lit(0).cast("long").alias("n_removed")))
     back = [F.col("kept_text").alias(text) if c == text else F.col(f"row.{c}") for c in docs.columns if c not in {"n_lines", "n_removed"}]
     return out.select(*back, "n_lines", "n_removed")
