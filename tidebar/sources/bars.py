@@ -323,8 +323,13 @@ def migrate_bars(spark: SparkSession, root: str) -> DataFrame:
     Of rows with the same time the one furthest down its file stays. Files that stamp ``ts_event`` in nanoseconds are read as
     whole numbers and cut to microseconds.
     """
-    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    key = "spark.sql.legacy.parquet.nanosAsLong"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")  # the schema is settled here; reading follows it
     raw = spark.read.option("recursiveFileLookup", "true").parquet(root)
+    schema = raw.schema
+    spark.conf.set(key, before)
+    raw = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(root)
     if dict(raw.dtypes)["ts_event"] == "bigint":
         raw = raw.withColumn("ts_event", F.timestamp_micros(F.expr("ts_event div 1000")))
     pattern = r"([^/]+)/([^/]+)/([^/]+)\.parquet$"
