@@ -25,7 +25,7 @@ from .components import components
 
 SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 12, 4
-BITMAP_WORDS = 1 << 18  # 2^24 bits, 2 MB: the bound of what every task gets
+BITMAP_WORDS = 1 << 17  # 2^23 bits, 1 MB: the bound of what every task gets
 BATCH_CHARS = 1 << 21
 GROUP_ROWS = 512  # lines of one part of a band; a task compares two parts at most at a time
 GROUP_TASK_ROWS = 20_000
@@ -66,7 +66,7 @@ def _shingle_hashes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     # A line shorter than a shingle is padded to one.
     codes = np.frombuffer("".join([x if len(x) >= k else x.ljust(k, "\0") for x in lines]).encode("utf-32-le", "surrogatepass"), np.uint32)
     length = np.maximum(length, k)
-    h, width, odd = _mixed(codes.astype(np.uint64) + np.uint64(1)), 1, np.uint64(0x9E3779B97F4A7C15)
+    h, width, odd = codes.astype(np.uint64) + np.uint64(1), 1, np.uint64(0x9E3779B97F4A7C15)
     while 2 * width <= k:
         h = h[:-width] * odd + h[width:]
         odd, width = odd * odd, 2 * width
@@ -120,7 +120,7 @@ def _by_chars(texts, chars: int = BATCH_CHARS) -> Iterator[tuple[int, list[str]]
 
 
 def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every line that is not blank: its document, place and key."""
+    """Every line that is not blank: its document, place, key and normalised text."""
     for batch in batches:
         for first, texts in _by_chars(batch.column("text")):
             row, place, lines = [], [], []
@@ -132,55 +132,49 @@ def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                         lines.append(line)
             at = pa.array(row, pa.int64())
             yield pa.record_batch(
-                [*(batch.column(c).take(at) for c in ("doc_id", "d1", "d2")), pa.array(place, pa.int32()), pa.array(line_keys(lines).view(np.int64), pa.int64())],
-                names=["doc_id", "d1", "d2", "place", "line"],
+                [
+                    *(batch.column(c).take(at) for c in ("doc_id", "d1", "d2")), pa.array(place, pa.int32()),
+                    pa.array(line_keys(lines).view(np.int64), pa.int64()), pa.array(lines, pa.string()),
+                ],
+                names=["doc_id", "d1", "d2", "place", "line", "content"],
             )
 
 
-def _different(texts: list[str]) -> list[str]:
-    return [x for x in {normalised(raw) for text in texts for raw in text.split("\n")} if x]
-
-
 def _band_batches(batches: Iterator[pa.RecordBatch], bands: int, rows: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Band keys of each line, once for each stretch of rows."""
     for batch in batches:
-        for _, texts in _by_chars(batch.column("text")):
-            if lines := _different(texts):
-                key = band_keys(signatures(lines, bands * rows, k), bands, rows)
-                line = np.repeat(line_keys(lines), bands)
-                yield pa.record_batch([pa.array(key.ravel().view(np.int64)), pa.array(line.view(np.int64))], names=["band", "line"])
+        key = batch.column("line").to_numpy()
+        for first, texts in _by_chars(batch.column("content")):
+            line, at = np.unique(key[first:first + len(texts)], return_index=True)
+            band = band_keys(signatures([texts[i] for i in at.tolist()], bands * rows, k), bands, rows)
+            yield pa.record_batch([pa.array(band.ravel().view(np.int64)), pa.array(np.repeat(line, bands))], names=["band", "line"])
 
 
 def _shared_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose band holds more than one line, once each; rows come sorted by band and line."""
-    band, line, held, sent = None, None, False, False
+    """Rows whose band holds more than one line (a line can come again with the next batch); rows come sorted by band."""
+    band, line, alone = None, None, False  # the last band, a line of it, and whether that is its only line so far
     for batch in batches:
         b, x = batch.column("band").to_numpy(), batch.column("line").to_numpy()
         if not len(b):
             continue
-        new = np.concatenate([[not held or b[0] != band or x[0] != line], (b[1:] != b[:-1]) | (x[1:] != x[:-1])])
+        order = np.lexsort((x, b))
+        b, x = b[order], x[order]
+        new = np.concatenate([[True], (b[1:] != b[:-1]) | (x[1:] != x[:-1])])
         b, x = b[new], x[new]
-        if not len(b):
-            continue
-        joins = np.concatenate([[held and b[0] == band], b[1:] == b[:-1]])  # the row before has the same band
-        before = bool(joins[0]) and not sent
-        # The last row waits for the next batch unless it already has company.
-        out = joins.copy()
-        out[:-1] |= joins[1:]
-        bands = np.concatenate([[band], b[out]]) if before else b[out]
-        lines = np.concatenate([[line], x[out]]) if before else x[out]
-        if len(bands):
-            yield pa.record_batch([pa.array(bands.astype(np.int64)), pa.array(lines.astype(np.int64))], names=["band", "line"])
-        band, line, held, sent = b[-1], x[-1], True, bool(out[-1])
-
-
-def _text_batches(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Normalised texts of the lines that may be candidates."""
-    for batch in batches:
-        for _, texts in _by_chars(batch.column("text")):
-            lines = _different(texts)
-            key = line_keys(lines)
-            hit = np.flatnonzero((bits[(key >> np.uint64(6)) & np.uint64(len(bits) - 1)] >> (key & np.uint64(63))) & np.uint64(1)) if len(key) else []
-            yield pa.record_batch([pa.array(key[hit].view(np.int64), pa.int64()), pa.array([lines[i] for i in hit], pa.string())], names=["line", "content"])
+        same = b[1:] == b[:-1]
+        out = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        head = b == band
+        if head.any():
+            more = bool((x[head] != line).any())
+            if alone and more and not (x[head] == line).any():
+                b, x, out = np.concatenate([[band], b]), np.concatenate([[line], x]), np.concatenate([[True], out])
+                head = b == band
+            out[head] |= more or not alone
+            alone = alone and not more
+        if b[-1] != band:
+            band, line, alone = b[-1], x[-1], not out[-1]
+        if out.any():
+            yield pa.record_batch([pa.array(b[out]), pa.array(x[out])], names=["band", "line"])
 
 
 def _one_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,37 +274,34 @@ def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"])
 
 
-def similar_lines(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
+def similar_lines(lines: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
                   bitmap_words: int = BITMAP_WORDS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``node`` and ``root`` of every distinct line that is linked to another one."""
-    spark, only = docs.sparkSession, docs.select(F.col(text).cast("string").alias("text")).where(F.length("text") > 0)
-    made = only.mapInArrow(lambda it: _band_batches(it, bands, rows, k), "band long, line long")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), only.rdd.getNumPartitions())
-    dealt = made.repartition(n, "band").sortWithinPartitions("band", "line")
+    """``node`` and ``root`` of every distinct line that is linked to another one; *lines* is a stored table of ``line`` and ``content``."""
+    spark, lines = lines.sparkSession, lines.select("line", "content")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.rdd.getNumPartitions())
+    made = lines.mapInArrow(lambda it: _band_batches(it, bands, rows, k), "band long, line long")
+    dealt = made.repartition(n, "band").sortWithinPartitions("band")
     shared = stored(dealt.mapInArrow(_shared_bands, "band long, line long"), "shared-bands")
 
-    wanted = shared.select("line").distinct()
-    slot = F.shiftrightunsigned("line", 6).bitwiseAND(bitmap_words - 1)
-    filled = wanted.groupBy(slot.alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(line & 63 as int))")).alias("bits")).toArrow()  # bitmap_words rows
-    bits = np.zeros(bitmap_words, np.uint64)
-    bits[filled["slot"].to_numpy()] = filled["bits"].to_numpy().view(np.uint64)
-    given = spark.sparkContext.broadcast(bits)
-    likely = only.mapInArrow(lambda it: _text_batches(it, given.value), "line long, content string")
+    # Texts of the lines that share a band: most others are told apart by a bitmap before anything is shuffled.
+    wanted = stored(shared.select("line").distinct(), "candidates")
+    likely = lines.where(in_bitmap(bitmap(wanted, "line", bitmap_words).scalar(), F.col("line"), bitmap_words))
     likely = likely.repartition(n, "line").sortWithinPartitions("line").mapInArrow(_one_each, "line long, content string")
     texts = stored(likely.join(wanted, "line", "left_semi"), "candidate-lines")
 
-    # First every line with the hub of its bands; a band's hub is its least line in an order of its own.
-    mixed = F.struct(F.xxhash64("band", "line").alias("o"), "line")
+    # First every line with the hub of its bands: the least line in an order that is the same in all bands.
+    mixed = F.struct(F.xxhash64("line").alias("o"), "line")
     hubs = shared.groupBy("band").agg(F.min(mixed)["line"].alias("b"))
-    pairs = shared.join(hubs, "band").where("line != b").select(F.col("line").alias("a"), "b")
-    links = stored(_pairs_verified(pairs.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), texts, threshold, k), "line-links")
+    pairs = shared.join(hubs, "band").where("line != b").select(F.least("line", "b").alias("a"), F.greatest("line", "b").alias("b"))
+    links = stored(_pairs_verified(pairs, texts, threshold, k), "line-links")
     found = components(links)
 
     # Then bands that still hold several components: their lines meet in a task, in parts of bounded size if there are many,
     # and are compared all with all there. Only links leave the task.
     rooted = stored(shared.join(found, F.col("line") == F.col("node"), "left").select("band", "line", F.coalesce("root", "line").alias("root")), "rooted-bands")
     split = rooted.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
-    split = split.select("band", F.ceil(F.col("n") / group_rows).cast("int").alias("parts"))
+    # Of two lines one is the hub: they have been compared.
+    split = split.where("n > 2").select("band", F.ceil(F.col("n") / group_rows).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("line"), "parts").cast("int")
     met = rooted.join(split, "band").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = stored(met.select("band", F.least(part, "other").alias("i"), F.greatest(part, "other").alias("j"), "line", "root"), "split-bands")
@@ -349,10 +340,11 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **h
     rows = docs.select(row.alias("row"), F.col(text).cast("string").alias("text"), F.col(doc_id).alias("doc_id"))
     rows = rows.withColumns({"d1": F.xxhash64("doc_id", "text"), "d2": F.xxhash64(F.lit("second"), "text", "doc_id")})  # a document's name: 128 bits of hash
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    lines = rows.select("doc_id", "text", "d1", "d2").mapInArrow(_line_batches, f"doc_id {id_type}, d1 long, d2 long, place int, line long")
+    lines = rows.select("doc_id", "text", "d1", "d2").mapInArrow(_line_batches, f"doc_id {id_type}, d1 long, d2 long, place int, line long, content string")
     lines = stored(lines.dropDuplicates(["d1", "d2", "place"]) if docs.select(doc_id).distinct().count() < docs.count() else lines, "lines")
 
-    found = similar_lines(docs, text, **how)
+    found = similar_lines(lines, **how)
+    lines = lines.drop("content")
     # Only lines that are not alone are put in order: those met more than once, and those with a link.
     twice = lines.groupBy("line").count().where("count > 1").select("line", F.lit(None).cast("long").alias("root"))
     grouped = twice.unionByName(found.select(F.col("node").alias("line"), "root")).groupBy("line").agg(F.coalesce(F.max("root"), "line").alias("root"))
