@@ -14,7 +14,7 @@ DENSE_SF = "/root/testdata/sf0.01"
 DENSE = {
     "calendar_roll", "roll_list", "active_bars", "back_adjust", "held_returns", "load_rolled",
     "log_variance_proxy", "log_variance_proxy_long_axis", "variogram", "hurst", "hurst_nugget", "roughness_gate", "fit_ou",
-    "class_rollup", "pooled_sign_tstats",
+    "class_rollup", "pooled_sign_tstats", "sweep_xs_momentum",
 }
 NO_SQL = {"validate_top_k"}
 LLM = ("op", "pipeline")  # tested against brute force in tests/llm
