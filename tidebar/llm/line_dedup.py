@@ -12,7 +12,8 @@ Lines are known by a 64-bit hash of their normalised text. Only the texts of can
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -187,28 +188,28 @@ def _one_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = line[-1]
 
 
-def _verified(batches: Iterator[pa.RecordBatch], threshold: float, k: int) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterator[pa.RecordBatch], threshold: float, sets: Callable) -> Iterator[pa.RecordBatch]:
     """Pairs whose texts are similar enough; pairs come sorted by ``a``."""
     last, own = None, set()
     for batch in batches:
         good = []
         for a, x, y in zip(batch.column("a").to_pylist(), batch.column("x"), batch.column("y")):
             if a != last:
-                last, own = a, shingles(x.as_py(), k)
-            good.append(jaccard(own, shingles(y.as_py(), k)) >= threshold)
+                last, own = a, sets(x.as_py())
+            good.append(jaccard(own, sets(y.as_py())) >= threshold)
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _pairs_verified(pairs: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
+def _pairs_verified(pairs: DataFrame, texts: DataFrame, threshold: float, sets: Callable) -> DataFrame:
     left = texts.select(F.col("line").alias("a"), F.col("content").alias("x"))
     right = texts.select(F.col("line").alias("b"), F.col("content").alias("y"))
     both = pairs.distinct().join(right, "b").join(left, "a").select("a", "b", "x", "y").sortWithinPartitions("a")
-    return both.mapInArrow(lambda it: _verified(it, threshold, k), "a long, b long")
+    return both.mapInArrow(lambda it: _verified(it, threshold, sets), "a long, b long")
 
 
-def _similar(lines: list[str], k: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def _similar(lines: list[str], hashes: Callable, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """All pairs (first before second) whose shingles are similar enough, by a product of the shingle table with itself."""
-    line, h = _shingle_hashes(lines, k)
+    line, h = hashes(lines)
     order = np.lexsort((h, line))
     line, h = line[order], h[order]
     once = np.concatenate([[True], (line[1:] != line[:-1]) | (h[1:] != h[:-1])])
@@ -229,33 +230,33 @@ def _similar(lines: list[str], k: int, threshold: float) -> tuple[np.ndarray, np
     return np.nonzero(np.triu(near, 1))
 
 
-def _crossed(group: list[tuple[int, int, str]], k: int, threshold: float) -> list[tuple[int, int]]:
+def _crossed(group: list[tuple[int, int, str]], sets: Callable, hashes: Callable, threshold: float) -> list[tuple[int, int]]:
     """One link for each pair of components that lines of a group unite; candidates are verified on their texts."""
-    out, seen, sets = [], set(), {}
+    out, seen, known = [], set(), {}
     if len(group) <= 12:
         pairs = combinations(range(len(group)), 2)
     else:
-        pairs = zip(*(x.tolist() for x in _similar([x[2] for x in group], k, threshold)))
+        pairs = zip(*(x.tolist() for x in _similar([x[2] for x in group], hashes, threshold)))
     for i, j in pairs:
         (a, ra, x), (b, rb, y) = group[i], group[j]
         pair = (min(ra, rb), max(ra, rb))
         if ra == rb or pair in seen:
             continue
         for n, content in ((i, x), (j, y)):
-            if n not in sets:
-                sets[n] = shingles(content, k)
-        if jaccard(sets[i], sets[j]) >= threshold:
+            if n not in known:
+                known[n] = sets(content)
+        if jaccard(known[i], known[j]) >= threshold:
             seen.add(pair)
             out.append((a, b))
     return out
 
 
-def _crossed_batches(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Iterator[pa.RecordBatch]:
+def _crossed_batches(batches: Iterator[pa.RecordBatch], sets: Callable, hashes: Callable, threshold: float) -> Iterator[pa.RecordBatch]:
     """Links between components within each (band, i, j); rows come sorted by these."""
     key, group = None, []
 
     def close() -> list[tuple[int, int]]:
-        return _crossed(group, k, threshold) if len({x[1] for x in group}) > 1 else []
+        return _crossed(group, sets, hashes, threshold) if len({x[1] for x in group}) > 1 else []
 
     for batch in batches:
         out = []
@@ -277,11 +278,22 @@ def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
 def similar_lines(lines: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
                   bitmap_words: int = BITMAP_WORDS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``node`` and ``root`` of every distinct line that is linked to another one; *lines* is a stored table of ``line`` and ``content``."""
+    made = lines.select("line", "content").mapInArrow(lambda it: _band_batches(it, bands, rows, k), "band long, line long")
+    return linked(lines, made, partial(shingles, k=k), partial(_shingle_hashes, k=k), threshold, bitmap_words, group_rows)
+
+
+def linked(lines: DataFrame, made: DataFrame, sets: Callable, hashes: Callable, threshold: float, bitmap_words: int = BITMAP_WORDS,
+           group_rows: int = GROUP_ROWS, sift: Callable | None = None) -> DataFrame:
+    """``node`` and ``root`` of the lines that bands (*made*: ``band``, ``line``) bring together and whose shingles are similar enough.
+
+    ``sets`` gives the shingles of a text, ``hashes`` the text number and hash of every shingle of a list of texts; ``sift`` can
+    leave out rows of shared bands.
+    """
     spark, lines = lines.sparkSession, lines.select("line", "content")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.rdd.getNumPartitions())
-    made = lines.mapInArrow(lambda it: _band_batches(it, bands, rows, k), "band long, line long")
     dealt = made.repartition(n, "band").sortWithinPartitions("band")
     shared = stored(dealt.mapInArrow(_shared_bands, "band long, line long"), "shared-bands")
+    shared = stored(sift(shared), "sifted-bands") if sift else shared
 
     # Texts of the lines that share a band: most others are told apart by a bitmap before anything is shuffled.
     wanted = stored(shared.select("line").distinct(), "candidates")
@@ -293,7 +305,7 @@ def similar_lines(lines: DataFrame, threshold: float = THRESHOLD, k: int = SHING
     mixed = F.struct(F.xxhash64("line").alias("o"), "line")
     hubs = shared.groupBy("band").agg(F.min(mixed)["line"].alias("b"))
     pairs = shared.join(hubs, "band").where("line != b").select(F.least("line", "b").alias("a"), F.greatest("line", "b").alias("b"))
-    links = stored(_pairs_verified(pairs, texts, threshold, k), "line-links")
+    links = stored(_pairs_verified(pairs, texts, threshold, sets), "line-links")
     found = components(links)
 
     # Then bands that still hold several components: their lines meet in a task, in parts of bounded size if there are many,
@@ -307,7 +319,7 @@ def similar_lines(lines: DataFrame, threshold: float = THRESHOLD, k: int = SHING
     met = stored(met.select("band", F.least(part, "other").alias("i"), F.greatest(part, "other").alias("j"), "line", "root"), "split-bands")
     n = partitions(spark, met.count(), GROUP_TASK_ROWS)
     dealt = met.join(texts, "line").repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j")
-    more = stored(dealt.mapInArrow(lambda it: _crossed_batches(it, k, threshold), "a long, b long"), "line-links")
+    more = stored(dealt.mapInArrow(lambda it: _crossed_batches(it, sets, hashes, threshold), "a long, b long"), "line-links")
     if more.isEmpty():
         return found
     return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
