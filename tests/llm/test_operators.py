@@ -139,6 +139,10 @@ def test_lines_of_repeated_rows(spark):
     assert sorted((x.doc_id or 0, x.n_removed) for x in got) == [(0, 0), (1, 0), (1, 0), (2, 2), (3, 1)]
 
 
+def test_a_pair_at_the_threshold_is_missed_less_than_once_in_a_thousand():
+    assert (1 - line_dedup.THRESHOLD ** line_dedup.ROWS) ** line_dedup.BANDS < 1e-3
+
+
 # 3 Repeated passages
 
 

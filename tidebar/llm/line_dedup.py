@@ -2,7 +2,7 @@
 
 Lines are compared by the Jaccard similarity of their character shingles. A signature has one hash a bin (one permutation,
 empty bins borrowed from others), and bands of it make lines meet: at the threshold a pair is missed about
-twice in a thousand. Lines of a band are first compared with one of them only, the band's hub; once
+six times in ten thousand. Lines of a band are first compared with one of them only, the band's hub; once
 components are known, bands that still hold several are compared all with all inside tasks, in parts of bounded size, by
 matrix products. So a large group of copies costs one comparison a line and band, no pairs are written out, and no link
 between components is lost. Every candidate is verified on the texts. Of each component one line stays: the first, by document id and place.
@@ -25,7 +25,7 @@ from .common import bitmap, in_bitmap, partitions, stored
 from .components import components
 
 SHINGLE, THRESHOLD = 8, 0.8
-BANDS, ROWS = 12, 4
+BANDS, ROWS = 14, 4
 BITMAP_WORDS = 1 << 17  # 2^23 bits, 1 MB: the bound of what every task gets
 BATCH_CHARS = 1 << 21
 GROUP_ROWS = 512  # lines of one part of a band; a task compares two parts at most at a time
