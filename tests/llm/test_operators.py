@@ -446,6 +446,17 @@ def test_pairs_count_beyond_their_words(spark):
     assert got[2] > 0.5 > max(got[0], got[1]) and got[3] == got[4]
 
 
+def test_rare_terms_that_are_always_toxic_count(spark):
+    r, rows = random.Random(4), []
+    for i in range(8000):
+        rare, usual = i < 10, r.random() < 0.02
+        rows.append((i, words(r, 5) + " scoundrel" * rare + " insult" * usual, int(rare or usual)))
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, toxic int"))
+    got = {x.doc_id: x.score for x in toxicity.score(spark.createDataFrame([(0, "scoundrel"), (1, "")], "doc_id long, text string"), model).collect()}
+    assert got[0] > 0.5 > got[1]
+
+
 def test_toxicity_without_labels(spark):
     docs = table(spark, ODD)
     none = spark.createDataFrame([], "doc_id long, toxic int")

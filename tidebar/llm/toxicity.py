@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 16_384  # labelled rows to fit on: about the bound of what the fitting task gets
 BITS = 18
-LEAST_ROWS, LEAST_SHARE = 3, 1 / 512  # terms in fewer fitted rows have no weight
+LEAST_ROWS, LEAST_SHARE = 3, 1 / 512  # terms in fewer than these rows have no weight; in a smaller share only if they lean by RARE
+RARE = 6.0  # standard deviations, less half a row
 WEIGHED, PAIRED = 3.0, 3.0  # standard deviations a term leans from chance to have a weight of its own, and to form pairs
 COMMON_SHARE = 1 / 20  # terms in more rows than this count less, down to nothing for one that is everywhere
 STEMS = (4, 5)  # first letters of a word that are terms as well, for inflected and compound words
@@ -118,12 +119,13 @@ def _fit(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatc
     label, terms = np.array([label[i] for i in order], float), [terms[i] for i in order]
     flat = np.concatenate(terms)
     rows = np.bincount(flat, minlength=1 << bits)
-    active = rows >= max(LEAST_ROWS, LEAST_SHARE * len(label))
+    active = rows >= LEAST_ROWS
     value = np.where(active, np.minimum(np.log(len(label) / np.maximum(rows, 1)) / -np.log(COMMON_SHARE), 1), 0)
     share = np.clip(label.mean(), 1e-4, 1 - 1e-4)
     marked = np.bincount(flat, np.repeat(label, [len(t) for t in terms]), minlength=1 << bits)
     lean = np.abs(marked - rows * share) / np.sqrt(np.maximum(rows, 1) * share * (1 - share))
-    active &= (value > 0) & (lean >= PAIRED)
+    sure = lean - 0.5 / np.sqrt(np.maximum(rows, 1) * share * (1 - share)) >= RARE
+    active &= (value > 0) & np.where(rows >= LEAST_SHARE * len(label), lean >= PAIRED, sure)
     kept = active[flat]
     ptr = np.concatenate([[0], np.cumsum([int(active[t].sum()) for t in terms])])
     machine = Machine(1 << bits)
