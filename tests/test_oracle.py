@@ -16,7 +16,7 @@ DENSE = {
     "log_variance_proxy", "log_variance_proxy_long_axis", "variogram", "hurst", "hurst_nugget", "roughness_gate", "fit_ou",
     "class_rollup", "pooled_sign_tstats", "sweep_xs_momentum",
 }
-NO_SQL = {"validate_top_k"}
+NO_SQL: set[str] = set()
 LLM = ("op", "pipeline")  # tested against brute force in tests/llm
 ORACLES = entry.oracle_sql()
 

@@ -16,7 +16,8 @@ from tidebar.functions.normal import cdf, cdf_array, pdf, with_ppf
 from tidebar.operators import roughness, scoring, stats
 from tidebar.operators import walkforward as wf
 from tidebar.operators.ordered import Axis
-from tidebar.operators.portfolio import Costs, ledger, ledger_exact, weighted_targets
+from tidebar.operators.ledger import ledger_exact
+from tidebar.operators.portfolio import Costs, ledger, weighted_targets
 
 N = NormalDist()
 DAY0 = dt.datetime(2020, 1, 1)

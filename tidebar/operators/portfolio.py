@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .ordered import DAILY, Axis, over_rows, running
 from .volatility import pct_change
@@ -92,7 +91,7 @@ def ledger(weighted: DataFrame, costs: Costs = Costs(), capital: float = 1.0, ax
 
     ``equity`` is marked with the weights of the previous close less the costs paid
     there: ``E[t+1] = E[t] (1 + R[t+1] - f[t])``. Exact without costs on a common
-    calendar; with costs, exact to first order in them (see ``ledger_exact``).
+    calendar; with costs, exact to first order in them (see ``ledger.ledger_exact``).
     """
     keys = [k for k in axis.keys if k != "symbol"]
     by_close = trading_costs(weighted, costs, axis).groupBy(*keys, axis.order).agg(
@@ -149,71 +148,6 @@ def roll_events(weighted: DataFrame, axis: Axis = DAILY) -> DataFrame:
     )
 
 
-def ledger_exact(weighted: DataFrame, costs: Costs = Costs(), capital: float = 1.0, band: float = 0.0,
-                 keys: tuple[str, ...] = ("trial",), parallel: int | None = None) -> DataFrame:
-    """Unit-holding ledger: equity path, costs and skipped trades of each book.
-
-    The path depends on itself (a trade is skipped when smaller than *band* of
-    equity, and units drift between trades), so each book is walked in time order.
-    Rows are sorted by Spark and streamed; only current holdings are kept in memory.
-    Books (trial, fold) run in parallel.
-    """
-    order = [*keys, "ts_init", "symbol"]
-    rows = weighted.select(*order, "close", "w")
-    n = [parallel] if parallel else []
-    rows = rows.repartition(*n, *keys).sortWithinPartitions(*order)
-    schema = T.StructType(
-        [f for f in rows.schema.fields if f.name in keys]
-        + [T.StructField("ts_init", T.TimestampType()), T.StructField("equity", T.DoubleType()),
-           T.StructField("equity_post", T.DoubleType()), T.StructField("orders", T.LongType())]
-    )
-    rate, per_contract, slip = costs.rate, costs.per_contract, costs.slippage_prob * 0.01
-
-    def walk(frames):
-        import pandas as pd
-
-        book, held, last, equity, done = None, {}, {}, capital, []
-        close_rows, at = [], None
-
-        def settle():
-            nonlocal equity
-            for sym, price, _ in close_rows:
-                if price is not None and price > 0:
-                    if held.get(sym) and sym in last:
-                        equity += held[sym] * (price - last[sym])
-                    last[sym] = price
-            before, orders = equity, 0
-            for sym, price, weight in close_rows:
-                if weight is None or weight != weight or not price > 0 or before <= 0:
-                    continue
-                units = weight * before / price - held.get(sym, 0.0)
-                if units == 0.0 or abs(units) * price < band * before:
-                    continue
-                equity -= abs(units) * (rate * price + per_contract + slip)
-                held[sym] = held.get(sym, 0.0) + units
-                orders += 1
-            done.append((*book, at, before, equity, orders))
-
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                key, ts = tuple(row[: len(keys)]), row[len(keys)]
-                if close_rows and (key != book or ts != at):
-                    settle()
-                    close_rows = []
-                if key != book:
-                    book, held, last, equity = key, {}, {}, capital
-                at = ts
-                close_rows.append((row[len(keys) + 1], row[len(keys) + 2], row[len(keys) + 3]))
-            if done:
-                yield pd.DataFrame(done, columns=[f.name for f in schema.fields])
-                done = []
-        if close_rows:
-            settle()
-            yield pd.DataFrame(done, columns=[f.name for f in schema.fields])
-
-    return rows.mapInPandas(walk, schema)
-
-
 def calendar_fill(equity: DataFrame, capital: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """Calendar-day returns of a post-cost equity path, labelled with their first day.
 

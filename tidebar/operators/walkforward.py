@@ -13,14 +13,15 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import TRADING_DAYS
 from ..session import store_once
 from .ordered import DAILY, Axis, over_rows
+from .ledger import ledger_exact
 from .panel import calendar
-from .portfolio import Costs, calendar_fill, ledger, ledger_exact, trades, weighted_targets
+from .portfolio import Costs, calendar_fill, ledger, trades, weighted_targets
 from .volatility import _rolling, drawdown, pct_change
 
 ANNUAL = TRADING_DAYS**0.5
@@ -281,6 +282,15 @@ def engine_comparison(screened: DataFrame, validated: DataFrame) -> DataFrame:
     )
 
 
+def agreement(screened: DataFrame, validated: DataFrame) -> DataFrame:
+    """Both scores of every validated trial with its rank under each; a top-k report, so ranks come from one small group."""
+    both = validated.select("trial", F.col("value").alias("validated")).join(screened.select("trial", F.col("value").alias("screened")), "trial")
+    rank = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "trial"))
+    return both.withColumns({
+        "diff": F.col("validated") - F.col("screened"), "screened_rank": rank("screened"), "validated_rank": rank("validated"),
+    })
+
+
 def top_trials(trials: DataFrame, k: int) -> DataFrame:
     """The *k* best trials with distinct parameters."""
     payload = [c for c in trials.columns if c != "params"]

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import curves, evaluation, features, ingest, research, signals, streams  # noqa: F401
+from . import curves, evaluation, features, ingest, ledgers, research, signals, streams  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

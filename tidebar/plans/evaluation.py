@@ -109,21 +109,6 @@ def roll_events(spark, sf):
     return portfolio.roll_events(held)
 
 
-@query("trial:s ts_init:t equity:8 equity_post:8 orders:i", TGT + """, n AS (SELECT symbol, ts_init, close, target AS w, row_number() OVER (PARTITION BY symbol ORDER BY ts_init) AS i FROM tgt),
-walk AS (SELECT symbol, ts_init, i, close, 1.0::DOUBLE AS before, CASE WHEN w <> 0 AND abs(w) >= 0.002 THEN 1 ELSE 0 END AS orders,
-  CASE WHEN w <> 0 AND abs(w) >= 0.002 THEN w / close ELSE 0.0 END AS units, CASE WHEN w <> 0 AND abs(w) >= 0.002 THEN 1 - abs(w) * 0.0005 ELSE 1.0 END AS post FROM n WHERE i = 1
- UNION ALL
- SELECT symbol, ts_init, i, close, before, CASE WHEN go THEN 1 ELSE 0 END, CASE WHEN go THEN u + d ELSE u END, CASE WHEN go THEN before - abs(d) * close * 0.0005 ELSE before END
- FROM (SELECT *, before > 0 AND d <> 0 AND abs(d) * close >= 0.002 * before AS go FROM (SELECT n.symbol, n.ts_init, n.i, n.close, k.units AS u,
-   k.post + k.units * (n.close - k.close) AS before, n.w * (k.post + k.units * (n.close - k.close)) / n.close - k.units AS d
-   FROM walk k JOIN n ON n.symbol = k.symbol AND n.i = k.i + 1) a) b)
-SELECT symbol AS trial, ts_init, before AS equity, post AS equity_post, orders FROM walk""")
-def ledger_exact_band(spark, sf):
-    """One book per brand with a no-trade band: the path-dependent ledger."""
-    books = targets(spark, sf).withColumns({"trial": F.col("symbol"), "w": F.col("target")})
-    return portfolio.ledger_exact(books, COSTS, band=0.002)
-
-
 @query("ts:t ret:8", TGT + _LED + """, dl AS (SELECT CAST(ts_init AS DATE) AS d, equity * (1 - fee) AS e FROM led),
 days AS (SELECT CAST(unnest(generate_series((SELECT min(d) FROM dl), (SELECT max(d) FROM dl), INTERVAL 1 DAY)) AS DATE) AS d),
 f AS (SELECT days.d, CASE WHEN row_number() OVER (ORDER BY days.d) = 1 THEN 1.0 ELSE last_value(e IGNORE NULLS) OVER (ORDER BY days.d) END AS e FROM days LEFT JOIN dl ON dl.d = days.d),
@@ -411,16 +396,6 @@ def run_all(spark, sf):
     )
 
 
-@query("trial:i fold:i days:i sharpe:6")
-def validate_top_k(spark, sf):
-    """The three best trials re-scored with the unit-holding ledger on calendar days."""
-    bars = src.brand_bars(spark, sf)
-    windows, targets = folds_of(bars), wf.trend_targets(bars, GRID)
-    screened = store_once(wf.trial_scores(wf.fold_scores(wf.sweep(bars, targets, windows))))
-    returns = wf.validate_top_k(bars, targets, windows, screened, 3, COSTS)
-    return wf.fold_scores(returns).withColumnRenamed("n", "days")
-
-
 # -- selection bias ----------------------------------------------------------------
 
 
