@@ -225,7 +225,7 @@ def outright_bars(spark, sf):
         F.max_by("price", moment).alias("close"), F.sum("size").alias("volume")
     ).withColumn("ts_init", F.col("ts_event") + F.expr("INTERVAL 1 DAY"))
     expiry = (F.date_add(F.add_months("q", 2), 14)).cast("timestamp")
-    contracts = bars.select("symbol", "instrument_id", expiry.alias("expiry"), F.lit(None).cast("string").alias("month")).distinct()
+    contracts = bars.select("symbol", "instrument_id", expiry.alias("expiry"), F.substring("instrument_id", 3, 1).alias("month")).distinct()
     return bars.drop("q"), contracts
 
 
@@ -239,6 +239,12 @@ def roll_schedule_calendar(spark, sf):
     return curve.roll_schedule(*outright_bars(spark, sf), method="calendar", days_before=8)
 
 
+@query("symbol:s seq:i instrument_id:s start_ts:t end_ts:t", _OUT_VOLUME.replace("FROM ct),\n", "FROM ct WHERE quarter(q) IN (1, 3)),\n", 1))
+def roll_schedule_months(spark, sf):
+    """Only contracts of two delivery months."""
+    return curve.roll_schedule(*outright_bars(spark, sf), method="volume", months="HU")
+
+
 def parent(spark, sf):
     bars, contracts = outright_bars(spark, sf)
     instruments = contracts.select(
