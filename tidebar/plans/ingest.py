@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, store_once
 from ..sources import bars as store
+from ..sources import committed
 from . import inputs as src
 from .inputs import BRAND, ORDERS
 from .registry import query
@@ -34,6 +35,45 @@ def append_bars_outside_coverage(spark, sf):
     return store.outside_coverage(stored(spark, sf), old_part(spark, sf))
 
 
+def committed_store(spark, sf):
+    """A store of the older bars, then all bars in two named batches; a writer stops before its commit, and a batch is replayed."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/committed-{uuid.uuid4().hex}"
+    price = {c: F.col(c).cast(store.PRICE) for c in [*store.OHLC, "volume"]}
+    whole = store_once(stored(spark, sf).withColumns(price))
+    committed.append(old_part(spark, sf).withColumns(price), path, "old")
+    late = F.col("ts_init") >= F.lit(_CUT2).cast("timestamp")
+    committed._write(whole.where(late), path)  # bars that were written and never committed
+    for batch, rows in (("late", whole.where(late)), ("late", whole.where(late)), ("rest", whole)):
+        committed.append(rows, path, batch)
+    return path
+
+
+_APPENDED = _STORE + _OLD + """, c AS (SELECT symbol, min(ts_init) AS f, max(ts_init) AS l FROM old GROUP BY symbol),
+ap AS (SELECT symbol, venue, schema, ts_init, close FROM old UNION ALL SELECT sb.symbol, sb.venue, sb.schema, sb.ts_init, sb.close FROM sb LEFT JOIN c USING (symbol) WHERE f IS NULL OR ts_init < f OR ts_init > l)"""
+# A series that only the late batch brings is known from then on, so what is before it is added, and what is inside is not.
+
+
+@query("symbol:s venue:s ts_init:t close:2", _APPENDED + " SELECT * FROM ap")
+def append_committed(spark, sf):
+    """Bars of a committed store after appends that were interrupted and replayed."""
+    return committed.read(spark, committed_store(spark, sf), schema="ohlcv-1d")
+
+
+@query("symbol:s venue:s ts_init:t close:2", _APPENDED + f" SELECT * FROM ap WHERE venue = 'XA' AND ts_init BETWEEN TIMESTAMP '{_CUT1}' AND TIMESTAMP '{_CUT2}'")
+def compact_committed(spark, sf):
+    """A range of one venue after compaction and removal of what no commit names."""
+    path = committed_store(spark, sf)
+    committed.compact(spark, path)
+    committed.vacuum(spark, path)
+    return committed.read(spark, path, venue="XA", start=_CUT1, end=_CUT2)
+
+
+@query("symbol:s venue:s first:t last:t bars:i", _APPENDED + " SELECT symbol, venue, min(ts_init) AS first, max(ts_init) AS last, count(*) AS bars FROM ap GROUP BY ALL")
+def committed_coverage(spark, sf):
+    """Coverage of every series from the log alone."""
+    return committed.coverage(committed.read_log(spark, committed_store(spark, sf)))
+
+
 @query("symbol:s venue:s schema:s first:t last:t bars:i", _STORE + " SELECT symbol, venue, schema, min(ts_init) AS first, max(ts_init) AS last, count(*) AS bars FROM sb GROUP BY ALL")
 def coverage_report(spark, sf):
     return store.coverage_report(stored(spark, sf))

@@ -6,9 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import panel
+from ..operators.panel import calendar
 from ..session import checkpoint_dir, store_once
 from ..sources import bars as store
+from ..sources import committed
 from ..streaming import bars as streaming
+from ..streaming import live
 from . import inputs as src
 from .ingest import _OLD, _STORE, old_part, stored
 from .inputs import _EVENTS, BRAND, _sql_bars
@@ -76,10 +80,10 @@ def stream_append_bars(spark, sf):
     """A store of older bars, then the whole bar stream appended under the coverage rule."""
     root = fresh(spark)
     price = {c: F.col(c).cast(store.PRICE) for c in [*store.OHLC, "volume"]}
-    store.write_bars(old_part(spark, sf).withColumns(price), f"{root}/bars")
+    committed.append(old_part(spark, sf).withColumns(price), f"{root}/bars")
     incoming = bar_stream(spark, stored(spark, sf).withColumns(price))
     streaming.stream_append_bars(incoming, f"{root}/bars", f"{root}/state").awaitTermination()
-    return store.read_bars(spark, f"{root}/bars", schema="ohlcv-1d")
+    return committed.read(spark, f"{root}/bars", schema="ohlcv-1d")
 
 
 @query("symbol:s ts_init:t target:6", QUERY_TREND)
@@ -90,18 +94,30 @@ def stream_live_targets(spark, sf):
     return drain(streaming.live_targets(bar_stream(spark, bars)), spark)
 
 
-def _tail_targets(spark, bars, signals, tail_days):
-    """Run *signals* over bars that arrive year after year, one file and one micro-batch each."""
+def arriving(spark, parts, run):
+    """Let *parts* of a table arrive one after the other, each a set of files, and *run* the stream to its end after each.
+
+    *run* takes the stream and the folder of its state. A part is one micro-batch of as many tasks as it has files.
+    """
     root = fresh(spark)
+    for part in parts:
+        part.write.mode("append").parquet(f"{root}/in")
+        run(spark.readStream.schema(part.schema).parquet(f"{root}/in"), root).awaitTermination()
+    return root
+
+
+def _tail_targets(spark, bars, signals, tail_days):
+    """Run *signals* over bars that arrive year after year, one micro-batch each."""
     years = [r["y"] for r in bars.select(F.year("ts_init").alias("y")).distinct().orderBy("y").collect()]  # one row a year
-    for y in years:
-        bars.where(F.year("ts_init") == y).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    late = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    root = fresh(spark)
 
     def write(df, number):
         df.select("symbol", "ts_init", "target").write.mode("overwrite").parquet(f"{root}/targets/batch={number}")
 
-    streaming.stream_tail_targets(late, f"{root}/bars", signals, write, f"{root}/state", tail_days).awaitTermination()
+    arriving(
+        spark, [bars.where(F.year("ts_init") == y) for y in years],
+        lambda late, _: streaming.stream_tail_targets(late, f"{root}/bars", signals, write, f"{root}/state", tail_days),
+    )
     return spark.read.parquet(f"{root}/targets").drop("batch")
 
 
@@ -112,3 +128,50 @@ def stream_tail_targets(spark, sf):
 
     bars = src.brand_bars(spark, sf).select("symbol", "ts_init", "close")
     return _tail_targets(spark, store_once(bars), lambda df: ts_momentum(df, 60, 5, vol_lookback=20), 2000)
+
+
+def into_files(frame, root):
+    return frame.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode(
+        "append"
+    ).trigger(availableNow=True).start()
+
+
+def calendar_parts(spark, sf, missing: int):
+    """Bars with the place of their close in the calendar and the bars it is to have, in three parts that cut closes in two.
+
+    Every third close is to have *missing* bars more than ever come. The last part repeats bars of the first, long after their closes.
+    """
+    bars = src.brand_bars(spark, sf).select("symbol", "ts_init", "close")
+    days = calendar(bars).join(panel.universe_size(bars), "ts_init")
+    days = days.withColumn("expected", F.col("n_bars") + F.when(F.col("t") % 3 == 2, missing).otherwise(0)).drop("n_bars")
+    rows = store_once(bars.join(F.broadcast(days), "ts_init"))  # one row a close
+    last = rows.agg(F.max("t")).scalar()
+    place = F.col("t") + (F.col("symbol") > "Brand#3").cast("int") * 0.5  # the later half of a close's symbols
+    parts = [rows.where(place <= F.floor(last * 0.4)), rows.where((place > F.floor(last * 0.4)) & (place <= F.floor(last * 0.7))), rows.where(place > F.floor(last * 0.7))]
+    return [*parts[:2], parts[2].unionByName(rows.where("t < 50"))]
+
+
+@query("ts_init:t n_bars:i complete:b", BRAND + """, c AS (SELECT ts_init, count(*) AS n_bars, row_number() OVER (ORDER BY ts_init) - 1 AS t, count(*) OVER () AS n FROM bars GROUP BY 1)
+SELECT ts_init, n_bars, t % 3 <> 2 AS complete FROM c WHERE t % 3 <> 2 OR t < n - 1""")
+def stream_settled_closes(spark, sf):
+    """Closes settled by their count or by a later close, over batches that cut closes, with bars that never or too late come."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    root = arriving(spark, calendar_parts(spark, sf, 1), lambda bars, root: into_files(live.settled_closes(bars), root))
+    return spark.read.parquet(f"{root}/out")
+
+
+_LIVE = BRAND + """, c AS (SELECT ts_init, row_number() OVER (ORDER BY ts_init) - 1 AS t FROM (SELECT DISTINCT ts_init FROM bars)),
+r AS (SELECT symbol, ts_init, close, t, close / lag(close) OVER w - 1 AS ret FROM bars JOIN c USING (ts_init) WINDOW w AS (PARTITION BY symbol ORDER BY ts_init)),
+m AS (SELECT *, lag(close, 5) OVER w / lag(close, 65) OVER w - 1 AS mom, CASE WHEN t < 20 THEN 0.2 ELSE stddev_pop(ret) OVER (PARTITION BY symbol ORDER BY ts_init ROWS 19 PRECEDING) * sqrt(252) END AS v
+ FROM r WINDOW w AS (PARTITION BY symbol ORDER BY ts_init)),
+cuts AS (SELECT t, quantile_cont(mom, 0.75) AS hi, quantile_cont(mom, 0.25) AS lo FROM m WHERE t >= 65 AND (t - 65) % 7 = 0 AND (t % 3 <> 2 OR t < (SELECT max(t) FROM c)) GROUP BY t HAVING count(mom) >= 2)
+SELECT symbol, ts_init, coalesce(CASE WHEN mom >= hi THEN least(0.1 / greatest(v, 1e-6), 2) WHEN mom <= lo THEN -least(0.1 / greatest(v, 1e-6), 2) ELSE 0 END, 0) AS target FROM m JOIN cuts USING (t)"""
+
+
+@query("symbol:s ts_init:t target:6", _LIVE)
+def stream_live_xs_momentum(spark, sf):
+    """Cross-sectional targets of a bar stream: scores by symbol, then ranks by close."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    follow = lambda bars, root: into_files(live.live_xs_momentum(bars, 60, 5, vol_lookback=20, rebal_freq=7), root)
+    root = arriving(spark, calendar_parts(spark, sf, 1), follow)
+    return spark.read.parquet(f"{root}/out")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from ..sources.bars import append_bars
+from ..sources import committed
 
 
 def tick_to_bar_stream(ticks: DataFrame, seconds: int, late: str, ties: list[str]) -> DataFrame:
@@ -49,13 +49,13 @@ def complete_batches(bars: DataFrame, late: str) -> DataFrame:
 
 
 def stream_append_bars(bars: DataFrame, path: str, checkpoint: str):
-    """Append a bar stream to a store under the batch coverage rule.
+    """Append a bar stream to a committed store under the batch coverage rule.
 
-    Duplicates inside a batch are removed first. A batch replayed after a failure is
-    already inside the coverage, so it adds nothing.
+    Duplicates inside a batch are removed first. The log knows every batch of a checkpoint by its number, so one that is
+    replayed after a failure adds nothing, and coverage is the log's, so no stored bar is read.
     """
-    def sink(batch: DataFrame, _: int) -> None:
-        append_bars(batch.dropDuplicates(["symbol", "venue", "schema", "ts_init"]), path)
+    def sink(batch: DataFrame, number: int) -> None:
+        committed.append(batch.dropDuplicates(["symbol", "venue", "schema", "ts_init"]), path, f"{checkpoint}#{number}")
 
     return bars.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
