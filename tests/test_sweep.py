@@ -9,7 +9,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from tidebar.operators import strategies
+from tidebar.operators import shared, strategies
 from tidebar.operators import walkforward as wf
 from tidebar.operators.portfolio import Costs
 from tidebar.session import checkpoint_dir, store_once
@@ -77,3 +77,26 @@ def test_no_machine_local_folder_on_a_cluster():
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             checkpoint_dir(session(master))
     checkpoint_dir(session("local[4]"))
+
+
+def test_declared_rules_are_the_strategies(spark, weekdays):
+    """Targets of every trial, whatever its parameters, on a table with gaps and a symbol that stops."""
+    third = weekdays.where("symbol = 'AA' and ts_init < TIMESTAMP '2019-09-01'").withColumns({"symbol": F.lit("CC"), "close": F.col("close") * (1.3 + F.sin(F.dayofyear("ts_init") / 9))})
+    bars = store_once(weekdays.unionByName(third).where("not (symbol = 'BB' and day(ts_init) % 7 = 3)"))
+    ts = [dict(lookback=n, skip_recent=k, vol_lookback=9, rebal_freq=f) for n, k, f in ((20, 0, 1), (30, 4, 5), (20, 4, 3))]
+    xs = [dict(lookback=n, skip_recent=3, vol_lookback=v, rebal_freq=f, top_quantile=q) for n, v, f, q in ((20, 9, 4, 0.25), (25, 12, 6, 0.4))]
+    run = lambda frame, **p: strategies.compute_targets(frame, strategies.xs_momentum, multi_asset=True, **p)
+    for rule, strategy, grid in ((shared.TS_MOMENTUM, strategies.ts_momentum, ts), (shared.XS_MOMENTUM, run, xs)):
+        key = lambda df: {(r.trial, r.symbol, r.ts_init): (r.close, r.target) for r in df.collect()}
+        got, want = key(shared.rule_targets(bars, rule, grid)), key(wf.strategy_targets(bars, strategy, grid))
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+        assert len({v[1] for v in got.values()}) > 3
+
+
+def test_scans_do_not_grow_with_trials(spark, weekdays):
+    bars = store_once(weekdays)
+    for rule in (shared.TS_MOMENTUM, shared.XS_MOMENTUM):
+        plans = [
+            shared.rule_targets(bars, rule, [dict(lookback=10 + i, vol_lookback=5) for i in range(n)])._jdf.queryExecution().executedPlan().toString() for n in (1, 9)
+        ]
+        assert plans[0].count("Scan") == plans[1].count("Scan") > 0 and plans[0].count("Exchange") == plans[1].count("Exchange")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import cdf_sql, pdf_sql, ppf_sql
 from ..operators import attribution as att
-from ..operators import panel, portfolio, stats, strategies
+from ..operators import panel, portfolio, shared, stats, strategies
 from ..operators import walkforward as wf
 from ..operators.ordered import Axis
 from ..session import checkpoint_dir, store_once
@@ -292,12 +292,18 @@ def _scores_of(spark, sf, strategy, grid):
     return wf.fold_scores(returns)
 
 
+def _scores_of_rule(spark, sf, rule, grid):
+    bars = store_once(src.brand_bars(spark, sf))
+    return wf.fold_scores(wf.sweep(bars, shared.rule_targets(bars, rule, grid), folds_of(bars), COSTS))
+
+
 _SCORES = "trial:i fold:i sharpe:6 n:i"
 
 
 @query(_SCORES, _sweep_of([tsm_sql(1), tsm_sql(21)]) + " SELECT * FROM fsc")
 def sweep_ts_momentum(spark, sf):
-    return _scores_of(spark, sf, strategies.ts_momentum, [dict(lookback=60, skip_recent=5, vol_lookback=20, rebal_freq=f) for f in (1, 21)])
+    """Both trials from one scan: the strategy is declared."""
+    return _scores_of_rule(spark, sf, shared.TS_MOMENTUM, [dict(lookback=60, skip_recent=5, vol_lookback=20, rebal_freq=f) for f in (1, 21)])
 
 
 @query(_SCORES, _sweep_of([QUERY_REVERSION]) + " SELECT * FROM fsc")
@@ -308,10 +314,7 @@ def sweep_mean_reversion(spark, sf):
 @query(_SCORES, _sweep_of([xsm_sql(60), xsm_sql(20)]) + " SELECT * FROM fsc")
 def sweep_xs_momentum(spark, sf):
     """A cross-sectional strategy under the same folds, costs and calendar."""
-    def run(bars, **params):
-        return strategies.compute_targets(bars, strategies.xs_momentum, multi_asset=True, **params)
-
-    return _scores_of(spark, sf, run, [dict(lookback=n, skip_recent=5, vol_lookback=20) for n in (60, 20)])
+    return _scores_of_rule(spark, sf, shared.XS_MOMENTUM, [dict(lookback=n, skip_recent=5, vol_lookback=20) for n in (60, 20)])
 
 
 @query("trial:i fold_0:6 fold_1:6 fold_2:6 fold_3:6 fold_4:6", SWEEP + " SELECT trial, " + ", ".join(f"max(sharpe) FILTER (fold = {i}) AS fold_{i}" for i in range(5)) + " FROM fsc GROUP BY trial")
