@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidebar.llm import (
     decontaminate, exact_dedup, language_id, line_dedup, packing, queries, repeats, secrets, simhash, token_files, tokens, toxicity,
 )
-from tidebar.llm.common import documents, named, without
+from tidebar.llm.common import documents, named, share_of_hash, without
 from tidebar.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -389,11 +389,11 @@ def windows_by_brute_force(texts, items):
         for item, text in items:
             own = split(text)
             n = min(10, len(own))
-            spans = {tuple(own[i:i + n]) for i in range(len(own) - n + 1)} if n and item is not None else set()
+            spans = {tuple(own[i:i + n]) for i in range(len(own) - n + 1)} if n else set()
             for i in range(len(w) - n + 1):
                 if tuple(w[i:i + n]) in spans:
                     hit |= set(range(i, i + n))
-                    ids.add(str(item))
+                    ids |= {str(item)} - {"None"}
         out.append((len(w), len(hit), sorted(ids), bool(hit)))
     return out
 
@@ -471,3 +471,50 @@ def test_without(spark):
     docs = table(spark, ["a", "a", None, "b"], ids=[1, None, 2, 3])
     gone = named(docs).where("text = 'a' and doc_id is null or doc_id = 2")
     assert sorted(x.doc_id for x in without(docs, gone).collect()) == [1, 3] and without(docs, gone.limit(0)).count() == 4
+
+
+def test_names_leave_columns_alone(spark):
+    docs = table(spark, ["a", "b"]).withColumns({"d1": F.lit("mine"), "d2": F.lit("too")})
+    got = without(docs, named(docs).where("text = 'a'"))
+    assert got.columns == docs.columns and [(x.text, x.d1, x.d2) for x in got.collect()] == [("b", "mine", "too")]
+
+
+def test_share_of_hash(spark):
+    rows = spark.range(1 << 16).select(F.xxhash64("id").alias("h"))
+    for share in (1.0, 0.25, 2.0 ** -10):
+        assert abs(rows.where(share_of_hash(F.col("h"), share)).count() - share * (1 << 16)) < 5 * (share * (1 << 16)) ** 0.5 + 1
+    assert share_of_hash(F.col("h"), 1e-12) is not None and rows.where(share_of_hash(F.lit(-(1 << 63)), 1e-12)).count() == 1 << 16
+
+
+def test_contaminated_by_an_item_without_id(spark):
+    text = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(None, text)], "item_id long, text string")
+    (x,) = decontaminate.shared_windows(table(spark, ["so " + text]), bench).collect()
+    assert (x.n_words, x.n_hit, x["items"], x.contaminated) == (11, 10, [], True)
+
+
+def test_excerpts():
+    assert language_id.excerpts(["aa", "B" * 100, "c" * 100], 63) == b"aa\n" + b"b" * 29 + b"\n" + b"c" * 29
+    assert language_id.excerpts(["ab", "c"], 100) == b"ab\nc" and language_id.excerpts([], 10) == b""
+
+
+def test_language_by_brute_force(spark):
+    """The classes that sizes under each dictionary give, block by block, on texts of several blocks too."""
+    import zstandard as z
+
+    known = language_id.dictionaries(documents(spark, SF))
+    texts = [x.text for x in documents(spark, SF).limit(40).collect()] + ODD + ["la casa " * 2000 + "the house " * 700]
+    got = {x.doc_id: x for x in language_id.identify(table(spark, texts), known).collect()}
+    for i, text in enumerate(texts):
+        if not text or not any(c.isalpha() for c in text):
+            assert (got[i].lang_pred, got[i].score, got[i].rejected) == ("und", 0.0, True)
+            continue
+        raw, size = text.lower().encode(), {}
+        for lang, data in known.items():
+            given = z.ZstdCompressionDict(data, dict_type=z.DICT_TYPE_RAWCONTENT)
+            how = z.ZstdCompressionParameters.from_level(3, dict_size=len(data), source_size=2048, min_match=3, strategy=z.STRATEGY_BTOPT, write_content_size=0, write_checksum=0, write_dict_id=0)
+            size[lang] = sum(len(z.ZstdCompressor(dict_data=given, compression_params=how).compress(raw[k:k + 2048])) for k in range(0, len(raw), 2048))
+        first, second = sorted(size.values())[:2]
+        assert size[got[i].lang_pred] == first and got[i].rejected == (second - first < 0.005 * first)
+        assert got[i].score == pytest.approx(1 / sum(2.718281828459045 ** (first - s) for s in size.values()))
+        assert got[i].text == text and got[i]["row"] == "r"

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
+NAME = ("__name1", "__name2")  # no names that a user's columns have
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,6 +40,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(found: Iterator, *caches: dict) -> Iterator:
+    """What ``found`` yields. Python workers outlive their tasks, so the caches are empty again when it ends."""
+    try:
+        yield from found
+    finally:
+        for cache in caches:
+            cache.clear()
+
+
+def share_of_hash(hashed: Column, share: float) -> Column:
+    """True for about this share of all 64-bit hashes, however small it is."""
+    return F.lit(True) if share >= 1 else hashed < F.lit(int(share * 2.0 ** 64) - (1 << 63))
+
+
 def partitions(spark: SparkSession, rows: int, per_partition: int) -> int:
     """Partitions for an explicit ``repartition`` so that each holds about ``per_partition`` rows."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition))
@@ -72,14 +88,14 @@ def let(value: Column, body) -> Column:
 
 
 def named(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Add ``d1`` and ``d2``, 128 bits of hash that tell documents apart by id and text."""
-    return df.withColumns({"d1": F.xxhash64(doc_id, text), "d2": F.xxhash64(F.lit("second"), text, doc_id)})
+    """Add two columns (``NAME``), 128 bits of hash that tell documents apart by id and text."""
+    return df.withColumns({NAME[0]: F.xxhash64(doc_id, text), NAME[1]: F.xxhash64(F.lit("second"), text, doc_id)})
 
 
 def without(docs: DataFrame, gone: DataFrame, words: int = 1 << 15) -> DataFrame:
-    """Rows of ``docs`` whose name (``d1``, ``d2``) is not in ``gone``; texts that a bitmap of bounded size clears are not shuffled."""
-    gone = stored(gone.select(F.col("d1").alias("g1"), F.col("d2").alias("g2")).distinct(), "gone")
+    """Rows of ``docs`` whose name (``NAME``) is not in ``gone``; texts that a bitmap of bounded size clears are not shuffled."""
+    gone = stored(gone.select(F.col(NAME[0]).alias("__g1"), F.col(NAME[1]).alias("__g2")).distinct(), "gone")
     rows = named(docs)
-    hit = in_bitmap(bitmap(gone, "g1", words).scalar(), F.col("d1"), words)
-    kept = rows.where(hit).join(gone, (F.col("d1") == F.col("g1")) & (F.col("d2") == F.col("g2")), "left_anti")
+    hit = in_bitmap(bitmap(gone, "__g1", words).scalar(), F.col(NAME[0]), words)
+    kept = rows.where(hit).join(gone, (F.col(NAME[0]) == F.col("__g1")) & (F.col(NAME[1]) == F.col("__g2")), "left_anti")
     return rows.where(~hit).unionByName(kept).select(*docs.columns)

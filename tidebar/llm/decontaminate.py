@@ -99,11 +99,11 @@ def shared_windows(docs: DataFrame, items: DataFrame, text: str = "text", item_i
 
     ``n_hit`` counts words inside any shared window of ``window`` words (a shorter item is one window), and ``items`` holds
     the ids of the items with such windows as sorted text. A null or empty text has no words and no hits; an item
-    without words or id has no windows; items that repeat an id count once; rows with null or repeated document ids are
+    without words has no windows; items that repeat an id count once; one without an id hits words like any other and is not listed; rows with null or repeated document ids are
     judged one by one; existing columns of the four names are replaced; without items nothing is hit.
     """
     spark, added = docs.sparkSession, {"n_words", "n_hit", "items", "contaminated"}
-    item = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("item"), words_of(F.col(item_text)).alias("words"))
+    item = items.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(item_text)).alias("words"))
     item = item.where(F.size("words") > 0).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     item = stored(item, "benchmark-words")
     prints = item.where(F.size("words") >= window).select("item", F.explode(_fingerprints(F.col("words"), F.col("hashes"), window, k, lambda g: F.lit(True))).alias("p"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 UNDETERMINED = "und"
 SAMPLE_ROWS = 256  # labelled texts a language that dictionaries are made of: the bound of what the driver gets
 SAMPLE_CHARS = 2000  # of each of them
-DICTIONARY_BYTES = 1 << 15
+DICTIONARY_BYTES = 1 << 15  # of a dictionary, shared evenly among its texts
 MAX_LANGUAGES = 512
 BLOCK_BYTES = 2048
 MARGIN = 0.005  # of the best size
@@ -28,8 +28,9 @@ LETTER = r"\p{L}"
 def dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
     """A dictionary for each non-null language, from ``sample_rows`` distinct texts with a letter, chosen by hash.
 
-    Languages come in the order of how many labelled rows they have. The sample is a fixed number of texts a language, so it has the same size for any corpus. Texts are shortened only here,
-    as learning material. More than ``MAX_LANGUAGES`` different languages are refused: labels are then no languages.
+    Languages come in the order of how many labelled rows they have. The sample is a fixed number of texts a language, so it has the
+    same size for any corpus. Texts are shortened only here, as learning material: each to an even share of ``DICTIONARY_BYTES``
+    (and to ``SAMPLE_CHARS`` on its way to the driver). More than ``MAX_LANGUAGES`` different languages are refused: labels are then no languages.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(LETTER)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.withColumn("order", F.xxhash64("text"))
@@ -48,7 +49,17 @@ def dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang", sa
     texts: dict[str, list[tuple[int, str]]] = {k: [] for k in sorted(common, key=lambda k: (-common[k], k))}
     for r in sample.collect():  # sample_rows texts a language
         texts[r["lang"]].append((r["order"], r["text"]))
-    return {k: "\n".join(t for _, t in sorted(v)).lower().encode()[-DICTIONARY_BYTES:] for k, v in texts.items()}
+    return {k: excerpts([t for _, t in sorted(v)], DICTIONARY_BYTES) for k, v in texts.items()}
+
+
+def excerpts(texts: list[str], size: int) -> bytes:
+    """The beginnings of all texts, each with the same share of ``size`` bytes; what short texts leave goes to longer ones."""
+    raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    taken, left = dict.fromkeys(range(len(raw)), 0), max(0, size - len(raw))  # a line feed after each
+    for n, i in enumerate(sorted(taken, key=lambda i: len(raw[i]))):
+        taken[i] = min(len(raw[i]), left // (len(raw) - n))
+        left -= taken[i]
+    return b"\n".join(raw[i][:n] for i, n in taken.items())
 
 
 class Compressors:
@@ -95,8 +106,8 @@ def _predict(batches: Iterator[pa.RecordBatch], content, margin: float) -> Itera
         found = [model.classify(t.as_py(), margin) for t in batch.column("text")]
         lang, score, rejected = zip(*found) if found else ((), (), ())
         yield pa.record_batch(
-            [batch.column("row"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
-            names=["row", "lang_pred", "score", "rejected"],
+            [batch.column("row"), batch.column("text"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
+            names=["row", "text", "lang_pred", "score", "rejected"],
         )
 
 
@@ -108,9 +119,10 @@ def identify(docs: DataFrame, known: dict[str, bytes], text: str = "text", margi
     with more labelled texts and are rejected. Rows are independent; existing columns of the three names are replaced.
     """
     added = ["lang_pred", "score", "rejected"]
-    others = [c for c in docs.columns if c not in added]
+    kept = [c for c in docs.columns if c not in added]
+    others = [c for c in kept if c != text]  # a text goes to Python and back once, beside the row
     rows = docs.select(F.struct(F.lit(0).alias("__row"), *others).alias("row"), F.col(text).cast("string").alias("text"))
     row, content = rows.schema["row"].dataType.simpleString(), tuple(known.items())
     shared = docs.sparkSession.sparkContext.broadcast(content)  # MAX_LANGUAGES dictionaries at most
-    out = rows.mapInArrow(lambda it: _predict(it, shared.value, margin), f"row {row}, lang_pred string, score double, rejected boolean")
-    return out.select("row.*", *added).drop("__row")
+    out = rows.mapInArrow(lambda it: _predict(it, shared.value, margin), f"row {row}, text string, lang_pred string, score double, rejected boolean")
+    return out.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in kept], *added)

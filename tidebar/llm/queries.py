@@ -106,7 +106,7 @@ def _sql_words(text: str) -> str:
 
 
 ORACLES["op9_decontaminate"] = f"""WITH item_words AS (
-  SELECT item_id, {_sql_words("text")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+  SELECT item_id, {_sql_words("text")} AS w FROM benchmark),
 doc_words AS (SELECT doc_id, {_sql_words("text")} AS w FROM documents),
 item_windows AS (SELECT DISTINCT item_id, n, w[i:i + n - 1] AS span FROM (
   SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM item_words WHERE len(w) > 0)),
@@ -115,7 +115,7 @@ doc_windows AS (SELECT doc_id, n, i, w[i:i + n - 1] AS span FROM (
   SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc_words, sizes WHERE len(w) >= n)),
 hits AS (SELECT doc_id, i, n, item_id FROM doc_windows JOIN item_windows USING (n, span)),
 hit_words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY 1),
-hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (
+hit_items AS (SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (
   SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
