@@ -76,6 +76,49 @@ def test_ewma_across_spans(spark):
     np.testing.assert_allclose(got["ewma_vol"], want, rtol=1e-7)
 
 
+@pytest.mark.parametrize("com,span", [(20, 16), (3000, 16), (2, 500)])
+def test_ewma_scans_short_spans(spark, com, span):
+    """Whatever the decay, however many spans its memory reaches over."""
+    rng = np.random.default_rng(5)
+    rows = [("x", dt.datetime(1990, 1, 1) + dt.timedelta(minutes=i), None if i % 11 == 3 else float(r)) for i, r in enumerate(rng.normal(0, 0.01, 1500))]
+    frame = spark.createDataFrame(rows, "symbol string, ts_init timestamp, ret double")
+    got = vol.ewma_vol(frame, com, 60, axis=Axis(step=60, block_rows=64), span=span).orderBy("ts_init").toPandas()
+    want = (got["ret"].ewm(com=com, min_periods=60, ignore_na=True).var(bias=True) * 261) ** 0.5
+    np.testing.assert_allclose(got["ewma_vol"], want, rtol=1e-7)
+
+
+def test_blocks_of_crowded_values_are_even(spark):
+    """Nearly all values lie in a 1/4096 of the range."""
+    from tidebar.operators.ordered import range_blocks
+    from tidebar.operators.roughness import exact_quantile
+    from tidebar.operators.scoring import calibration_error
+
+    rng = np.random.default_rng(2)
+    u = np.concatenate([0.5 + rng.uniform(size=40_000) / 4096, rng.uniform(size=400)])
+    frame = spark.createDataFrame(pd.DataFrame({"k": "x", "pit": u}))
+    sizes = range_blocks(frame, "pit").groupBy("__block").count().toPandas()["count"]
+    assert len(sizes) == 4 and sizes.max() <= 2 * sizes.median()
+    s, i = np.sort(u), np.arange(1, len(u) + 1)
+    assert calibration_error(frame).first()[0] == pytest.approx(max((i / len(s) - s).max(), (s - (i - 1) / len(s)).max()), rel=1e-12)
+    assert exact_quantile(frame, ["k"], "pit", 0.3, "q").first()["q"] == pytest.approx(np.quantile(u, 0.3), rel=1e-15)
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_pair_correlations_by_blocks(spark, block):
+    from tidebar.operators.replication import avg_pairwise_corr
+
+    rng = np.random.default_rng(4)
+    table = pd.DataFrame(rng.normal(5, 1, (60, 11)), columns=[f"s{i}" for i in range(11)])
+    table["flat"] = 2.0
+    table[table > 6.2] = np.nan
+    table.iloc[30:, 3] = np.nan
+    long = table.rename_axis("month").melt(ignore_index=False, var_name="symbol", value_name="leg").dropna().reset_index()
+    got = avg_pairwise_corr(spark.createDataFrame(long), 25, block_symbols=block).first()
+    c, met = table.corr(min_periods=2).to_numpy(), table.notna().astype(int).T.dot(table.notna().astype(int)).to_numpy()
+    good = np.triu((met >= 25) & np.isfinite(c), 1)
+    assert got.pairs == good.sum() > 20 and got.avg_corr == pytest.approx(c[good].mean(), rel=1e-9)
+
+
 def test_asof_backward(spark, bars):
     rng = np.random.default_rng(1)
     marks = [("hot", dt.datetime(2020, 1, 1) + dt.timedelta(days=int(d), hours=12), float(d)) for d in sorted(rng.choice(400, 30, False))]

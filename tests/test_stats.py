@@ -167,7 +167,7 @@ def test_fit_ou_recovers(spark):
 
 def test_calibration_of_many_equal_values(spark):
     u = np.round(np.random.default_rng(1).uniform(size=5000), 2)
-    got = scoring.calibration_error(spark.createDataFrame([(float(v),) for v in u], "pit double"), slots=8).first()[0]
+    got = scoring.calibration_error(spark.createDataFrame([(float(v),) for v in u], "pit double")).first()[0]
     s = np.sort(u)
     i = np.arange(1, len(s) + 1)
     assert got == pytest.approx(max((i / len(s) - s).max(), (s - (i - 1) / len(s)).max()))

@@ -61,8 +61,9 @@ def test_null_volatility_gives_no_position(daily):
 def test_portfolio_scale_matches_loop(daily):
     series = {f"s{i}": walk(10 + i, 90) for i in range(4)}
     frame = align_union(daily(series)).withColumn("target", F.lit(1.0) + F.col("t") % 3)
-    pdf = st.portfolio_scale(frame, 0.1, 20, 2.0).toPandas()
-    got = pdf.groupby("t")["book_scale"].first().to_numpy()
+    got = st.portfolio_scale(frame, 0.1, 20, 2.0).toPandas().groupby("t")["book_scale"].first().to_numpy()
+    cut = st.portfolio_scale(frame, 0.1, 20, 2.0, block_symbols=2, block_closes=20).toPandas().groupby("t")["book_scale"].first().to_numpy()
+    np.testing.assert_allclose(cut, got, rtol=1e-12)
     close = np.column_stack([series[s] for s in sorted(series)])
     ret = np.vstack([np.zeros((1, 4)), close[1:] / close[:-1] - 1])
     want = np.ones(90)

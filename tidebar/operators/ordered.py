@@ -24,6 +24,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import store_once
+
 HISTORY_SECONDS = 100 * 366 * 86_400
 
 
@@ -192,6 +194,16 @@ def asof_backward(
     )
 
 
+def range_blocks(df: DataFrame, *order: str, name: str = "__block") -> DataFrame:
+    """*df* with the number of a block: all rows of a block come before those of the next one in *order*.
+
+    Spark takes the borders from a sample of the rows, so values that crowd together share blocks as evenly as others. The
+    numbers are fixed by writing them.
+    """
+    df, width = store_once(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return store_once(df.repartitionByRange(width, *order).withColumn(name, F.spark_partition_id()))
+
+
 def full(value: Column, count: Column, n: int) -> Column:
     """*value* once *n* non-null inputs are in the frame, else null."""
     return F.when(count >= n, value)

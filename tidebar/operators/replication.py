@@ -137,17 +137,59 @@ def pooled_sign_regression(monthly: DataFrame, lags: int = 24) -> DataFrame:
     )
 
 
-def avg_pairwise_corr(legs: DataFrame, min_obs: int = 36, value: str = "leg") -> DataFrame:
+def _pair_sums(frame, block: tuple[int, int], min_obs: int) -> tuple[float, int]:
+    """Sum and number of the correlations of the pairs between two blocks of instruments (or within one)."""
+    import numpy as np
+
+    months, at = np.unique(frame["month"].to_numpy(), return_inverse=True)
+
+    def table(b: int):
+        mine = frame["block"].to_numpy() == b
+        names, row = np.unique(frame["symbol"].to_numpy()[mine].astype(str), return_inverse=True)
+        x = np.full((len(names), len(months)), np.nan)
+        there = np.zeros(x.shape)
+        x[row, at[mine]] = frame["x"].to_numpy(float)[mine]
+        there[row, at[mine]] = 1.0
+        known = np.isfinite(x)
+        n = np.maximum(known.sum(axis=1, keepdims=True), 1)
+        x = np.where(known, x, 0.0)
+        x = np.where(known, x - x.sum(axis=1, keepdims=True) / n, 0.0)  # keeps the sums of squares small
+        return names, x, known.astype(float), there
+
+    first, x, kx, tx = table(block[0])
+    second, y, ky, ty = table(block[1])
+    n, met = kx @ ky.T, tx @ ty.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sx, sy = x @ ky.T, kx @ y.T
+        xx, yy = (x * x) @ ky.T, kx @ (y * y).T
+        vx, vy = xx - sx * sx / n, yy - sy * sy / n
+        c = (x @ y.T - sx * sy / n) / np.sqrt(vx * vy)
+    good = (met >= min_obs) & (vx > 1e-14 * xx) & (vy > 1e-14 * yy) & np.isfinite(c)
+    good &= first[:, None] < second[None, :] if block[0] == block[1] else True
+    return float(c[good].sum()), int(good.sum())
+
+
+def avg_pairwise_corr(legs: DataFrame, min_obs: int = 36, value: str = "leg", block_symbols: int = 256) -> DataFrame:
     """Mean correlation of instrument pairs with enough shared months.
 
-    Pairs are the result here: one row per pair of instruments, from a month-keyed
-    join whose groups hold one row per instrument.
+    Instruments are dealt to blocks by hash; each pair of blocks is a task with two tables of instruments by months, whose matrix
+    products give all sums that the correlations of their pairs need. Only the sum and the number of correlations leave it.
     """
-    a = legs.select("month", F.col("symbol").alias("a"), F.col(value).alias("x"))
-    b = legs.select("month", F.col("symbol").alias("b"), F.col(value).alias("y"))
-    pairs = a.join(b, "month").where("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("c"), F.count(F.lit(1)).alias("n"))
-    good = pairs.where((F.col("n") >= min_obs) & F.col("c").isNotNull() & ~F.isnan("c"))
-    return good.agg(F.avg("c").alias("avg_corr"), F.count("c").alias("pairs"))
+    names = legs.select("symbol").distinct().count()
+    blocks = max(1, -(-names // block_symbols))
+    rows = legs.select("month", "symbol", F.col(value).cast("double").alias("x"), F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int").alias("block"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    met = rows.withColumn("other", other).select("month", "symbol", "x", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def run(key, frame):
+        import pandas as pd
+
+        total, count = _pair_sums(frame, key, min_obs)
+        return pd.DataFrame({"total": [total], "pairs": [count]})
+
+    sums = met.groupBy("i", "j").applyInPandas(run, "total double, pairs long")
+    pairs = F.coalesce(F.sum("pairs"), F.lit(0))
+    return sums.agg(F.try_divide(F.sum("total"), pairs).alias("avg_corr"), pairs.alias("pairs"))
 
 
 def series_stats(series: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normal import cdf, pdf
+from .ordered import range_blocks
 
 
 def crps_gaussian(df: DataFrame, obs: str = "obs", mean: str = "mean", std: str = "std", out: str = "crps") -> DataFrame:
@@ -34,20 +35,20 @@ def pit_values(samples: DataFrame, keys: list[str]) -> DataFrame:
     return samples.groupBy(*keys).agg(F.avg((F.col("draw") <= F.col("obs")).cast("double")).alias("pit"))
 
 
-def calibration_error(pit: DataFrame, column: str = "pit", slots: int = 4096) -> DataFrame:
+def calibration_error(pit: DataFrame, column: str = "pit") -> DataFrame:
     """Largest gap between the values' distribution and the uniform one.
 
-    Equal values are counted first and the running count is taken in slots of
-    [0, 1], so no task ever orders all values.
+    Equal values are counted first; the running count is taken within blocks of neighbouring values, whose borders
+    come from a sample of them, so values may crowd anywhere and no task orders all.
     """
-    distinct = pit.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("u")).agg(F.count(F.lit(1)).alias("c"))
-    distinct = distinct.withColumn("slot", F.floor(F.col("u") * slots))
-    per_slot = distinct.groupBy("slot").agg(F.sum("c").alias("n"))
-    before = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # at most slots + 1 rows
-    base = per_slot.select("slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    total = per_slot.agg(F.sum("n").alias("n")).scalar()
-    inner = Window.partitionBy("slot").orderBy("u").rowsBetween(Window.unboundedPreceding, 0)
-    placed = distinct.withColumn("upto", F.sum("c").over(inner)).join(base, "slot")
+    distinct = pit.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("u")).agg(F.count(F.lit(1)).alias("c"))
+    placed = range_blocks(distinct, "u")
+    per_block = placed.groupBy("__block").agg(F.sum("c").alias("n"))
+    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # one row a shuffle partition
+    base = per_block.select("__block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    total = per_block.agg(F.sum("n").alias("n")).scalar()
+    inner = Window.partitionBy("__block").orderBy("u").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("upto", F.sum("c").over(inner)).join(F.broadcast(base), "__block")  # one row a shuffle partition
     upto = F.col("base") + F.col("upto")
     gap = F.greatest(upto / total - F.col("u"), F.col("u") - (upto - F.col("c")) / total)
     return placed.agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("calibration_error"))

@@ -91,9 +91,9 @@ def random_params(spark: SparkSession, space: dict, n: int, seed: int) -> DataFr
     """*n* seeded draws from lists (choice), ``{low, high, step?, log?}`` ranges and scalars."""
 
     def draw(name: str, spec) -> Column:
-        # A hash of (seed, name, trial) instead of rand(): the same draw on any partitioning.
-        word = F.xxhash64(F.lit(f"{seed}:{name}"), "trial")
-        u = F.pmod(word, F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
+        # A hash of (seed, name, trial) instead of rand(): the same draw on any partitioning, and in any engine.
+        word = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{name}:"), F.col("trial").cast("string")).cast("binary")), 1, 13), 16, 10)
+        u = word.cast("double") / F.lit(float(1 << 52))
         if isinstance(spec, list):
             return F.element_at(F.array(*[F.lit(float(v)) for v in spec]), (F.floor(u * len(spec)) + 1).cast("int"))
         if not isinstance(spec, dict):

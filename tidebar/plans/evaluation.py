@@ -364,6 +364,22 @@ def trial_histogram(spark, sf):
     return wf.histogram(store_once(scored(spark, sf)), "value", 4)
 
 
+def _draw(name: str) -> str:
+    return f"(CAST(('0x' || substr(md5('11:{name}:' || trial), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+
+
+@query("trial:i fast:i slow:i vol_target:8 vol_lookback:i cap:2", f"""SELECT trial, [5, 10, 20][CAST(floor({_draw('fast')} * 3) AS INT) + 1] AS fast, 40 + floor({_draw('slow')} * 9) * 20 AS slow,
+ exp(ln(0.05) + {_draw('vol_target')} * (ln(0.4) - ln(0.05))) AS vol_target, 20 + floor({_draw('vol_lookback')} * 101) AS vol_lookback, 2.0 AS cap
+ FROM (SELECT row_number() OVER () - 1 AS trial FROM customer) WHERE trial NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5)""")
+def random_params(spark, sf):
+    """As many draws as there are customers, without those already scored (here: the keys of some customers)."""
+    customers = src.table(spark, sf, "customer")
+    space = {"fast": [5, 10, 20], "slow": {"low": 40, "high": 200, "step": 20}, "vol_target": {"low": 0.05, "high": 0.4, "log": True}, "vol_lookback": {"low": 20, "high": 120}, "cap": 2.0}
+    drawn = wf.random_params(spark, space, customers.count(), 11)
+    left = wf.pending_trials(drawn, customers.where("c_nationkey < 5").select(F.col("c_custkey").cast("long").alias("trial")))
+    return left.select("trial", *[F.col("params")[n].alias(n) for n in space])
+
+
 @query("trial:i fast:i slow:i vol_lookback:i fingerprint:s", "SELECT *, sha256('{\"fast\":' || fast || '.0,\"slow\":' || slow || '.0,\"vol_lookback\":' || vol_lookback || '.0}') AS fingerprint FROM (SELECT row_number() OVER (ORDER BY f, s, v) - 1 AS trial, f AS fast, s AS slow, v AS vol_lookback "
        "FROM (SELECT unnest([5, 10, 20]) AS f), (SELECT unnest([40, 60]) AS s), (SELECT unnest([20, 63]) AS v)) WHERE trial NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 def param_grid(spark, sf):

@@ -9,7 +9,7 @@ from ..operators import walkforward as wf
 from ..operators.ledger import ledger_exact
 from ..session import store_once
 from . import inputs as src
-from .evaluation import COSTS, GRID, SWEEP, TGT, folds_of, targets, weighted
+from .evaluation import _PARAMS, COSTS, GRID, SWEEP, TGT, folds_of, targets, weighted, with_params
 from .registry import query
 
 
@@ -129,3 +129,11 @@ def screening_agreement(spark, sf):
     """Screened against validated scores of the trials that were validated, with both ranks."""
     screened, returns = validated(spark, sf)
     return wf.agreement(screened, wf.trial_scores(wf.fold_scores(returns)))
+
+
+@query("params:s screened:6 validated:6 diff:6 ratio:4", _TOP + _PARAMS + """, va AS (SELECT trial, avg(sharpe) AS validated FROM vsc GROUP BY trial)
+ SELECT params, value AS screened, validated, validated - value AS diff, validated / value AS ratio FROM va JOIN sc USING (trial) JOIN pm USING (trial)""")
+def screened_against_validated(spark, sf):
+    """Scores of the same parameters by screening without costs and by the ledger of units with them."""
+    screened, returns = validated(spark, sf)
+    return wf.engine_comparison(with_params(spark, screened), with_params(spark, wf.trial_scores(wf.fold_scores(returns))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import black76
@@ -9,6 +11,8 @@ from ..functions.normal import cdf_sql, pdf_sql
 from ..operators import options, replication, roughness, scoring, universe
 from ..operators import volatility as vol
 from ..operators.ordered import Axis
+from ..session import checkpoint_dir
+from ..sources import bars as store
 from . import inputs as src
 from .features import _LOGS, _RET
 from .inputs import BRAND, EVENTS, HOURLY
@@ -380,3 +384,36 @@ def change_pages(spark, sf):
 def html_table_rows(spark, sf):
     rows = universe.html_table_rows(change_pages(spark, sf), ["o_custkey"])
     return universe.parse_changes(rows, ["o_custkey"])
+
+
+def constituent_pages(spark, sf):
+    """One page per nation: its customers as rows of a constituents table, with header, short and marked-up rows."""
+    customers = src.table(spark, sf, "customer")
+    cell = lambda c: F.concat(F.lit("<TD class='x'>"), c, F.lit("</TD>"))
+    symbol = F.concat(F.lit('<a href="#">C'), "c_custkey", F.lit("</a>"))
+    two = F.concat(cell(symbol), cell(F.concat(F.lit("  "), "c_name", F.lit(" &amp; <b>Co</b>\n"))), cell(F.lit("more")))
+    row = F.concat(F.lit("<tr>"), F.when(F.col("c_custkey") % 9 == 0, cell(symbol)).otherwise(two), F.lit("</tr>\n"))
+    rows = F.array_join(F.sort_array(F.collect_list(row)), "")
+    return customers.groupBy("c_nationkey").agg(F.concat(F.lit("<table><tr><th>Symbol</th></tr>"), rows, F.lit("</table>")).alias("html"))
+
+
+@query("c_nationkey:i symbol:s name:s", "SELECT c_nationkey, 'C' || c_custkey AS symbol, c_name || ' & Co' AS name FROM customer WHERE c_custkey % 9 <> 0")
+def constituents(spark, sf):
+    rows = universe.html_table_rows(constituent_pages(spark, sf), ["c_nationkey"])
+    return universe.parse_constituents(rows, ["c_nationkey"])
+
+
+@query("underlying:s date:d strike:2 right:s premium:2", """SELECT 'ES' || substr('HMUZ', quarter(o_orderdate)::INT, 1) || (year(o_orderdate) % 10) AS underlying, CAST(o_orderdate AS DATE) AS date,
+ o_custkey * 5 AS strike, CASE WHEN o_orderkey % 2 = 0 THEN 'C' ELSE 'P' END AS right, o_totalprice AS premium FROM orders WHERE year(o_orderdate) = 1996""")
+def stored_option_bars(spark, sf):
+    """Monthly parts of option chains combined into one sorted store, and one year of a root read back."""
+    day = F.col("o_orderdate").cast("timestamp")
+    chain = src.table(spark, sf, "orders").select(
+        F.concat(F.lit("ES"), F.element_at(F.array(*[F.lit(c) for c in "HMUZ"]), F.quarter(day)), (F.year(day) % 10).cast("string")).alias("underlying"),
+        day.cast("date").alias("date"), F.last_day(day).alias("expiry"), (F.col("o_custkey") * 5.0).alias("strike"),
+        F.when(F.col("o_orderkey") % 2 == 0, "C").otherwise("P").alias("right"), F.col("o_totalprice").cast("double").alias("premium"),
+    )
+    root = f"{checkpoint_dir(spark).rstrip('/')}/options-{uuid.uuid4().hex}"
+    chain.withColumn("month", F.date_format("date", "yyyy-MM")).write.partitionBy("month").parquet(f"{root}/parts")
+    store.write_option_bars(spark.read.parquet(f"{root}/parts").drop("month"), f"{root}/chain")
+    return store.read_option_bars(spark, f"{root}/chain").where("root = 'ES' AND year = 1996")
