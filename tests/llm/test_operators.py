@@ -446,6 +446,59 @@ def test_pairs_count_beyond_their_words(spark):
     assert got[2] > 0.5 > max(got[0], got[1]) and got[3] == got[4]
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_pairs_of_neutral_words_count(spark, seed):
+    """Both words are toxic in the share of rows that all are; only where they meet is a row always toxic."""
+    r, rows = random.Random(seed), []
+    for i in range(6000):
+        a = r.random() < 0.4
+        b = r.random() < (0.16 if a else 0.56)
+        other = not a and not b and r.random() < 0.364
+        rows.append((i, words(r, 5) + " mention" * a + " gesture" * b + " insult" * other, int(a and b or other)))
+    base = sum(x[2] for x in rows) / len(rows)
+    for word in ("mention", "gesture"):
+        own = [x[2] for x in rows if word in x[1]]
+        assert abs(sum(own) / len(own) - base) < 0.025
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, toxic int"))
+    asked = [(0, "mention"), (1, "gesture"), (2, "gesture alpha mention"), (3, ""), (4, "insult"), (5, "alpha beta")]
+    got = {x.doc_id: x.score for x in toxicity.score(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert got[2] > 0.5 and got[4] > 0.5 and max(got[0], got[1], got[3], got[5]) < 0.5
+
+
+def test_machine_by_brute_force():
+    """Scores as the sum over all pairs, and the gradient of a step as differences of the loss."""
+    r = np.random.default_rng(6)
+    machine = toxicity.Machine(9, 3)
+    machine.weight, machine.factors, machine.bias[0] = r.normal(size=9), r.normal(size=(9, 3)), 0.3
+    texts, values = [[0, 3, 5], [2], [1, 2, 4, 8]], r.uniform(0.2, 1, 9)
+    flat, ptr = np.concatenate(texts), np.array([0, 3, 4, 8])
+    got = machine.margins(flat, values[flat], ptr[:-1])[0]
+    for t, x in zip(texts, got):
+        pairs = sum(machine.factors[a] @ machine.factors[b] * values[a] * values[b] for n, a in enumerate(t) for b in t[:n])
+        assert x == pytest.approx(0.3 + sum(machine.weight[a] * values[a] for a in t) + pairs)
+    label = np.array([1.0, 0.0, 1.0])
+    loss = lambda m: np.log1p(np.exp(m.margins(flat, values[flat], ptr[:-1])[0])).mean() - (label * m.margins(flat, values[flat], ptr[:-1])[0]).mean()
+    before = loss(machine)
+    machine.fit(label, flat, values[flat], ptr, epochs=1, rate=1e-3, decay=0.0)
+    assert loss(machine) < before
+
+
+def test_leaning_pairs_by_brute_force():
+    r = np.random.default_rng(8)
+    terms = [np.flatnonzero(r.random(12) < 0.3) for _ in range(900)]
+    label = np.array([float(3 in t and 7 in t or r.random() < 0.05) for t in terms])
+    got = {tuple(sorted(x)) for x in toxicity.leaning_pairs(label, np.concatenate(terms), np.array([len(t) for t in terms]), np.ones(12, bool)).tolist()}
+    want = set()
+    for a in range(12):
+        for b in range(a):
+            own = lambda *need: np.array([y for t, y in zip(terms, label) if all(n in t for n in need)])
+            both, rate = own(a, b), max((own(x).sum() + 0.5) / (len(own(x)) + 1) for x in (a, b))
+            if both.sum() >= 8 and (both.sum() - 0.5 - len(both) * rate) / np.sqrt(len(both) * rate * (1 - rate)) >= 6:
+                want.add((b, a))
+    assert got == want and (3, 7) in got
+
+
 def test_rare_terms_that_are_always_toxic_count(spark):
     r, rows = random.Random(4), []
     for i in range(8000):

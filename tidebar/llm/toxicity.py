@@ -26,6 +26,9 @@ BITS = 18
 LEAST_ROWS, LEAST_SHARE = 3, 1 / 512  # terms in fewer than these rows have no weight; in a smaller share only if they lean by RARE
 RARE = 6.0  # standard deviations, less half a row
 WEIGHED, PAIRED = 3.0, 3.0  # standard deviations a term leans from chance to have a weight of its own, and to form pairs
+TOGETHER, MET = 6.0, 8  # deviations that a pair leans beyond the likelier of its terms, and marked rows that it is in, to be a pair of its own
+PAIR_TERMS = 1 << 13  # terms among which pairs are looked for: those in most marked rows of the sample
+PULL = 0.7  # length along its own direction that the terms of such a pair start with
 COMMON_SHARE = 1 / 20  # terms in more rows than this count less, down to nothing for one that is everywhere
 STEMS = (4, 5)  # first letters of a word that are terms as well, for inflected and compound words
 FACTORS = 8
@@ -76,6 +79,20 @@ class Machine:
         self.alone = np.ones(size)  # 0 where a term has no weight of its own
         self.factors = draw.normal(0, 0.02, (size, factors))
 
+    def pull(self, pairs: np.ndarray, seed: int = 5) -> None:
+        """Start the terms of each pair along a direction that they share; a term that has one already passes it on."""
+        draw, given = np.random.default_rng(seed), set()
+        for a, b in pairs.tolist():
+            new = [t for t in (a, b) if t not in given]
+            old = [t for t in (a, b) if t in given]
+            if not new:
+                continue
+            step = draw.normal(size=self.factors.shape[1])
+            step = self.factors[old[0]].copy() if old else PULL * step / np.linalg.norm(step)
+            for t in new:
+                self.factors[t] = step
+            given.update(new)
+
     def margins(self, term: np.ndarray, value: np.ndarray, starts: np.ndarray):
         """Score before the logistic of each row; ``starts`` are the first entries of the rows, none of them empty."""
         scaled = self.factors[term] * value[:, None]
@@ -110,6 +127,47 @@ class Machine:
                     held[place] -= rate * gradient / np.sqrt(past[place])
 
 
+def leaning_pairs(label: np.ndarray, flat: np.ndarray, sizes: np.ndarray, usable: np.ndarray) -> np.ndarray:
+    """Pairs of terms that are marked far more often together than the likelier of them is, strongest first.
+
+    Each term is a bit set of its rows, so a pair costs a few words of bits: first over marked rows only, which leaves few pairs.
+    """
+    marked = np.flatnonzero(label > 0)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    new = np.full(len(label), -1)
+    new[marked] = np.arange(len(marked))
+    seen = new[row] >= 0
+    often = np.bincount(flat[seen], minlength=len(usable))
+    terms = np.flatnonzero(usable & (often >= MET))
+    terms = np.sort(terms[np.argsort(-often[terms], kind="stable")[:PAIR_TERMS]])
+    if len(terms) < 2:
+        return np.empty((0, 2), np.int64)
+    place = np.full(len(usable), -1)
+    place[terms] = np.arange(len(terms))
+
+    def bits(of: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        table = np.zeros((len(terms), -(-n // 64)), np.uint64)
+        np.bitwise_or.at(table, (place[of], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        return table
+
+    known = place[flat] >= 0
+    few, whole = bits(flat[known & seen], new[row[known & seen]], len(marked)), bits(flat[known], row[known], len(label))
+    rate = (often[terms] + 0.5) / (np.bitwise_count(whole).sum(axis=1) + 1.0)
+    out, strength = [], []
+    for i in range(len(terms) - 1):
+        met = np.bitwise_count(few[i] & few[i + 1:]).sum(axis=1)
+        j = i + 1 + np.flatnonzero(met >= MET)
+        if len(j):
+            both = np.bitwise_count(whole[i] & whole[j]).sum(axis=1)
+            r = np.minimum(np.maximum(rate[i], rate[j]), 0.999)
+            lean = (met[j - i - 1] - 0.5 - both * r) / np.sqrt(both * r * (1 - r))
+            j, lean = j[lean >= TOGETHER], lean[lean >= TOGETHER]
+            out += [(terms[i], terms[x]) for x in j]
+            strength += lean.tolist()
+    order = np.argsort(-np.array(strength), kind="stable")
+    return np.array(out, np.int64).reshape(-1, 2)[order]
+
+
 def _fit(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     label, terms = [], []
     for batch in batches:
@@ -127,12 +185,16 @@ def _fit(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatc
     marked = np.bincount(flat, np.repeat(label, [len(t) for t in terms]), minlength=1 << bits)
     lean = np.abs(marked - rows * share) / np.sqrt(np.maximum(rows, 1) * share * (1 - share))
     sure = lean - 0.5 / np.sqrt(np.maximum(rows, 1) * share * (1 - share)) >= RARE
-    active &= (value > 0) & np.where(rows >= LEAST_SHARE * len(label), lean >= PAIRED, sure)
+    usable = active & (value > 0)
+    active = usable & np.where(rows >= LEAST_SHARE * len(label), lean >= PAIRED, sure)
+    pairs = leaning_pairs(label, flat, np.array([len(t) for t in terms]), usable)
+    active[pairs.ravel()] = True  # terms that say nothing apart have no weight, but factors
     kept = active[flat]
     ptr = np.concatenate([[0], np.cumsum([int(active[t].sum()) for t in terms])])
     machine = Machine(1 << bits)
     machine.alone = (lean >= WEIGHED).astype(float)
     machine.bias[0] = np.log(share / (1 - share))
+    machine.pull(pairs)
     machine.fit(label, flat[kept], value[flat[kept]], ptr)
     at = np.flatnonzero(active)
     yield pa.record_batch(
