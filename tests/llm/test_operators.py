@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebar.llm import (
-    decontaminate, exact_dedup, language_id, line_dedup, packing, queries, repeats, secrets, simhash, token_files, tokens, toxicity,
+    decontaminate, exact_dedup, language_id, line_dedup, packing, queries, repeat_groups, repeats, secrets, simhash, token_files, tokens, toxicity,
 )
 from tidebar.llm.common import documents, named, share_of_hash, without
 from tidebar.llm.components import components
@@ -143,6 +143,24 @@ def test_a_pair_at_the_threshold_is_missed_less_than_once_in_a_thousand():
     assert (1 - line_dedup.THRESHOLD ** line_dedup.ROWS) ** line_dedup.BANDS < 1e-3
 
 
+@pytest.mark.parametrize("rows", [1, 7, 1 << 20])
+def test_shared_bands(rows):
+    """Bands with more than one line, whatever the batches and the order, with a band that most rows are in."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(rows)
+    band, line = r.integers(-40, 40, 600), r.integers(0, 12, 600)
+    band[r.random(600) < 0.3] = 5
+    batches = [pa.record_batch([pa.array(band[i:i + 50]), pa.array(line[i:i + 50])], names=["band", "line"]) for i in range(0, 600, 50)]
+    got = {(b, x) for o in line_dedup._shared_bands(iter(batches), rows) for b, x in zip(*(o.column(c).to_pylist() for c in ("band", "line")))}
+    held = {}
+    for b, x in zip(band.tolist(), line.tolist()):
+        held.setdefault(b, set()).add(x)
+    assert got == {(b, x) for b, xs in held.items() if len(xs) > 1 for x in xs}
+    alone = [pa.record_batch([pa.array([1, 1, 2]), pa.array([9, 9, 3])], names=["band", "line"])] * 2
+    assert list(line_dedup._shared_bands(iter(alone), rows)) == []
+
+
 # 3 Repeated passages
 
 
@@ -190,6 +208,53 @@ def test_intervals_are_maximal():
     assert found == {("a", 5), ("abra", 2), ("bra", 2), ("ra", 2)}
 
 
+def test_maximal_runs_by_brute_force():
+    """Contexts around one anchor: all (left, depth) that some pair of rows stops at on both sides, with everyone who shares them."""
+    r, span, k = random.Random(4), 10, 4
+    for _ in range(30):
+        after = [b"ABCD" + bytes(r.choice(b"xy") for _ in range(r.randint(2, 6))) for _ in range(12)]
+        before = [bytes(r.choice(b"uv") for _ in range(r.randint(0, span - k))) for _ in range(12)]  # read backwards
+        pad = lambda rows, width: np.array([list(np.frombuffer(x, np.uint8) + 1) + [0] * (width - len(x)) for x in rows], np.uint8)
+        lengths = lambda rows: np.array([len(x) for x in rows])
+        got = {(e, d, tuple(sorted(m.tolist()))) for e, d, m in repeat_groups.maximal_runs(pad(after, span), lengths(after), pad(before, span - k), lengths(before), span, k)}
+        met = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        want = set()
+        for i in range(12):
+            for j in range(i):
+                e, d = met(before[i], before[j]), met(after[i], after[j])
+                if e + d >= span:
+                    want.add((e, d, tuple(m for m in range(12) if met(before[i], before[m]) >= e and met(after[i], after[m]) >= d)))
+        tight = lambda m: (min(met(before[a], before[b]) for a in m for b in m if a != b), min(met(after[a], after[b]) for a in m for b in m if a != b))
+        assert all(tight(m) == (e, d) for e, d, m in got) and {x for x in want if tight(x[2]) == x[:2]} <= got
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_maximal_repeat_groups(spark, seed):
+    """Every group is one string at two places or more, all its occurrences are there, and together they are what is removed."""
+    r, span, k = random.Random(seed), 24, 8
+    some = lambda n: "".join(r.choice("abé") for _ in range(n))
+    passages = [some(n) for n in (20, 26, 40, 70)]
+    texts = ["".join(r.choice([some(r.randint(0, 30)), r.choice(passages)]) for _ in range(r.randint(1, 6))) for _ in range(40)] + [None, "", "ab" * 40, "c" * 60, "c" * 60]
+    rows = [(i, t, "mine", "own") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, start string, row string").repartition(3)
+    found = repeat_groups.repeat_groups(docs, span=span, k=k, chunk_rows=50)
+    assert found.columns == ["group", "length", "left", "depth", "doc_id", "row", "start"]
+    raw, groups = {i: (t or "").encode() for i, t in enumerate(texts)}, {}
+    for x in found.collect():
+        groups.setdefault((x["group"], x.length, x.left, x.depth), set()).add((x.doc_id, x.start))
+    covered = {i: set() for i in raw}
+    for (name, length, left, depth), places in groups.items():
+        (string,) = {raw[i][s:s + length] for i, s in places}
+        assert hashlib.sha256(string).hexdigest() == name and length == left + depth >= span and len(places) > 1
+        assert places == {(i, s) for i, t in raw.items() for s in range(len(t) - length + 1) if t.startswith(string, s)}
+        for i, s in places:
+            covered[i] |= set(range(s, s + length))
+    removed = repeats.remove_repeats(docs.drop("start"), span=span, k=k)
+    for x in removed.collect():
+        assert covered[x.doc_id] == {p for a, b in x.removed for p in range(a, b)}
+    assert repeat_groups.repeat_groups(docs.limit(0), span=span, k=k).count() == 0
+
+
 # 4 SimHash
 
 
