@@ -223,6 +223,22 @@ def run_all(strategies: dict[str, DataFrame], folds: DataFrame, axis: Axis = DAI
     return out.orderBy(F.desc("sharpe"))
 
 
+def run_books(strategies: dict[str, DataFrame], folds: DataFrame, costs: Costs = Costs(), axis: Axis = DAILY) -> DataFrame:
+    """Out-of-sample score of every strategy on every universe with costs, best first.
+
+    *strategies* maps a name to bars with ``target`` and ``universe``: the symbol for a single-asset strategy, a venue for one that ranks its
+    symbols. Each (strategy, universe, fold) is a book of equal shares that starts in cash; folds are stitched. All run as one table.
+    """
+    parts = [df.select(F.lit(name).alias("strategy"), "universe", *axis.keys, axis.order, "close", "target") for name, df in strategies.items()]
+    rows = reduce(DataFrame.unionByName, parts)
+    book = ["strategy", "universe"]
+    sizes = rows.groupBy(*book).agg(F.count_distinct("symbol").alias("__n"))
+    inside = fold_windows(rows.join(sizes, book).withColumn("w", F.col("target") / F.col("__n")).drop("__n"), folds, axis.order)
+    returns = calendar_fill(ledger(inside, costs, axis=axis.within(*book, "fold")), 1.0, (*book, "fold"))
+    out = returns.groupBy(*book).agg(sharpe(F.col("ret")).alias("sharpe"), (F.product(1 + F.col("ret")) - 1).alias("total_return"), F.count(F.lit(1)).alias("n"))
+    return out.orderBy(F.desc("sharpe"))
+
+
 def fold_scores(returns: DataFrame) -> DataFrame:
     """Annualised Sharpe ratio per trial and fold."""
     return returns.groupBy("trial", "fold").agg(sharpe(F.col("ret")).alias("sharpe"), F.count(F.lit(1)).alias("n"))

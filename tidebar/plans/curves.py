@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import symbols as sym
@@ -444,11 +446,14 @@ fu AS (SELECT *, sum(coalesce((close - p) * x, close * x)) OVER (PARTITION BY sy
 fw AS (SELECT *, lag(usd) OVER (PARTITION BY symbol ORDER BY ts_init) AS was FROM fu)
 SELECT symbol, ts_init, coalesce(was + (open - p) * x, open * x) AS open, coalesce(was + (high - p) * x, high * x) AS high, coalesce(was + (low - p) * x, low * x) AS low, usd AS close FROM fw""")
 def asof_fx_to_usd(spark, sf):
+    return curve.to_usd(src.region_bars(spark, sf), daily_rates(spark, sf))
+
+
+def daily_rates(spark, sf):
     orders = src.table(spark, sf, "orders").withColumn("d", F.col("o_orderdate").cast("date"))
-    fx = orders.where(F.day("d") % 3 != 0).groupBy(F.date_sub("d", 20).alias("date")).agg(
+    return orders.where(F.day("d") % 3 != 0).groupBy(F.date_sub("d", 20).alias("date")).agg(
         (1.1 + (F.avg("o_totalprice") / 250000 - 1) / 100000).alias("rate")
     )
-    return curve.to_usd(src.region_bars(spark, sf), fx)
 
 
 @query("symbol:s d0:d d1:d raw_symbol:s", CURVE + """, ids AS (SELECT symbol, hash(raw_symbol) AS i, d0 + 15 AS d0, d1 + 20 AS d1 FROM fspans), raws AS (SELECT hash(raw_symbol) AS i, raw_symbol, d0, d1 + 60 AS d1 FROM sspans)
@@ -457,3 +462,38 @@ def resolve_spans(spark, sf):
     _, _, near, far = market(spark, sf)
     ids = near.select("symbol", F.col("raw_symbol").alias("instrument_id"), F.date_add("d0", 15).alias("d0"), F.date_add("d1", 20).alias("d1"))
     return curve.resolve_spans(ids, far.select(F.col("raw_symbol").alias("instrument_id"), "raw_symbol", "d0", F.date_add("d1", 60).alias("d1")))
+
+
+# -- composed loads ---------------------------------------------------------------------------
+
+_FORWARD = ", fk AS (SELECT symbol, ts_init, contract, row_number() OVER (PARTITION BY symbol ORDER BY ts_init) AS k FROM nt),\nfz AS" + _FLICKER.split("\nfo AS", 1)[1].replace("FROM fo ", "FROM fz ").replace("fo.", "fz.").replace("JOIN fo ", "JOIN fz ")
+_LOAD_VOLUME = (
+    CURVE + _clean_sql("front") + _clean_sql("second") + _tagged("front_c", "second_c") + _FORWARD
+    + _SCHED.replace("SELECT symbol, contract, min(ts_init) AS switch FROM nt", "SELECT symbol, held AS contract, min(ts_init) AS switch FROM hl") + _ADJ
+    + _CARRY.replace("FROM front WHERE", "FROM front_c WHERE").replace("FROM second WHERE", "FROM second_c WHERE")
+)
+
+
+@query("symbol:s ts_init:t instrument_id:s log_close:8 carry:6", _LOAD_VOLUME + " SELECT adj.*, ln(close) AS log_close, carry FROM adj LEFT JOIN carry USING (symbol, ts_init)")
+def load_rolled_volume(spark, sf):
+    """Rolls where the front series has moved on for good, with carry only."""
+    return curve.load_rolled(*market(spark, sf), only_forward=True).withColumn("log_close", F.log("close"))
+
+
+_QUOTED = """, fb AS (SELECT c.*, fx.rate AS x FROM cb c ASOF JOIN fx ON CAST(c.ts_event AS DATE) >= fx.d),
+fp AS (SELECT *, lag(close) OVER (PARTITION BY symbol, contract ORDER BY ts_init) AS p FROM fb),
+fu AS (SELECT *, sum(coalesce((close - p) * x, close * x)) OVER (PARTITION BY symbol, contract ORDER BY ts_init) AS usd FROM fp),
+fw AS (SELECT *, lag(usd) OVER (PARTITION BY symbol, contract ORDER BY ts_init) AS was FROM fu),
+ub AS (SELECT symbol, contract, ts_event, ts_init, coalesce(was + (open - p) * x, open * x) AS open, coalesce(was + (high - p) * x, high * x) AS high, coalesce(was + (low - p) * x, low * x) AS low, usd AS close, volume FROM fw)"""
+_LOAD_USD = (
+    CURVE + _clean_sql("front") + _clean_sql("second") + _tagged("front_c", "second_c") + _SECOND + _SCHED + _FX + _QUOTED + re.sub(r"\bcb\b", "ub", _ADJ)
+    + _CARRY.replace("FROM front WHERE", "FROM front_c WHERE").replace("FROM second WHERE", "FROM second_c WHERE")
+)
+
+
+@query("symbol:s ts_init:t instrument_id:s log_close:6 carry:6 second_return:6", _LOAD_USD + """ SELECT adj.* EXCLUDE (instrument_id), 'XS_' || regexp_replace(instrument_id, '\\W', '_', 'g') || '.XT' AS instrument_id, ln(close) AS log_close, carry, second_return
+ FROM adj LEFT JOIN carry USING (symbol, ts_init) LEFT JOIN snr USING (symbol, ts_init)""")
+def load_rolled_usd(spark, sf):
+    """Contracts re-quoted at daily rates before the splice, at another venue's names, all bars a day long."""
+    loaded = curve.load_rolled(*market(spark, sf), fx=daily_rates(spark, sf), home=("XS", "XT"), seconds=86_400)
+    return loaded.withColumn("log_close", F.log("close"))

@@ -11,7 +11,7 @@ from ..functions.normal import cdf_sql, pdf_sql, ppf_sql
 from ..operators import attribution as att
 from ..operators import panel, portfolio, shared, stats, strategies
 from ..operators import walkforward as wf
-from ..operators.ordered import Axis
+from ..operators.ordered import DAILY, Axis
 from ..session import checkpoint_dir, store_once
 from ..sources import bars as store
 from . import inputs as src
@@ -415,6 +415,28 @@ def run_all(spark, sf):
     )
 
 
+_BY_CLASS = (
+    xsm_sql(60).replace("cuts AS (SELECT t, quantile", "cuts AS (SELECT t, substr(symbol, 7, 1) AS u, quantile").replace("GROUP BY t HAVING", "GROUP BY t, u HAVING")
+    .replace("FROM m LEFT JOIN cuts USING (t))", "FROM m LEFT JOIN cuts ON cuts.t = m.t AND cuts.u = substr(m.symbol, 7, 1))")
+)
+_BOOKS = f"""{BRAND}{FOLDS}, tg AS (SELECT q.*, close FROM (SELECT 'trend/' || symbol AS trial, symbol, ts_init, target FROM ({QUERY_TREND})
+ UNION ALL SELECT 'reversion/' || symbol, symbol, ts_init, target FROM ({QUERY_REVERSION}) UNION ALL SELECT 'ranks/class ' || substr(symbol, 7, 1), symbol, ts_init, target FROM ({_BY_CLASS})) q JOIN bars USING (symbol, ts_init))
+{_book_sql("tg", 0.0005).replace("(SELECT count(DISTINCT symbol) FROM bars)", "(SELECT count(DISTINCT z.symbol) FROM tg z WHERE z.trial = tg.trial)").replace("exp(sum(ln(g)) OVER (PARTITION BY trial, fold ORDER BY ts_init))", "product(g) OVER (PARTITION BY trial, fold ORDER BY ts_init)")}
+SELECT split_part(trial, '/', 1) AS strategy, split_part(trial, '/', 2) AS universe, CASE WHEN count(*) < 2 OR stddev_samp(ret) = 0 THEN 0 ELSE avg(ret) / stddev_samp(ret) * sqrt(252) END AS sharpe,
+ product(1 + ret) - 1 AS total_return, count(*) AS n FROM fr GROUP BY trial"""
+
+
+@query("strategy:s universe:s sharpe:6 total_return:6 n:i", _BOOKS)
+def run_books(spark, sf):
+    """Single-asset strategies on every brand and a ranking one on every class of brands, with costs, by stitched folds."""
+    bars = src.brand_bars(spark, sf)
+    alone = lambda df: df.withColumn("universe", F.col("symbol"))
+    classes = panel.align_union(bars).withColumn("universe", F.concat(F.lit("class "), F.substring("symbol", 7, 1)))
+    ranks = strategies.clean_signal(strategies.xs_momentum(classes, 60, 5, vol_lookback=20, axis=DAILY.within("universe"))).where("real")
+    every = {"trend": alone(strategies.trend_following(bars)), "reversion": alone(strategies.mean_reversion(bars)), "ranks": panel.exit_delisted(ranks)}
+    return wf.run_books(every, folds_of(bars), COSTS)
+
+
 # -- selection bias ----------------------------------------------------------------
 
 
