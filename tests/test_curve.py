@@ -78,6 +78,30 @@ def test_roll_schedule_is_the_walk(market, method, gappy):
     assert all(a.end_ts == b.start_ts for a, b in zip(got, got[1:]))
 
 
+@pytest.mark.parametrize("method", ["volume", "calendar"])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_roll_schedule_of_ragged_markets(spark, method, seed):
+    """Contracts that stop early, closes that only have earlier ones, ties in volume, and two roots in one plan."""
+    rng = np.random.default_rng(seed)
+    bars, contracts = [], []
+    for root in ("A.FUT", "B.FUT"):
+        for q in range(7):
+            name, expiry = f"{root[0]}{q}", 20 + 15 * q
+            contracts.append((root, name, day(expiry), "H"))
+            last = expiry - int(rng.integers(-3, 12))
+            for i in range(max(0, expiry - 45), last + 1):
+                if rng.random() < 0.6 and not (40 <= i < 47 and q > 2):
+                    bars.append((root, name, day(i + 1), float(rng.integers(0, 4))))
+    frame = spark.createDataFrame(bars, "symbol string, instrument_id string, ts_init timestamp, volume double").repartition(3)
+    listed = spark.createDataFrame(contracts, "symbol string, instrument_id string, expiry timestamp, month string")
+    got = curve.roll_schedule(frame, listed, method, 4).collect()
+    for root in ("A.FUT", "B.FUT"):
+        mine = sorted((r.seq, r.instrument_id, r.start_ts) for r in got if r.symbol == root)
+        names = {b[1] for b in bars if b[0] == root}
+        own = listed.where(F.col("symbol") == root).where(F.col("instrument_id").isin(*names))
+        assert [x[1:] for x in mine] == loop_schedule(frame.where(F.col("symbol") == root), own, method, 4)
+
+
 def test_months_limit_the_contracts(market):
     bars, contracts = market
     got = curve.roll_schedule(bars, contracts, "volume", months="MZ").collect()
