@@ -143,6 +143,17 @@ def test_a_pair_at_the_threshold_is_missed_less_than_once_in_a_thousand():
     assert (1 - line_dedup.THRESHOLD ** line_dedup.ROWS) ** line_dedup.BANDS < 1e-3
 
 
+def test_shingle_codes_compare_like_shingles():
+    r = random.Random(12)
+    lines = ["".join(r.choice("ab\xe9\xff\u0100日 ") for _ in range(r.randint(0, 40))) for _ in range(80)] + ["abcdefgh", "abcdefg", "\xe9" * 20]
+    for k in (8, 5):
+        for a in lines:
+            for b in lines[:20]:
+                x, y = line_dedup.shingles(a, k), line_dedup.shingles(b, k)
+                u, v = line_dedup.shingle_codes(a, k), line_dedup.shingle_codes(b, k)
+                assert (len(x), len(y), len(x & y)) == (len(u), len(v), len(u & v))
+
+
 @pytest.mark.parametrize("rows", [1, 7, 1 << 20])
 def test_shared_bands(rows):
     """Bands with more than one line, whatever the batches and the order, with a band that most rows are in."""
@@ -636,3 +647,15 @@ def test_language_by_brute_force(spark):
         assert size[got[i].lang_pred] == first and got[i].rejected == (second - first < 0.005 * first)
         assert got[i].score == pytest.approx(1 / sum(2.718281828459045 ** (first - s) for s in size.values()))
         assert got[i].text == text and got[i]["row"] == "r"
+
+
+def test_caches_of_other_operators_go():
+    from tidebar.llm.common import sole_caches
+
+    a, b = {}, {}
+    for _ in sole_caches(iter([1]), a):
+        a[1] = 1
+    assert list(sole_caches(iter([1, 2]), a)) == [1, 2] and a == {1: 1}
+    assert list(sole_caches(iter([3]), b)) == [3] and a == {}
+    b[2] = 2
+    assert list(sole_caches(iter([]))) == [] and b == {}

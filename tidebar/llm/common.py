@@ -40,13 +40,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def released(found: Iterator, *caches: dict) -> Iterator:
-    """What ``found`` yields. Python workers outlive their tasks, so the caches are empty again when it ends."""
-    try:
-        yield from found
-    finally:
-        for cache in caches:
+_HELD: list[dict] = []
+
+
+def sole_caches(found: Iterator, *own: dict) -> Iterator:
+    """What ``found`` yields. Python workers outlive their tasks: what other operators' tasks have cached in this one goes first."""
+    for cache in _HELD:
+        if not any(cache is x for x in own):
             cache.clear()
+    _HELD[:] = own
+    yield from found
 
 
 def share_of_hash(hashed: Column, share: float) -> Column:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import sole_caches
+
 UNDETERMINED = "und"
 SAMPLE_ROWS = 256  # labelled texts a language that dictionaries are made of: the bound of what the driver gets
 SAMPLE_CHARS = 2000  # of each of them
@@ -124,5 +126,5 @@ def identify(docs: DataFrame, known: dict[str, bytes], text: str = "text", margi
     rows = docs.select(F.struct(F.lit(0).alias("__row"), *others).alias("row"), F.col(text).cast("string").alias("text"))
     row, content = rows.schema["row"].dataType.simpleString(), tuple(known.items())
     shared = docs.sparkSession.sparkContext.broadcast(content)  # MAX_LANGUAGES dictionaries at most
-    out = rows.mapInArrow(lambda it: _predict(it, shared.value, margin), f"row {row}, text string, lang_pred string, score double, rejected boolean")
+    out = rows.mapInArrow(lambda it: sole_caches(_predict(it, shared.value, margin)), f"row {row}, text string, lang_pred string, score double, rejected boolean")
     return out.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in kept], *added)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import released, stored
+from .common import sole_caches, stored
 from .tokens import default_tokenizer, word_ids
 
 CAPACITY = 2048
@@ -52,7 +52,7 @@ def pieces(docs: DataFrame, end_id: int = 0, capacity: int = CAPACITY, tokenizer
     """Token counts and checksums of each document's pieces; only documents over ``capacity`` have several."""
     tokenizer = tokenizer or default_tokenizer()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: released(_pieces(it, tokenizer, end_id, capacity), word_ids(tokenizer)), PIECES)
+    return rows.mapInArrow(lambda it: sole_caches(_pieces(it, tokenizer, end_id, capacity), word_ids(tokenizer)), PIECES)
 
 
 def bin_classes(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import released, scratch, stored
+from .common import scratch, sole_caches, stored
 from .tokens import default_tokenizer, word_ids
 
 MANIFEST = "shard int, name string, n_docs long, n_ids long, width int"
@@ -69,7 +69,7 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int, tokenizer: str
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     ordered = rows.repartitionByRange(shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    manifest = stored(ordered.mapInPandas(lambda it: released(_write(it, folder, tokenizer, end_id), word_ids(tokenizer)), MANIFEST), "token-manifest")
+    manifest = stored(ordered.mapInPandas(lambda it: sole_caches(_write(it, folder, tokenizer, end_id), word_ids(tokenizer)), MANIFEST), "token-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))  # one row a shard
 

@@ -15,7 +15,7 @@ import numpy as np
 _GAPS = re.compile("[ \n\t\r]+")
 _NOT_GAPS = "\x1c\x1d\x1e\x1f"
 _ENDS = re.compile("(?<=[a-zß-öø-ÿ])[.,]")
-CACHED_PIECES, CACHED_CHARS = 1 << 18, 40
+CACHED_PIECES, CACHED_CHARS = 1 << 19, 40
 
 
 def default_tokenizer() -> str:

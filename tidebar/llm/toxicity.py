@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, share_of_hash
+from .common import share_of_hash, sole_caches
 
 SAMPLE_ROWS = 16_384  # labelled rows to fit on: about the bound of what the fitting task gets
 BITS = 18
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
     share = min(1.0, sample_rows / max(known.count(), 1))
     known = known.where(share_of_hash(F.xxhash64("doc_id"), share))
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # sample_rows rows
-    found = rows.select("label", "text").mapInArrow(lambda it: released(_featurise(it, bits), _terms(bits)), "label double, terms array<int>")
+    found = rows.select("label", "text").mapInArrow(lambda it: sole_caches(_featurise(it, bits), _terms(bits)), "label double, terms array<int>")
     model = found.repartition(1).mapInArrow(lambda it: _fit(it, bits), MODEL).toArrow()  # 2**bits rows at most
     if not model.num_rows:
         return None
@@ -258,7 +258,7 @@ def score(docs: DataFrame, model, text: str = "text", bits: int = BITS, threshol
     others = [c for c in docs.columns if c not in {"score", "predicted"}]
     rows = docs.select(F.struct(F.lit(0).alias("__row"), *others).alias("row"), F.col(text).cast("string").alias("text"))
     row, shared = rows.schema["row"].dataType.simpleString(), docs.sparkSession.sparkContext.broadcast(model)
-    out = rows.mapInArrow(lambda it: released(_score(it, shared.value, bits), _terms(bits)), f"row {row}, score double").select("row.*", "score").drop("__row")
+    out = rows.mapInArrow(lambda it: sole_caches(_score(it, shared.value, bits), _terms(bits)), f"row {row}, score double").select("row.*", "score").drop("__row")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
