@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 # bars have no range variance, and no instrument has a year of monthly volatility.
 DENSE_SF = "/root/testdata/sf0.01"
 DENSE = {
-    "calendar_roll", "roll_list", "active_bars", "back_adjust", "held_returns", "load_rolled",
+    "calendar_roll", "roll_list", "active_bars", "back_adjust", "held_returns", "load_rolled", "load_rolled_volume", "load_rolled_usd",
     "log_variance_proxy", "log_variance_proxy_long_axis", "variogram", "hurst", "hurst_nugget", "roughness_gate", "fit_ou",
     "class_rollup", "pooled_sign_tstats", "sweep_xs_momentum",
 }
