@@ -30,6 +30,7 @@ BITMAP_WORDS = 1 << 17  # 2^23 bits, 1 MB: the bound of what every task gets
 BATCH_CHARS = 1 << 21
 GROUP_ROWS = 512  # lines of one part of a band; a task compares two parts at most at a time
 GROUP_TASK_ROWS = 20_000
+SHARED_ROWS = 1 << 20  # band rows that are looked at together
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -151,31 +152,55 @@ def _band_batches(batches: Iterator[pa.RecordBatch], bands: int, rows: int, k: i
             yield pa.record_batch([pa.array(band.ravel().view(np.int64)), pa.array(np.repeat(line, bands))], names=["band", "line"])
 
 
-def _shared_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose band holds more than one line (a line can come again with the next batch); rows come sorted by band."""
-    band, line, alone = None, None, False  # the last band, a line of it, and whether that is its only line so far
-    for batch in batches:
-        b, x = batch.column("band").to_numpy(), batch.column("line").to_numpy()
-        if not len(b):
-            continue
-        order = np.lexsort((x, b))
+class _Bands:
+    """Bands met so far in a task: one line of each, and whether that line has been given out. One entry a band, however many lines it has."""
+
+    def __init__(self):
+        self.band, self.line, self.out = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+
+    def shared(self, b: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of bands that by now hold more than one line, with the lines that were alone in them before."""
+        order = np.argsort(b, kind="stable")
         b, x = b[order], x[order]
-        new = np.concatenate([[True], (b[1:] != b[:-1]) | (x[1:] != x[:-1])])
-        b, x = b[new], x[new]
-        same = b[1:] == b[:-1]
-        out = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        head = b == band
-        if head.any():
-            more = bool((x[head] != line).any())
-            if alone and more and not (x[head] == line).any():
-                b, x, out = np.concatenate([[band], b]), np.concatenate([[line], x]), np.concatenate([[True], out])
-                head = b == band
-            out[head] |= more or not alone
-            alone = alone and not more
-        if b[-1] != band:
-            band, line, alone = b[-1], x[-1], not out[-1]
-        if out.any():
-            yield pa.record_batch([pa.array(b[out]), pa.array(x[out])], names=["band", "line"])
+        first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+        size = np.diff(np.append(first, len(b)))
+        own, low, high = b[first], np.minimum.reduceat(x, first), np.maximum.reduceat(x, first)
+        at = np.searchsorted(self.band, own)
+        known = np.zeros(len(own), bool)
+        inside = at < len(self.band)
+        known[inside] = self.band[at[inside]] == own[inside]
+        k = at[known]
+        several = low != high
+        several[known] |= self.out[k] | (low[known] != self.line[k]) | (high[known] != self.line[k])
+        late = k[several[known] & ~self.out[k]]
+        take = np.repeat(several, size)
+        rows = np.unique(np.stack([np.concatenate([b[take], self.band[late]]), np.concatenate([x[take], self.line[late]])]), axis=1)
+        self.out[k] |= several[known]
+        new = ~known
+        if new.any():
+            place = at[new]
+            self.band, self.line, self.out = (np.insert(old, place, more) for old, more in ((self.band, own[new]), (self.line, low[new]), (self.out, several[new])))
+        return rows[0], rows[1]
+
+
+def _shared_bands(batches: Iterator[pa.RecordBatch], rows: int = SHARED_ROWS) -> Iterator[pa.RecordBatch]:
+    """Rows whose band holds more than one line; all rows of a band are in one task, in any order. A row can come more than once."""
+    met, held, n = _Bands(), [], 0
+
+    def give() -> Iterator[pa.RecordBatch]:
+        b, x = met.shared(*(np.concatenate([h.column(c).to_numpy() for h in held]) for c in ("band", "line")))
+        if len(b):
+            yield pa.record_batch([pa.array(b), pa.array(x)], names=["band", "line"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= rows:
+            yield from give()
+            held, n = [], 0
+    if held:
+        yield from give()
 
 
 def _one_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,27 +232,34 @@ def _pairs_verified(pairs: DataFrame, texts: DataFrame, threshold: float, sets:
     return both.mapInArrow(lambda it: _verified(it, threshold, sets), "a long, b long")
 
 
-def _similar(lines: list[str], hashes: Callable, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (first before second) whose shingles are similar enough, by a product of the shingle table with itself."""
+def _similar(lines: list[str], hashes: Callable, threshold: float, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one of ``some`` lines and any line whose shingles are similar enough, by a product of their shingle tables."""
     line, h = hashes(lines)
     order = np.lexsort((h, line))
     line, h = line[order], h[order]
     once = np.concatenate([[True], (line[1:] != line[:-1]) | (h[1:] != h[:-1])])
     line, h = line[once], h[once]
     size = np.bincount(line, minlength=len(lines)).astype(np.float32)
-    _, column, met = np.unique(h, return_inverse=True, return_counts=True)
-    shared = met[column] > 1  # others are in no intersection
-    line, column = line[shared], np.unique(column[shared], return_inverse=True)[1]
-    both, width = np.zeros((len(lines), len(lines)), np.float32), 2048
+    place = np.full(len(lines), -1)
+    place[some] = np.arange(len(some))
+    wanted = np.unique(h[place[line] >= 0])
+    column = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+    known = wanted[column] == h
+    line, column = line[known], column[known]
+    met = np.bincount(column, minlength=len(wanted)) > 1  # others are in no intersection
+    keep = met[column]
+    line, column = line[keep], (np.cumsum(met) - 1)[column[keep]]
+    both, width = np.zeros((len(some), len(lines)), np.float32), 2048
     by = np.argsort(column, kind="stable")
     line, column = line[by], column[by]
     for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, [lo, lo + width])
         part = np.zeros((len(lines), width), np.float32)
         part[line[a:b], column[a:b] - lo] = 1
-        both += part @ part.T
-    near = both >= np.float32(threshold) * (size[:, None] + size[None, :] - both) - np.float32(1e-3)
-    return np.nonzero(np.triu(near, 1))
+        both += part[some] @ part.T
+    near = both >= np.float32(threshold) * (size[some][:, None] + size[None, :] - both) - np.float32(1e-3)
+    i, j = np.nonzero(near)
+    return some[i], j
 
 
 def _crossed(group: list[tuple[int, int, str]], sets: Callable, hashes: Callable, threshold: float) -> list[tuple[int, int]]:
@@ -236,7 +268,10 @@ def _crossed(group: list[tuple[int, int, str]], sets: Callable, hashes: Callable
     if len(group) <= 12:
         pairs = combinations(range(len(group)), 2)
     else:
-        pairs = zip(*(x.tolist() for x in _similar([x[2] for x in group], hashes, threshold)))
+        # Lines of one component need no link: those outside the largest one are compared with all.
+        at = np.unique([x[1] for x in group], return_inverse=True)[1]
+        apart = np.flatnonzero(at != np.bincount(at).argmax())
+        pairs = zip(*(x.tolist() for x in _similar([x[2] for x in group], hashes, threshold, apart)))
     for i, j in pairs:
         (a, ra, x), (b, rb, y) = group[i], group[j]
         pair = (min(ra, rb), max(ra, rb))
@@ -291,7 +326,7 @@ def linked(lines: DataFrame, made: DataFrame, sets: Callable, hashes: Callable,
     """
     spark, lines = lines.sparkSession, lines.select("line", "content")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.rdd.getNumPartitions())
-    dealt = made.repartition(n, "band").sortWithinPartitions("band")
+    dealt = made.repartition(n, "band")
     shared = stored(dealt.mapInArrow(_shared_bands, "band long, line long"), "shared-bands")
     shared = stored(sift(shared), "sifted-bands") if sift else shared
 
