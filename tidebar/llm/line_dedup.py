@@ -45,6 +45,17 @@ def shingles(line: str, k: int = SHINGLE) -> set[str]:
     return {line[i:i + k] for i in range(max(1, len(line) - k + 1))}
 
 
+def shingle_codes(line: str, k: int = SHINGLE) -> set[int | str]:
+    """The shingles in a form that is quicker to compare: eight characters of one byte each are a whole number, others stay text."""
+    if k != 8 or len(line) < k:
+        return shingles(line, k)
+    try:
+        raw = line.encode("latin-1")
+    except UnicodeEncodeError:
+        return {x if max(x) > "\xff" else int.from_bytes(x.encode("latin-1"), "little") for x in shingles(line, k)}
+    return set(np.ndarray((len(raw) - k + 1,), "<u8", raw, 0, (1,)).tolist())
+
+
 def jaccard(a: set[str], b: set[str]) -> float:
     both = len(a & b)
     return both / (len(a) + len(b) - both)
@@ -314,7 +325,7 @@ def similar_lines(lines: DataFrame, threshold: float = THRESHOLD, k: int = SHING
                   bitmap_words: int = BITMAP_WORDS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``node`` and ``root`` of every distinct line that is linked to another one; *lines* is a stored table of ``line`` and ``content``."""
     made = lines.select("line", "content").mapInArrow(lambda it: _band_batches(it, bands, rows, k), "band long, line long")
-    return linked(lines, made, partial(shingles, k=k), partial(_shingle_hashes, k=k), threshold, bitmap_words, group_rows)
+    return linked(lines, made, partial(shingle_codes, k=k), partial(_shingle_hashes, k=k), threshold, bitmap_words, group_rows)
 
 
 def linked(lines: DataFrame, made: DataFrame, sets: Callable, hashes: Callable, threshold: float, bitmap_words: int = BITMAP_WORDS,
@@ -346,9 +357,12 @@ def linked(lines: DataFrame, made: DataFrame, sets: Callable, hashes: Callable,
     # Then bands that still hold several components: their lines meet in a task, in parts of bounded size if there are many,
     # and are compared all with all there. Only links leave the task.
     rooted = stored(shared.join(found, F.col("line") == F.col("node"), "left").select("band", "line", F.coalesce("root", "line").alias("root")), "rooted-bands")
-    split = rooted.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
-    # Of two lines one is the hub: they have been compared.
-    split = split.where("n > 2").select("band", F.ceil(F.col("n") / group_rows).cast("int").alias("parts"))
+    split = rooted.groupBy("band").agg(
+        F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.bit_xor(F.xxhash64("line")).alias("h1"),
+        F.sum(F.shiftright(F.xxhash64(F.lit("second"), "line"), 24)).alias("h2"),
+    ).where("r0 != r1")
+    # Of two lines one is the hub: they have been compared. Of bands that hold the same lines one is enough.
+    split = split.where("n > 2").groupBy("n", "h1", "h2").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / group_rows).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("line"), "parts").cast("int")
     met = rooted.join(split, "band").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = stored(met.select("band", F.least(part, "other").alias("i"), F.greatest(part, "other").alias("j"), "line", "root"), "split-bands")
