@@ -172,6 +172,52 @@ def test_shared_bands(rows):
     assert list(line_dedup._shared_bands(iter(alone), rows)) == []
 
 
+@pytest.mark.parametrize("slots", [1, 16, 1 << 17])
+def test_packed_bands_are_the_same_rows(slots):
+    """Band rows come back whole from far fewer rows, and those of a band have one slot."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(slots)
+    band, line = r.integers(-(1 << 63), 1 << 63, 3000)[r.integers(0, 900, 9000)], r.integers(-(1 << 63), 1 << 63, 9000)
+    batches = [pa.record_batch([pa.array(band[i:j]), pa.array(line[i:j])], names=["band", "line"]) for i, j in ((0, 5000), (5000, 5000), (5000, 9000))]
+    packed = list(line_dedup._packed(iter(batches), slots))
+    rows = lambda some: sorted((b, x) for o in some for b, x in zip(*(o.column(c).to_pylist() for c in ("band", "line"))))
+    assert rows(line_dedup._unpacked(iter(packed))) == rows(batches)
+    slot_of = {}
+    for o in packed:
+        for i in range(o.num_rows):
+            own = o.slice(i, 1)
+            for b, _ in rows(line_dedup._unpacked(iter([own]))):
+                assert slot_of.setdefault(b, own.column("slot")[0].as_py()) == own.column("slot")[0].as_py()
+    if slots < 100:
+        assert sum(o.num_rows for o in packed) <= 9000 // line_dedup.PACKED_ROWS + 2 * slots
+    assert max(len(x) for o in packed for x in o.column("bands").to_pylist()) <= 8 * line_dedup.PACKED_ROWS
+
+
+def test_shingles_kept_in_a_group_are_bounded(monkeypatch):
+    """Texts of a large group are told apart with few shingle sets in memory at a time; the links stay the same."""
+    words = lambda i, n: [f"{i}x{j}" for j in range(n)]
+    common = [f"w{j}" for j in range(300)]
+    group = [(i, i, " ".join([*common, *words(i, 8)])) for i in range(40)]
+    alive, most = set(), [0]
+
+    class Shingles(set):
+        def __del__(self):
+            alive.discard(id(self))
+
+    def sets(text):
+        x = Shingles(line_dedup.shingles(text))
+        alive.add(id(x))
+        most[0] = max(most[0], len(alive))
+        return x
+
+    hashes = lambda texts: line_dedup._shingle_hashes(texts, 8)
+    want = line_dedup._crossed(group, line_dedup.shingles, hashes, 0.8)
+    monkeypatch.setattr(line_dedup, "KNOWN_CHARS", 4000)
+    assert line_dedup._crossed(group, sets, hashes, 0.8) == want and len(want) == 40 * 39 // 2
+    assert most[0] <= 8
+
+
 # 3 Repeated passages
 
 

@@ -31,6 +31,8 @@ BATCH_CHARS = 1 << 21
 GROUP_ROWS = 512  # lines of one part of a band; a task compares two parts at most at a time
 GROUP_TASK_ROWS = 20_000
 SHARED_ROWS = 1 << 20  # band rows that are looked at together
+PACKED_ROWS, SLOTS = 128, 16  # band rows that are shuffled as one row at most, and groups of bands for each partition
+KNOWN_CHARS = 1 << 20  # of texts whose shingles a task keeps while it compares a group
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -163,6 +165,32 @@ def _band_batches(batches: Iterator[pa.RecordBatch], bands: int, rows: int, k: i
             yield pa.record_batch([pa.array(band.ravel().view(np.int64)), pa.array(np.repeat(line, bands))], names=["band", "line"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch], slots: int, rows: int = PACKED_ROWS) -> Iterator[pa.RecordBatch]:
+    """Band rows of one slot together, as bytes: a shuffle of them has a row for many. All rows of a band have the same slot."""
+    for batch in batches:
+        band, line = (batch.column(c).to_numpy() for c in ("band", "line"))
+        if not len(band):
+            continue
+        slot = (_mixed(band.view(np.uint64)) % np.uint64(slots)).astype(np.uint16 if slots <= 1 << 16 else np.uint32)
+        order = np.argsort(slot, kind="stable")
+        slot = slot[order]
+        first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+        size = np.diff(np.append(first, len(slot)))
+        parts = -(-size // rows)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        at = np.repeat(first, parts) + nth * rows
+        ends = pa.py_buffer((np.append(at, len(slot)) * 8).astype(np.int32))
+        found = [pa.Array.from_buffers(pa.binary(), len(at), [None, ends, pa.py_buffer(x[order])]) for x in (band, line)]
+        yield pa.record_batch([pa.array(slot[at].astype(np.int32)), *found], names=["slot", "bands", "lines"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            found = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int64) for c in ("bands", "lines"))
+            yield pa.record_batch([pa.array(x) for x in found], names=["band", "line"])
+
+
 class _Bands:
     """Bands met so far in a task: one line of each, and whether that line has been given out. One entry a band, however many lines it has."""
 
@@ -275,7 +303,7 @@ def _similar(lines: list[str], hashes: Callable, threshold: float, some: np.ndar
 
 def _crossed(group: list[tuple[int, int, str]], sets: Callable, hashes: Callable, threshold: float) -> list[tuple[int, int]]:
     """One link for each pair of components that lines of a group unite; candidates are verified on their texts."""
-    out, seen, known = [], set(), {}
+    out, seen, known, held = [], set(), {}, 0
     if len(group) <= 12:
         pairs = combinations(range(len(group)), 2)
     else:
@@ -288,9 +316,12 @@ def _crossed(group: list[tuple[int, int, str]], sets: Callable, hashes: Callable
         pair = (min(ra, rb), max(ra, rb))
         if ra == rb or pair in seen:
             continue
+        if held > KNOWN_CHARS:
+            known, held = {}, 0
         for n, content in ((i, x), (j, y)):
             if n not in known:
                 known[n] = sets(content)
+                held += len(content)
         if jaccard(known[i], known[j]) >= threshold:
             seen.add(pair)
             out.append((a, b))
@@ -324,21 +355,21 @@ def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
 def similar_lines(lines: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
                   bitmap_words: int = BITMAP_WORDS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``node`` and ``root`` of every distinct line that is linked to another one; *lines* is a stored table of ``line`` and ``content``."""
-    made = lines.select("line", "content").mapInArrow(lambda it: _band_batches(it, bands, rows, k), "band long, line long")
-    return linked(lines, made, partial(shingle_codes, k=k), partial(_shingle_hashes, k=k), threshold, bitmap_words, group_rows)
+    return linked(lines, lambda it: _band_batches(it, bands, rows, k), partial(shingle_codes, k=k), partial(_shingle_hashes, k=k), threshold, bitmap_words, group_rows)
 
 
-def linked(lines: DataFrame, made: DataFrame, sets: Callable, hashes: Callable, threshold: float, bitmap_words: int = BITMAP_WORDS,
+def linked(lines: DataFrame, made: Callable, sets: Callable, hashes: Callable, threshold: float, bitmap_words: int = BITMAP_WORDS,
            group_rows: int = GROUP_ROWS, sift: Callable | None = None) -> DataFrame:
-    """``node`` and ``root`` of the lines that bands (*made*: ``band``, ``line``) bring together and whose shingles are similar enough.
+    """``node`` and ``root`` of the lines that bands bring together and whose shingles are similar enough.
 
-    ``sets`` gives the shingles of a text, ``hashes`` the text number and hash of every shingle of a list of texts; ``sift`` can
+    ``made`` turns batches of ``line`` and ``content`` into batches of ``band`` and ``line``, ``sets`` gives the shingles of a text, ``hashes`` the text number and hash of every shingle of a list of texts; ``sift`` can
     leave out rows of shared bands.
     """
     spark, lines = lines.sparkSession, lines.select("line", "content")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.rdd.getNumPartitions())
-    dealt = made.repartition(n, "band")
-    shared = stored(dealt.mapInArrow(_shared_bands, "band long, line long"), "shared-bands")
+    packed = lines.mapInArrow(lambda it: _packed(made(it), n * SLOTS), "slot int, bands binary, lines binary")
+    dealt = packed.repartition(n, "slot")
+    shared = stored(dealt.mapInArrow(lambda it: _shared_bands(_unpacked(it)), "band long, line long"), "shared-bands")
     shared = stored(sift(shared), "sifted-bands") if sift else shared
 
     # Texts of the lines that share a band: most others are told apart by a bitmap before anything is shuffled.
