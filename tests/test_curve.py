@@ -204,3 +204,11 @@ def test_calendar_roll_reports_a_hole(spark, daily):
     rolls = good.orderBy("seq").collect()
     assert [r.instrument_id for r in rolls] == ["XXF4_2024", "XXG4_2024", "XXH4_2024"]
     assert [r.start_ts for r in rolls] == [None, day(26), day(56)]
+
+
+def test_outright_bars_aggregate_ticks_once(spark):
+    """Schedules and splices read stored bars, not the ticks again at every step."""
+    from tidebar.plans import curves
+
+    for frame in curves.parent(spark, "/root/testdata/sf0.001"):
+        assert "lineitem" not in frame._jdf.queryExecution().toString() and frame.count() > 0

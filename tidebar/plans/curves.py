@@ -226,6 +226,7 @@ def outright_bars(spark, sf):
     bars = named.groupBy("symbol", "instrument_id", "q", F.date_trunc("day", "ts").alias("ts_event")).agg(
         F.max_by("price", moment).alias("close"), F.sum("size").alias("volume")
     ).withColumn("ts_init", F.col("ts_event") + F.expr("INTERVAL 1 DAY"))
+    bars = store_once(bars)  # read by every step of a schedule and a splice: ticks are aggregated once
     expiry = (F.date_add(F.add_months("q", 2), 14)).cast("timestamp")
     contracts = bars.select("symbol", "instrument_id", expiry.alias("expiry"), F.substring("instrument_id", 3, 1).alias("month")).distinct()
     return bars.drop("q"), contracts
