@@ -1,4 +1,4 @@
-"""Queries over event bars against their SQL where prices are odd: zeros below zero, series that never move."""
+"""Queries over event bars against their SQL where prices are odd: zeros below zero, series that never move, prices that are missing."""
 
 from __future__ import annotations
 
@@ -25,6 +25,10 @@ def flat(i: int, kind: str, value: float):
     return 5.0 if kind == "view" else value
 
 
+def missing(i: int, kind: str, value: float):
+    return None if i % 7 == 0 else value
+
+
 def same_as_sql(spark, folder: Path, change, name: str) -> None:
     """*name* gives what its SQL gives when ``change(number, type, value)`` makes the values of the small tables."""
     for table in TABLES:
@@ -48,3 +52,8 @@ def test_zeros_keep_their_sign(spark, tmp_path, name):
 @pytest.mark.parametrize("name", ROUGH)
 def test_series_that_never_move(spark, tmp_path, name):
     same_as_sql(spark, tmp_path, flat, name)
+
+
+@pytest.mark.parametrize("name", ["bars_hourly", "stream_tick_to_bar", "garman_klass", *ROUGH])
+def test_ticks_without_a_price(spark, tmp_path, name):
+    same_as_sql(spark, tmp_path, missing, name)

@@ -26,8 +26,8 @@ def moment_of(ticks: DataFrame, ties: list[str]) -> Column:
 
 
 def tick_to_bar(ticks: DataFrame, seconds: int, ties: list[str]) -> DataFrame:
-    """Bars of ``symbol, ts, price, size`` ticks; *ties* order ticks of one instant."""
-    moment = moment_of(ticks, ties)
+    """Bars of ``symbol, ts, price, size`` ticks; *ties* order ticks of one instant. A tick without a price only adds its size."""
+    moment = F.when(F.col("price").isNotNull(), moment_of(ticks, ties))
     start = bucket("ts", seconds)
     return (
         ticks.groupBy("symbol", start.alias("ts_event"))

@@ -13,8 +13,8 @@ from ..sources import committed
 
 
 def tick_to_bar_stream(ticks: DataFrame, seconds: int, late: str, ties: list[str]) -> DataFrame:
-    """Bars of a tick stream, each emitted once the watermark has passed its close."""
-    moment = F.struct("ts", *ties)
+    """Bars of a tick stream, each emitted once the watermark has passed its close. A tick without a price only adds its size."""
+    moment = F.when(F.col("price").isNotNull(), F.struct("ts", *ties))
     return (
         ticks.withWatermark("ts", late)
         .groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "symbol")
