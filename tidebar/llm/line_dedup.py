@@ -18,7 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bitmap, in_bitmap, partitions, stored
@@ -35,6 +35,7 @@ PACKED_ROWS, SLOTS = 128, 16  # band rows that are shuffled as one row at most,
 KNOWN_CHARS = 1 << 20  # of texts whose shingles a task keeps while it compares a group
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_SPACES = "".join(filter(str.isspace, map(chr, range(0x3001))))  # all that Python splits at; the last is U+3000
 
 
 def normalised(line: str) -> str:
@@ -42,6 +43,11 @@ def normalised(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def blank(text: Column) -> Column:
+    """Whether all lines of a text are blank to ``normalised``, whatever Unicode spaces they hold; true for null."""
+    return ~F.coalesce(text, F.lit("")).rlike(f"[^{_SPACES}]")
+
+
 def shingles(line: str, k: int = SHINGLE) -> set[str]:
     """Character shingles of a normalised line; a shorter line is one shingle."""
     return {line[i:i + k] for i in range(max(1, len(line) - k + 1))}
